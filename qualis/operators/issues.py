@@ -71,6 +71,7 @@ def detect_issues(p: Profiler, with_examples: bool = True) -> DataFrame:
         f = f.join(null_token_examples(p), "column_name", "left")
     else:
         f = f.withColumn("examples", F.lit(None).cast("string"))
+    f = f.cache()  # one row per column, read by every rule below
     name, role = F.col("column_name"), F.col("role")
     nn = F.col("non_null_count")
     parts: list[DataFrame] = []

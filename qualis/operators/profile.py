@@ -110,51 +110,61 @@ class Profiler:
         return out.select(F.lit(self.entity).alias("entity_name"), "*")
 
     # ------------------------------------------------------------------ pass 1
-    def completeness(self) -> DataFrame:
+    STRING_STATS = {"min_length": "bigint", "max_length": "bigint", "avg_length": "double",
+                    "lower_count": "bigint", "upper_count": "bigint", "title_count": "bigint", "email_count": "bigint",
+                    "phone_count": "bigint", "alnum_id_count": "bigint", "currency_count": "bigint",
+                    "percent_count": "bigint", "email_search_count": "bigint", "ip_count": "bigint",
+                    "numeric_count": "bigint", "numeric_min": "double", "numeric_max": "double",
+                    "datetime_count": "bigint", "untrimmed_count": "bigint", "null_token_count": "bigint"}
+
+    def _string_exprs(self, c: Column) -> dict[str, Column]:
+        return {
+            "min_length": F.min(F.length(c)), "max_length": F.max(F.length(c)), "avg_length": F.avg(F.length(c)),
+            "lower_count": F.count_if(X.is_lower(c)), "upper_count": F.count_if(X.is_upper(c)),
+            "title_count": F.count_if(X.is_title(c)),
+            "email_count": F.count_if(X.matches(c, X.EMAIL_FULL)),
+            "phone_count": F.count_if(X.matches(c, X.PHONE_FULL)),
+            "alnum_id_count": F.count_if(X.matches(c, X.ALNUM_ID_FULL)),
+            "currency_count": F.count_if(X.matches(c, X.CURRENCY_FULL)),
+            "percent_count": F.count_if(X.matches(c, X.PERCENT_FULL)),
+            "email_search_count": F.count_if(X.searches(c, X.EMAIL_PATTERN)),
+            "ip_count": F.count_if(X.matches(c, X.IP_PREFIX)),
+            "numeric_count": F.count(X.to_number(c)),
+            "numeric_min": F.min(X.to_number(c)), "numeric_max": F.max(X.to_number(c)),
+            "datetime_count": F.count(X.to_timestamp_safe(c)),
+            "untrimmed_count": F.count_if(X.is_untrimmed(c)),
+            "null_token_count": F.count_if(X.null_token(c, self.policy)),
+        }
+
+    @cached_property
+    def base_stats(self) -> DataFrame:
+        """Pass 1: every single-scan statistic of every column in one aggregation.
+
+        The result has one row per column, so it is cached for reuse by the
+        completeness, string, pattern, role and issue views."""
         per = []
         for f in self.fields:
             c = F.col(f.name)
             e = {"null_count": F.count_if(c.isNull()), "non_null_count": F.count(c)}
-            e["empty_string_count"] = F.count_if(c == F.lit("")) if N.is_string(f.dataType) else F.lit(0)
+            if N.is_string(f.dataType):
+                e["empty_string_count"] = F.count_if(c == F.lit(""))
+                e.update(self._string_exprs(c))
+            else:
+                e["empty_string_count"] = F.lit(0)
             per.append((f.name, e))
-        df = self._long({"null_count": "bigint", "non_null_count": "bigint", "empty_string_count": "bigint"}, per)
-        return df.withColumn("null_rate", safe_rate(F.col("null_count"), F.col("row_count")))
+        stats = {"null_count": "bigint", "non_null_count": "bigint", "empty_string_count": "bigint", **self.STRING_STATS}
+        return self._long(stats, per).cache()
 
-    def _string_pass(self) -> DataFrame:
-        per = []
-        for f in self.string_fields:
-            c = F.col(f.name)
-            n = F.count(c)
-            per.append((f.name, {
-                "non_null_count": n,
-                "min_length": F.min(F.length(c)), "max_length": F.max(F.length(c)),
-                "avg_length": F.avg(F.length(c)),
-                "lower_count": F.count_if(X.is_lower(c)), "upper_count": F.count_if(X.is_upper(c)),
-                "title_count": F.count_if(X.is_title(c)),
-                "email_count": F.count_if(X.matches(c, X.EMAIL_FULL)),
-                "phone_count": F.count_if(X.matches(c, X.PHONE_FULL)),
-                "alnum_id_count": F.count_if(X.matches(c, X.ALNUM_ID_FULL)),
-                "currency_count": F.count_if(X.matches(c, X.CURRENCY_FULL)),
-                "percent_count": F.count_if(X.matches(c, X.PERCENT_FULL)),
-                "email_search_count": F.count_if(X.searches(c, X.EMAIL_PATTERN)),
-                "ip_count": F.count_if(X.matches(c, X.IP_PREFIX)),
-                "numeric_count": F.count(X.to_number(c)),
-                "numeric_min": F.min(X.to_number(c)), "numeric_max": F.max(X.to_number(c)),
-                "datetime_count": F.count(X.to_timestamp_safe(c)),
-                "untrimmed_count": F.count_if(X.is_untrimmed(c)),
-                "null_token_count": F.count_if(X.null_token(c, self.policy)),
-            }))
-        stats = {"non_null_count": "bigint", "min_length": "bigint", "max_length": "bigint", "avg_length": "double",
-                 "lower_count": "bigint", "upper_count": "bigint", "title_count": "bigint", "email_count": "bigint",
-                 "phone_count": "bigint", "alnum_id_count": "bigint", "currency_count": "bigint",
-                 "percent_count": "bigint", "email_search_count": "bigint", "ip_count": "bigint",
-                 "numeric_count": "bigint", "numeric_min": "double", "numeric_max": "double",
-                 "datetime_count": "bigint", "untrimmed_count": "bigint", "null_token_count": "bigint"}
-        return self._long(stats, per)
+    def completeness(self) -> DataFrame:
+        b = self.base_stats
+        return b.select("entity_name", "column_name", "ordinal_position", "row_count", "null_count", "non_null_count",
+                        "empty_string_count", safe_rate(F.col("null_count"), F.col("row_count")).alias("null_rate"))
 
-    @cached_property
+    @property
     def string_stats_raw(self) -> DataFrame:
-        return self._string_pass()
+        names = [f.name for f in self.string_fields]
+        b = self.base_stats
+        return b.where(F.col("column_name").isin(names)) if names else b.where(F.lit(False))
 
     def strings(self) -> DataFrame:
         """Lengths, case consistency and regex signatures of string columns."""
@@ -247,9 +257,14 @@ class Profiler:
         return (long.where(F.col("value").isNotNull()).groupBy("column_name", "value")
                 .agg(F.count(F.lit(1)).alias("count")))
 
+    @cached_property
+    def distinct_counts(self) -> DataFrame:
+        """Distinct non-null values per column (one row per column, cached)."""
+        return self.frequencies.groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_count")).cache()
+
     def distinctness(self) -> DataFrame:
         comp = self.completeness()
-        d = self.frequencies.groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_count"))
+        d = self.distinct_counts
         j = comp.join(d, "column_name", "left").withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0)).cast("bigint"))
         rows, dc = F.col("row_count"), F.col("distinct_count")
         card = (F.when(dc == rows, "unique").when(dc == 1, "constant")
