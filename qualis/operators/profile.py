@@ -35,12 +35,20 @@ def stable_id(prefix: str, *parts: object) -> str:
     return f"{prefix}_{hashlib.md5('_'.join(str(p) for p in parts).encode()).hexdigest()[:8]}"
 
 
+def dround(c: Column, digits: int = 4) -> Column:
+    """Round a double the way Python's ``round`` does for stored values: scale, round,
+    unscale in binary (Spark's ``round`` rounds the shortest decimal text instead,
+    which differs on values such as 0.35005 that are stored just below the tie)."""
+    k = float(10 ** digits)
+    return F.round(c.cast("double") * F.lit(k), 0) / F.lit(k)
+
+
 def r4(c: Column) -> Column:
-    return F.round(c.cast("double"), 4)
+    return dround(c, 4)
 
 
 def safe_rate(num: Column, den: Column, digits: int = 4) -> Column:
-    return F.round(F.try_divide(num.cast("double"), F.nullif(den, F.lit(0)).cast("double")), digits)
+    return dround(F.try_divide(num.cast("double"), F.nullif(den, F.lit(0)).cast("double")), digits)
 
 
 class Profiler:
