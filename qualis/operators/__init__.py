@@ -1,0 +1 @@
+"""Operators: profiling, issues, fixes, grain, charts and declared rules."""
