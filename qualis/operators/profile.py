@@ -35,6 +35,11 @@ def stable_id(prefix: str, *parts: object) -> str:
     return f"{prefix}_{hashlib.md5('_'.join(str(p) for p in parts).encode()).hexdigest()[:8]}"
 
 
+def hid(ordinal: int):
+    """Name maker for per-row helper columns of the column at ``ordinal``."""
+    return lambda k: f"__h{ordinal}_{k}"
+
+
 def dround(c: Column, digits: int = 4) -> Column:
     """Round a double the way Python's ``round`` does for stored values: scale, round,
     unscale in binary (Spark's ``round`` rounds the shortest decimal text instead,
@@ -86,15 +91,23 @@ class Profiler:
     def temporal_fields(self):
         return self._of(N.is_temporal)
 
-    def _long(self, stats: dict[str, str], per_col: list[tuple[str, dict[str, Column]]]) -> DataFrame:
+    def _long(self, stats: dict[str, str], per_col: list[tuple[str, dict[str, Column]]],
+              pre=None) -> DataFrame:
         """One aggregation per chunk of columns, exploded to one row per column.
 
         ``stats`` maps stat name -> Spark type; ``per_col`` lists (column, {stat: agg}).
+        ``pre(names)`` may return per-row helper columns evaluated once before the
+        aggregation (a narrow projection fused into the same stage).
         Output: entity_name, column_name, ordinal_position, row_count, <stats...>.
         """
         out = None
         for start in range(0, max(len(per_col), 1), CHUNK):
             chunk = per_col[start:start + CHUNK]
+            src = self.df
+            if pre is not None:
+                extra = pre([name for name, _ in chunk])
+                if extra:
+                    src = self.df.select("*", *extra)
             aggs = [F.count(F.lit(1)).alias("__rows")]
             rows = []
             for j, (name, exprs) in enumerate(chunk):
@@ -112,7 +125,7 @@ class Profiler:
                 rows = [F.struct(F.lit(None).cast("string").alias("column_name"),
                                  F.lit(None).cast("int").alias("ordinal_position"), F.col("__rows").alias("row_count"),
                                  *[F.lit(None).cast(t).alias(s) for s, t in stats.items()])]
-            part = self.df.agg(*aggs).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+            part = src.agg(*aggs).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
             part = part.where(F.col("column_name").isNotNull())
             out = part if out is None else out.unionByName(part)
         return out.select(F.lit(self.entity).alias("entity_name"), "*")
@@ -125,46 +138,77 @@ class Profiler:
                     "numeric_count": "bigint", "numeric_min": "double", "numeric_max": "double",
                     "datetime_count": "bigint", "untrimmed_count": "bigint", "null_token_count": "bigint"}
 
-    def _string_exprs(self, c: Column) -> dict[str, Column]:
+    def _string_helpers(self, names: list[str]) -> list[Column]:
+        """Per-row values of the string statistics, each computed once per row."""
+        out = []
+        strings = {f.name for f in self.string_fields}
+        for name in names:
+            if name not in strings:
+                continue
+            c = F.col(name)
+            h = hid(self.ordinal[name])
+            lc, uc = F.lower(c), F.upper(c)
+            cased = lc != uc
+            out += [F.length(c).alias(h("len")), ((c == lc) & cased).alias(h("lo")), ((c == uc) & cased).alias(h("up")),
+                    ((c == X.title_case(c)) & cased).alias(h("ti")),
+                    X.matches(c, X.EMAIL_FULL).alias(h("em")), X.matches(c, X.PHONE_FULL).alias(h("ph")),
+                    X.matches(c, X.ALNUM_ID_FULL).alias(h("an")), X.matches(c, X.CURRENCY_FULL).alias(h("cu")),
+                    X.matches(c, X.PERCENT_FULL).alias(h("pc")), X.searches(c, X.EMAIL_PATTERN).alias(h("es")),
+                    X.matches(c, X.IP_PREFIX).alias(h("ip")), X.to_number(c).alias(h("num")),
+                    X.to_timestamp_safe(c).isNotNull().alias(h("dt")), X.is_untrimmed(c).alias(h("ut")),
+                    X.null_token(c, self.policy).alias(h("tok"))]
+        return out
+
+    def _string_exprs(self, name: str) -> dict[str, Column]:
+        h = hid(self.ordinal[name])
+        col = lambda k: F.col(h(k))
         return {
-            "min_length": F.min(F.length(c)), "max_length": F.max(F.length(c)), "avg_length": F.avg(F.length(c)),
-            "lower_count": F.count_if(X.is_lower(c)), "upper_count": F.count_if(X.is_upper(c)),
-            "title_count": F.count_if(X.is_title(c)),
-            "email_count": F.count_if(X.matches(c, X.EMAIL_FULL)),
-            "phone_count": F.count_if(X.matches(c, X.PHONE_FULL)),
-            "alnum_id_count": F.count_if(X.matches(c, X.ALNUM_ID_FULL)),
-            "currency_count": F.count_if(X.matches(c, X.CURRENCY_FULL)),
-            "percent_count": F.count_if(X.matches(c, X.PERCENT_FULL)),
-            "email_search_count": F.count_if(X.searches(c, X.EMAIL_PATTERN)),
-            "ip_count": F.count_if(X.matches(c, X.IP_PREFIX)),
-            "numeric_count": F.count(X.to_number(c)),
-            "numeric_min": F.min(X.to_number(c)), "numeric_max": F.max(X.to_number(c)),
-            "datetime_count": F.count(X.to_timestamp_safe(c)),
-            "untrimmed_count": F.count_if(X.is_untrimmed(c)),
-            "null_token_count": F.count_if(X.null_token(c, self.policy)),
+            "min_length": F.min(col("len")), "max_length": F.max(col("len")), "avg_length": F.avg(col("len")),
+            "lower_count": F.count_if(col("lo")), "upper_count": F.count_if(col("up")),
+            "title_count": F.count_if(col("ti")), "email_count": F.count_if(col("em")),
+            "phone_count": F.count_if(col("ph")), "alnum_id_count": F.count_if(col("an")),
+            "currency_count": F.count_if(col("cu")), "percent_count": F.count_if(col("pc")),
+            "email_search_count": F.count_if(col("es")), "ip_count": F.count_if(col("ip")),
+            "numeric_count": F.count(col("num")), "numeric_min": F.min(col("num")), "numeric_max": F.max(col("num")),
+            "datetime_count": F.count_if(col("dt")), "untrimmed_count": F.count_if(col("ut")),
+            "null_token_count": F.count_if(col("tok")),
         }
 
     @cached_property
     def base_stats(self) -> DataFrame:
         """Pass 1: every single-scan statistic of every column in one aggregation.
 
-        The result has one row per column, so it is cached for reuse by the
-        completeness, string, pattern, role and issue views."""
+        Per-row helpers are projected once, then aggregated.  The result has one
+        row per column, so it is cached for reuse by the completeness, string,
+        pattern, role and issue views."""
         per = []
         for f in self.fields:
             c = F.col(f.name)
             e = {"null_count": F.count_if(c.isNull()), "non_null_count": F.count(c)}
             if N.is_string(f.dataType):
                 e["empty_string_count"] = F.count_if(c == F.lit(""))
-                e.update(self._string_exprs(c))
+                e.update(self._string_exprs(f.name))
             else:
                 e["empty_string_count"] = F.lit(0)
             per.append((f.name, e))
         stats = {"null_count": "bigint", "non_null_count": "bigint", "empty_string_count": "bigint", **self.STRING_STATS}
-        return self._long(stats, per).cache()
+        return self._long(stats, per, pre=self._string_helpers).cache()
+
+    @cached_property
+    def core_stats(self) -> DataFrame:
+        """Null, non-null and empty-string counts only (cheap; cached)."""
+        per = []
+        for f in self.fields:
+            c = F.col(f.name)
+            e = {"null_count": F.count_if(c.isNull()), "non_null_count": F.count(c),
+                 "empty_string_count": F.count_if(c == F.lit("")) if N.is_string(f.dataType) else F.lit(0)}
+            per.append((f.name, e))
+        return self._long({"null_count": "bigint", "non_null_count": "bigint", "empty_string_count": "bigint"},
+                          per).cache()
 
     def completeness(self) -> DataFrame:
-        b = self.base_stats
+        # reuse the full pass when it already ran for this entity; else the cheap one
+        b = self.__dict__.get("base_stats") or self.core_stats
         return b.select("entity_name", "column_name", "ordinal_position", "row_count", "null_count", "non_null_count",
                         "empty_string_count", safe_rate(F.col("null_count"), F.col("row_count")).alias("null_rate"))
 
