@@ -114,9 +114,15 @@ def is_upper(c: str | Column) -> Column:
     return (x == F.upper(x)) & has_cased(x)
 
 
+# A letter run starting lower-case, or an upper-case letter inside a run: either
+# makes ``x != x.title()``.
+NOT_TITLE = r"(?<!\pL)\p{Ll}|\pL\p{Lu}"
+
+
 def is_title(c: str | Column) -> Column:
+    """Python ``istitle``: equals its title case and has a cased letter (one regex search)."""
     x = col_of(c)
-    return (x == title_case(x)) & has_cased(x)
+    return ~x.rlike(NOT_TITLE) & has_cased(x)
 
 
 def to_number(c: str | Column) -> Column:

@@ -33,6 +33,8 @@ def casing_rule(policy, role: Column, name: Column) -> Column:
 
 def column_facts(p: Profiler) -> DataFrame:
     """Per-column inputs of the issue rules (one row per column)."""
+    need = ("avg_length", "untrimmed_count", "null_token_count", "numeric_count")
+    p.string_stats(*need)  # one pass for every string statistic the rules read
     r = p.roles().select("column_name", "ordinal_position", "native_type", "role", "criticality")
     d = p.distinctness().select("column_name", "row_count", "null_count", "null_rate", "distinct_count", "distinct_rate")
     c = p.completeness().select("column_name", "non_null_count")
@@ -42,7 +44,7 @@ def column_facts(p: Profiler) -> DataFrame:
         "column_name string, is_string boolean, is_temporal boolean, is_numeric boolean")
     j = j.join(kinds, "column_name")
     if p.string_fields:
-        s = p.string_stats_raw.select("column_name", "untrimmed_count", "null_token_count", "numeric_count")
+        s = p.string_stats(*need).select("column_name", "untrimmed_count", "null_token_count", "numeric_count")
         j = j.join(s, "column_name", "left")
     else:
         j = (j.withColumn("untrimmed_count", F.lit(None).cast("bigint"))

@@ -138,31 +138,40 @@ class Profiler:
                     "numeric_count": "bigint", "numeric_min": "double", "numeric_max": "double",
                     "datetime_count": "bigint", "untrimmed_count": "bigint", "null_token_count": "bigint"}
 
-    def _string_helpers(self, names: list[str]) -> list[Column]:
-        """Per-row values of the string statistics, each computed once per row."""
+    # helper key per statistic (each helper is a per-row value computed once)
+    HELPER_OF = {"min_length": "len", "max_length": "len", "avg_length": "len", "lower_count": "lo",
+                 "upper_count": "up", "title_count": "ti", "email_count": "em", "phone_count": "ph",
+                 "alnum_id_count": "an", "currency_count": "cu", "percent_count": "pc", "email_search_count": "es",
+                 "ip_count": "ip", "numeric_count": "num", "numeric_min": "num", "numeric_max": "num",
+                 "datetime_count": "dt", "untrimmed_count": "ut", "null_token_count": "tok"}
+
+    def _helper_exprs(self, c: Column) -> dict[str, Column]:
+        lc, uc = F.lower(c), F.upper(c)
+        cased = lc != uc
+        return {"len": F.length(c), "lo": (c == lc) & cased, "up": (c == uc) & cased,
+                "ti": ~c.rlike(X.NOT_TITLE) & cased, "em": X.matches(c, X.EMAIL_FULL),
+                "ph": X.matches(c, X.PHONE_FULL), "an": X.matches(c, X.ALNUM_ID_FULL),
+                "cu": X.matches(c, X.CURRENCY_FULL), "pc": X.matches(c, X.PERCENT_FULL),
+                "es": X.searches(c, X.EMAIL_PATTERN), "ip": X.matches(c, X.IP_PREFIX), "num": X.to_number(c),
+                "dt": X.to_timestamp_safe(c).isNotNull(), "ut": X.is_untrimmed(c), "tok": X.null_token(c, self.policy)}
+
+    def _string_helpers(self, names: list[str], keys: set[str] | None = None) -> list[Column]:
+        """Per-row values of the requested string statistics, each computed once per row."""
         out = []
         strings = {f.name for f in self.string_fields}
         for name in names:
             if name not in strings:
                 continue
-            c = F.col(name)
             h = hid(self.ordinal[name])
-            lc, uc = F.lower(c), F.upper(c)
-            cased = lc != uc
-            out += [F.length(c).alias(h("len")), ((c == lc) & cased).alias(h("lo")), ((c == uc) & cased).alias(h("up")),
-                    ((c == X.title_case(c)) & cased).alias(h("ti")),
-                    X.matches(c, X.EMAIL_FULL).alias(h("em")), X.matches(c, X.PHONE_FULL).alias(h("ph")),
-                    X.matches(c, X.ALNUM_ID_FULL).alias(h("an")), X.matches(c, X.CURRENCY_FULL).alias(h("cu")),
-                    X.matches(c, X.PERCENT_FULL).alias(h("pc")), X.searches(c, X.EMAIL_PATTERN).alias(h("es")),
-                    X.matches(c, X.IP_PREFIX).alias(h("ip")), X.to_number(c).alias(h("num")),
-                    X.to_timestamp_safe(c).isNotNull().alias(h("dt")), X.is_untrimmed(c).alias(h("ut")),
-                    X.null_token(c, self.policy).alias(h("tok"))]
+            for k, e in self._helper_exprs(F.col(name)).items():
+                if keys is None or k in keys:
+                    out.append(e.alias(h(k)))
         return out
 
-    def _string_exprs(self, name: str) -> dict[str, Column]:
+    def _string_exprs(self, name: str, stats=None) -> dict[str, Column]:
         h = hid(self.ordinal[name])
         col = lambda k: F.col(h(k))
-        return {
+        allx = {
             "min_length": F.min(col("len")), "max_length": F.max(col("len")), "avg_length": F.avg(col("len")),
             "lower_count": F.count_if(col("lo")), "upper_count": F.count_if(col("up")),
             "title_count": F.count_if(col("ti")), "email_count": F.count_if(col("em")),
@@ -173,14 +182,14 @@ class Profiler:
             "datetime_count": F.count_if(col("dt")), "untrimmed_count": F.count_if(col("ut")),
             "null_token_count": F.count_if(col("tok")),
         }
+        return allx if stats is None else {k: v for k, v in allx.items() if k in stats}
 
     @cached_property
     def base_stats(self) -> DataFrame:
         """Pass 1: every single-scan statistic of every column in one aggregation.
 
         Per-row helpers are projected once, then aggregated.  The result has one
-        row per column, so it is cached for reuse by the completeness, string,
-        pattern, role and issue views."""
+        row per column, so it is cached for reuse by every per-column view."""
         per = []
         for f in self.fields:
             c = F.col(f.name)
@@ -194,6 +203,31 @@ class Profiler:
         stats = {"null_count": "bigint", "non_null_count": "bigint", "empty_string_count": "bigint", **self.STRING_STATS}
         return self._long(stats, per, pre=self._string_helpers).cache()
 
+    def string_stats(self, *needed: str) -> DataFrame:
+        """String-column statistics holding at least ``needed``.
+
+        Reuses the full pass or an earlier pass that covers the request; otherwise
+        runs one aggregation with only the helpers those statistics need (so a
+        role decision never pays for case or pattern scans of long texts)."""
+        names = [f.name for f in self.string_fields]
+        if "base_stats" in self.__dict__:
+            return self.base_stats.where(F.col("column_name").isin(names)) if names else self.base_stats.where(F.lit(False))
+        need = frozenset(needed) | {"non_null_count"}
+        passes = self.__dict__.setdefault("_passes", {})
+        for keys, df in passes.items():
+            if need <= keys:
+                return df
+        stats = {"non_null_count": "bigint", **{k: v for k, v in self.STRING_STATS.items() if k in need}}
+        helper_keys = {self.HELPER_OF[k] for k in need if k in self.HELPER_OF}
+        per = [(n, {"non_null_count": F.count(F.col(n)), **self._string_exprs(n, need)}) for n in names]
+        if not per:
+            df = self.spark.createDataFrame([], "entity_name string, column_name string, ordinal_position int, "
+                                                "row_count bigint, " + ", ".join(f"{k} {t}" for k, t in stats.items()))
+        else:
+            df = self._long(stats, per, pre=lambda ns: self._string_helpers(ns, helper_keys)).cache()
+        passes[need] = df
+        return df
+
     @cached_property
     def core_stats(self) -> DataFrame:
         """Null, non-null and empty-string counts only (cheap; cached)."""
@@ -220,7 +254,8 @@ class Profiler:
 
     def strings(self) -> DataFrame:
         """Lengths, case consistency and regex signatures of string columns."""
-        s = self.string_stats_raw
+        s = self.string_stats("min_length", "max_length", "avg_length", "lower_count", "upper_count", "title_count",
+                              "email_count", "phone_count", "alnum_id_count")
         nn = F.col("non_null_count")
         lr, ur, tr = (safe_rate(F.col(x), nn) for x in ("lower_count", "upper_count", "title_count"))
         case = (F.when(nn == 0, F.lit(None)).when(lr > 0.9, "lowercase").when(ur > 0.9, "uppercase")
@@ -237,7 +272,8 @@ class Profiler:
 
     def patterns(self) -> DataFrame:
         """A18 semantic patterns (string columns by text; numeric columns by value range)."""
-        s = self.string_stats_raw
+        s = self.string_stats("email_count", "phone_count", "currency_count", "percent_count", "numeric_count",
+                              "numeric_min", "numeric_max")
         nn = F.col("non_null_count")
         rate = {k: safe_rate(F.col(f"{k}_count"), nn) for k in ("email", "phone", "currency", "percent", "numeric")}
         mostly_numeric = F.col("numeric_count") > nn * 0.8
@@ -273,7 +309,7 @@ class Profiler:
     def pii(self) -> DataFrame:
         """A19 (+X16 counts): personal data by column name and content."""
         base = self.completeness().select("entity_name", "column_name", "ordinal_position", "non_null_count")
-        s = self.string_stats_raw.select("column_name", "email_search_count", "ip_count")
+        s = self.string_stats("email_search_count", "ip_count").select("column_name", "email_search_count", "ip_count")
         d = base.join(s, "column_name", "left")
         n = F.lower(F.col("column_name"))
         nn = F.col("non_null_count")
@@ -423,7 +459,7 @@ class Profiler:
         """Temporal columns, plus string columns at least half parseable as timestamps."""
         out = [(f.name, F.col(f.name).cast("timestamp_ntz")) for f in self.temporal_fields]
         if self.string_fields:
-            s = self._collect_small(self.string_stats_raw.select("column_name", "non_null_count", "datetime_count"))
+            s = self._collect_small(self.string_stats("datetime_count").select("column_name", "non_null_count", "datetime_count"))
             for r in s:
                 if r["non_null_count"] and r["datetime_count"] >= 0.5 * r["non_null_count"] and r["datetime_count"] > 0:
                     out.append((r["column_name"], X.to_timestamp_safe(r["column_name"])))
@@ -499,7 +535,7 @@ class Profiler:
         comp = self.completeness().select("column_name", "null_count", "non_null_count")
         j = t.join(comp, "column_name")
         if self.string_fields:
-            s = self.string_stats_raw.select("column_name", F.col("datetime_count").alias("_dt"))
+            s = self.string_stats("datetime_count").select("column_name", F.col("datetime_count").alias("_dt"))
             j = j.join(s, "column_name", "left")
         else:
             j = j.withColumn("_dt", F.lit(None).cast("bigint"))
@@ -511,7 +547,7 @@ class Profiler:
     def _role_inputs(self) -> DataFrame:
         t = self._type_frame()
         if self.string_fields:
-            s = self.string_stats_raw.select("column_name", "avg_length")
+            s = self.string_stats("avg_length").select("column_name", "avg_length")
             t = t.join(s, "column_name", "left")
         else:
             t = t.withColumn("avg_length", F.lit(None).cast("double"))
