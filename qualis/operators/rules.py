@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import names as N
 from ..functions import text as X
@@ -308,7 +309,7 @@ def dataset_decision(p: Profiler, issues: DataFrame, grain_review: bool, policy:
 
 
 # --------------------------------------------------------------- text cleanup
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """Unicode NFC normalisation (X8); Spark has no built-in, so Arrow batches."""
     return s.map(lambda v: unicodedata.normalize("NFC", v) if isinstance(v, str) else v)
