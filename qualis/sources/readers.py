@@ -13,7 +13,7 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 FORMATS = {".csv": "csv", ".txt": "csv", ".parquet": "parquet", ".json": "json", ".jsonl": "json", ".orc": "orc"}
-ENCODINGS = ["utf-8", "latin-1"]  # latin-1 decodes any byte, so later fallbacks are unreachable
+ENCODINGS = ["utf-8", "iso-8859-1"]  # latin-1 decodes any byte, so later fallbacks are unreachable
 
 
 def fold_nan(df: DataFrame) -> DataFrame:
@@ -48,13 +48,13 @@ def detect_format(path: str) -> str:
 def read_csv(spark: SparkSession, path: str, infer_schema: bool = False) -> DataFrame:
     """Header CSV; UTF-8 unless the file holds undecodable bytes, then latin-1.
 
-    The check is a distributed scan for the replacement character that a failed
-    UTF-8 decode produces; values are kept as raw strings (null tokens are a
+    The check is a distributed scan that stops at the first line holding bytes
+    that are not valid UTF-8; values are kept as raw strings (null tokens are a
     policy matter, see :func:`qualis.functions.null_token`).
     """
     encoding = ENCODINGS[0]
-    raw = spark.read.option("encoding", "utf-8").text(path)
-    if raw.where(F.col("value").contains("�")).limit(1).count() > 0:
+    raw = spark.read.text(path)
+    if raw.where(~F.is_valid_utf8(F.col("value"))).limit(1).count() > 0:
         encoding = ENCODINGS[1]
     reader = (spark.read.option("header", True).option("encoding", encoding)
               .option("multiLine", False).option("inferSchema", infer_schema))
