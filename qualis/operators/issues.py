@@ -56,9 +56,8 @@ def column_facts(p: Profiler) -> DataFrame:
 def null_token_examples(p: Profiler, k: int = 5) -> DataFrame:
     """Up to k distinct non-null token values per column, smallest first."""
     pol = p.policy
-    f = p.frequencies.where(X.null_token(F.col("value"), pol, include_nulls=False))
-    strings = [x.name for x in p.string_fields]
-    f = f.where(F.col("column_name").isin(strings)) if strings else f.where(F.lit(False))
+    f = p.frequencies_of([x.name for x in p.string_fields])
+    f = f.where(X.null_token(F.col("value"), pol, include_nulls=False))
     from pyspark.sql import Window
     w = Window.partitionBy("column_name").orderBy("value")
     top = f.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)

@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 
 DEFAULT_BUCKETS = 128
 SKETCH_ACCURACY = 10000
+# Most distinct values per group that one task may hold: Spark's exact ``percentile``
+# keeps a value->count map of this many entries (~80 MB), a window this many rows.
+# Callers prove the bound from an exact distinct count before taking that path.
+SMALL_DOMAIN = 1_000_000
 # Largest per-group table (groups x buckets rows) that is broadcast.
 BROADCAST_ROWS = 2_000_000
 
@@ -83,6 +87,31 @@ def weighted_quantiles(freq: DataFrame, keys: Sequence[str], value: str, weight:
     return res.select(*k, "p", q.alias("q"))
 
 
+def bounded_quantiles(freq: DataFrame, keys: Sequence[str], value: str, weight: str,
+                      probs: Sequence[float]) -> DataFrame:
+    """Exact linear-interpolated quantiles for groups with at most ``SMALL_DOMAIN``
+    distinct values (the caller proves it): ``percentile`` with a frequency column,
+    partially aggregated map-side.  Returns (keys..., p, q) like :func:`weighted_quantiles`."""
+    k = list(keys)
+    ps = [float(p) for p in probs]
+    agg = freq.groupBy(*k).agg(F.percentile(F.col(value).cast("double"), ps, F.col(weight).cast("bigint")).alias("_qs"))
+    pos = agg.select(*k, F.posexplode("_qs").alias("_i", "q"))
+    return pos.select(*k, F.element_at(F.array(*[F.lit(p) for p in ps]), F.col("_i") + 1).alias("p"), "q")
+
+
+def bounded_gaps(values: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """:func:`consecutive_gaps` for groups with at most ``SMALL_DOMAIN`` distinct values
+    (the caller proves it): one window per group over its distinct values."""
+    k = list(keys)
+    freq = values.where(F.col(value).isNotNull()).groupBy(*k, value).agg(F.count(F.lit(1)).alias("_c"))
+    zeros = freq.where(F.col("_c") > 1).groupBy(*k).agg(F.sum(F.col("_c") - 1).alias("weight"))
+    zeros = zeros.select(*k, F.lit(0).cast(freq.schema[value].dataType).alias("gap"), "weight")
+    w = Window.partitionBy(*k).orderBy(value)
+    ones = (freq.select(*k, (F.col(value) - F.lag(value).over(w)).alias("gap")).where(F.col("gap").isNotNull())
+            .groupBy(*k, "gap").agg(F.count(F.lit(1)).alias("weight")))
+    return ones.unionByName(zeros).groupBy(*k, "gap").agg(F.sum("weight").alias("weight"))
+
+
 def consecutive_gaps(values: DataFrame, keys: Sequence[str], value: str, buckets: int = DEFAULT_BUCKETS,
                      groups_bound: int = 1024) -> DataFrame:
     """Gaps between consecutive sorted values (as ``diff()`` of a sorted series).

@@ -2,8 +2,8 @@
 
 * pass 1: one wide ``agg`` per group of ~100 columns for every single-scan
   statistic, exploded to one row per column;
-* pass 2: the value-frequency table (unpivot -> ``groupBy(column, value)``, map-side
-  combined) for distinct counts, top-k values and examples;
+* pass 2: the value-frequency table (unpivot -> ``groupBy(column, value)`` per value
+  type, map-side combined) for distinct counts, top-k values and examples;
 * pass 3: bounds-dependent counts (outliers, histograms) with the bounds -- a few
   numbers per column -- injected as literals;
 * ordered statistics (quantiles, time gaps, monotonic) via :mod:`orderstats`.
@@ -328,27 +328,102 @@ class Profiler:
                         F.coalesce(F.col("ip_count"), F.lit(0)).cast("bigint").alias("ip_values"))
 
     # ------------------------------------------------------------------ pass 2
-    @cached_property
-    def frequencies(self) -> DataFrame:
-        """(column_name, value, count) over non-null values, values as text.
-
-        -0.0 is folded to 0.0 before the text cast so both count as one value.
-        """
-        exprs = []
+    @staticmethod
+    def _family(dt: T.DataType) -> str:
+        """Type in which a column's values are grouped: integers widen to bigint and
+        floats to double (both exact); map values, which cannot be grouped, become text."""
+        if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+            return "bigint"
+        if isinstance(dt, (T.FloatType, T.DoubleType)):
+            return "double"
+        if isinstance(dt, T.MapType):
+            return "string"
+        return dt.simpleString()
+
+    def _typed_frequencies(self, columns: Iterable[str] | None = None) -> list[DataFrame]:
+        """Pass 2: (column_name, v, count) over non-null values, one frame per type family.
+
+        Values are grouped in their own type, so nothing is rendered as text before
+        the shuffle (text casts of numbers cost more than the aggregation itself).
+        Map-side partial aggregation turns a hot value into one row per task.
+        -0.0 is folded to 0.0 so both count as one value.  Only ``columns`` are
+        read when given."""
+        wanted = None if columns is None else set(columns)
+        fams: dict[str, list[T.StructField]] = {}
         for f in self.fields:
-            c = F.col(f.name)
-            if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
-                c = F.when(c == 0, F.lit(0.0)).otherwise(c)
-            exprs.append(c.cast("string").alias(f.name))
-        casted = self.df.select(*exprs)
-        long = casted.unpivot([], [f.name for f in self.fields], "column_name", "value")
-        return (long.where(F.col("value").isNotNull()).groupBy("column_name", "value")
-                .agg(F.count(F.lit(1)).alias("count")))
+            if wanted is None or f.name in wanted:
+                fams.setdefault(self._family(f.dataType), []).append(f)
+        out = []
+        for fam, fs in fams.items():
+            exprs = []
+            for f in fs:
+                c = F.col(f.name)
+                if fam == "double":
+                    c = F.when(c == 0, F.lit(0.0)).otherwise(c.cast("double"))
+                elif fam != f.dataType.simpleString():
+                    c = c.cast(fam)
+                exprs.append(c.alias(f.name))
+            long = self.df.select(*exprs).unpivot([], [f.name for f in fs], "column_name", "v")
+            out.append(long.where(F.col("v").isNotNull()).groupBy("column_name", "v")
+                       .agg(F.count(F.lit(1)).alias("count")))
+        return out
+
+    def frequencies_of(self, columns: Iterable[str] | None = None) -> DataFrame:
+        """(column_name, value, count) with values as text, for ``columns`` (all when None).
+
+        Only the requested columns are scanned, and only their distinct values are
+        rendered as text (after the aggregation)."""
+        parts = [fr.select("column_name", F.col("v").cast("string").alias("value"), "count")
+                 for fr in self._typed_frequencies(columns)]
+        if not parts:
+            return self.spark.createDataFrame([], "column_name string, value string, count bigint")
+        out = parts[0]
+        for x in parts[1:]:
+            out = out.unionByName(x)
+        return out
+
+    @property
+    def frequencies(self) -> DataFrame:
+        return self.frequencies_of(None)
 
     @cached_property
     def distinct_counts(self) -> DataFrame:
         """Distinct non-null values per column (one row per column, cached)."""
-        return self.frequencies.groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_count")).cache()
+        parts = [fr.groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_count"))
+                 for fr in self._typed_frequencies()]
+        if not parts:
+            return self.spark.createDataFrame([], "column_name string, distinct_count bigint")
+        out = parts[0]
+        for x in parts[1:]:
+            out = out.unionByName(x)
+        return out.cache()
+
+    def domain_sizes(self, columns: Iterable[str]) -> dict[str, int]:
+        """Exact distinct counts of ``columns`` (one row per column reaches the driver).
+
+        Reuses the full distinct pass when it already ran; otherwise counts only
+        the requested columns."""
+        cols = list(columns)
+        known = self.__dict__.setdefault("_domain", {})
+        missing = [c for c in cols if c not in known]
+        if missing:
+            if "distinct_counts" in self.__dict__:
+                rows = self.distinct_counts.collect()
+            else:
+                parts = [fr.groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_count"))
+                         for fr in self._typed_frequencies(missing)]
+                rows = [r for x in parts for r in x.collect()]
+            for r in rows:
+                known[r["column_name"]] = int(r["distinct_count"])
+            for c in missing:
+                known.setdefault(c, 0)  # all-null column
+        return {c: known[c] for c in cols}
+
+    def columns_with_distinct(self, at_most: int, among: Iterable[str] | None = None) -> list[str]:
+        """Columns with at most ``at_most`` distinct values (bounded: one row per column)."""
+        pool = set(among) if among is not None else None
+        return [r["column_name"] for r in self.distinct_counts.where(F.col("distinct_count") <= at_most).collect()
+                if pool is None or r["column_name"] in pool]
 
     def distinctness(self) -> DataFrame:
         comp = self.completeness()
@@ -366,30 +441,41 @@ class Profiler:
 
     def top_values(self) -> DataFrame:
         """Top-k values of columns with at most ``max_distinct`` distinct values."""
-        f = self.frequencies
-        d = f.groupBy("column_name").agg(F.count(F.lit(1)).alias("_d"))
-        small = d.where(F.col("_d") <= self.max_distinct).select("column_name")
-        # bounded: at most one row per profiled column
-        cand = f.join(F.broadcast(small), "column_name")
+        small = self.columns_with_distinct(self.max_distinct)
+        cand = self.frequencies_of(small)
         w = Window.partitionBy("column_name").orderBy(F.desc("count"), F.asc("value"))
         top = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= self.top_k)
-        rows = self.completeness().select("column_name", "row_count")
+        rows = self.completeness().select("column_name", "row_count")  # one row per column
         return top.join(F.broadcast(rows), "column_name").select(
             F.lit(self.entity).alias("entity_name"), "column_name", F.col("rank").cast("int").alias("rank"),
             "value", F.col("count").cast("bigint").alias("count"), safe_rate(F.col("count"), F.col("row_count")).alias("rate"))
 
     # ------------------------------------------------------------------ numeric
-    def _numeric_values(self) -> DataFrame:
-        cols = [f.name for f in self.numeric_fields]
+    def _numeric_values(self, columns: Iterable[str] | None = None) -> DataFrame:
+        cols = [f.name for f in self.numeric_fields] if columns is None else list(columns)
         casted = self.df.select(*[F.col(c).cast("double").alias(c) for c in cols])
         long = casted.unpivot([], cols, "column_name", "v")
         return long.where(F.col("v").isNotNull())
 
     def quantiles(self, probs: Sequence[float] = (0.25, 0.5, 0.75), names: Sequence[str] = ("q1", "median", "q3")) -> DataFrame:
+        """Exact quantiles: columns with a proven small domain through ``percentile``,
+        the others through equi-depth range buckets."""
         if not self.numeric_fields:
             return self.spark.createDataFrame([], "column_name string, " + ", ".join(f"{n} double" for n in names))
-        freq = self._numeric_values().groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("w"))
-        q = OS.weighted_quantiles(freq, ["column_name"], "v", "w", list(probs), groups_bound=len(self.numeric_fields))
+        cols = [f.name for f in self.numeric_fields]
+        sizes = self.domain_sizes(cols)
+        small = [c for c in cols if sizes[c] <= OS.SMALL_DOMAIN]
+        big = [c for c in cols if sizes[c] > OS.SMALL_DOMAIN]
+        parts = []
+        for group, fn in ((small, OS.bounded_quantiles), (big, None)):
+            if not group:
+                continue
+            freq = self._numeric_values(group).groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("w"))
+            if fn is None:
+                parts.append(OS.weighted_quantiles(freq, ["column_name"], "v", "w", list(probs), groups_bound=len(group)))
+            else:
+                parts.append(fn(freq, ["column_name"], "v", "w", list(probs)))
+        q = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         return OS.quantile_column(q, ["column_name"], list(probs), list(names))
 
     def numeric(self) -> DataFrame:
@@ -479,10 +565,22 @@ class Profiler:
         long = long.where(F.col("ts").isNotNull()).withColumn("t_us", F.unix_micros(F.col("ts").cast("timestamp")))
         rng = long.groupBy("column_name").agg(F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"),
                                                 F.count(F.lit(1)).alias("_n"))
-        gaps = OS.consecutive_gaps(long.select("column_name", "t_us"), ["column_name"], "t_us",
-                                   groups_bound=len(cols))
-        med = OS.quantile_column(OS.weighted_quantiles(gaps, ["column_name"], "gap", "weight", [0.5],
-                                                       groups_bound=len(cols)), ["column_name"], [0.5], ["_med"])
+        # distinct gaps <= distinct values <= distinct raw values: a proven bound per column
+        sizes = self.domain_sizes([n for n, _ in cols])
+        meds = []
+        for small in (True, False):
+            group = [n for n, _ in cols if (sizes[n] <= OS.SMALL_DOMAIN) == small]
+            if not group:
+                continue
+            vals = long.where(F.col("column_name").isin(group)).select("column_name", "t_us")
+            if small:
+                gaps = OS.bounded_gaps(vals, ["column_name"], "t_us")
+                meds.append(OS.bounded_quantiles(gaps, ["column_name"], "gap", "weight", [0.5]))
+            else:
+                gaps = OS.consecutive_gaps(vals, ["column_name"], "t_us", groups_bound=len(group))
+                meds.append(OS.weighted_quantiles(gaps, ["column_name"], "gap", "weight", [0.5], groups_bound=len(group)))
+        med = OS.quantile_column(meds[0] if len(meds) == 1 else meds[0].unionByName(meds[1]), ["column_name"],
+                                 [0.5], ["_med"])
         j = rng.join(med, "column_name", "left")
         m = F.col("_med") / 1e6
         gran = (F.when((F.col("_n") < 2) | m.isNull(), F.lit(None)).when(m < 60, "second").when(m < 3600, "minute")

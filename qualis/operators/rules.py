@@ -122,9 +122,7 @@ def rule_counts(df: DataFrame, rules: list[RowRule]) -> DataFrame:
 
 # --------------------------------------------------------------- value-level rules
 def low_cardinality_text(p: Profiler) -> list[str]:
-    d = p.frequencies.groupBy("column_name").agg(F.count(F.lit(1)).alias("_d"))
-    strings = {f.name for f in p.string_fields}
-    return [r["column_name"] for r in d.where(F.col("_d") <= p.max_distinct).collect() if r["column_name"] in strings]
+    return p.columns_with_distinct(p.max_distinct, among=[f.name for f in p.string_fields])
 
 
 def canonical_mapping(p: Profiler, columns: list[str] | None = None) -> DataFrame:
@@ -139,7 +137,7 @@ def canonical_mapping(p: Profiler, columns: list[str] | None = None) -> DataFram
     """
     pol = p.policy
     cols = columns if columns is not None else low_cardinality_text(p)
-    f = p.frequencies.where(F.col("column_name").isin(cols)) if cols else p.frequencies.where(F.lit(False))
+    f = p.frequencies_of(cols)
     n = f.groupBy("column_name").agg(F.sum("count").alias("_n"))
     f = f.join(F.broadcast(n), "column_name").withColumn("_norm", F.lower(X.py_strip(F.col("value"))))
     v = f.select("column_name", F.col("value").alias("variant"), F.col("count").alias("variant_count"),
@@ -177,10 +175,19 @@ def aggregate_duplicates(df: DataFrame, keys: list[str], measures: list[str], di
     return df.groupBy(*keys).agg(*aggs)
 
 
-def apply_value_map(df: DataFrame, column: str, mapping: DataFrame, src: str, dst: str) -> DataFrame:
-    """Replace values of ``column`` through a mapping bounded by max_distinct rows (broadcast)."""
+# Largest value mapping that is broadcast; larger ones take a shuffle join (AQE splits a skewed key).
+MAP_BROADCAST_ROWS = 1_000_000
+
+
+def apply_value_map(df: DataFrame, column: str, mapping: DataFrame, src: str, dst: str,
+                    rows_bound: int | None = None) -> DataFrame:
+    """Replace values of ``column`` through a mapping of at most ``rows_bound`` rows.
+
+    The mapping is broadcast only under a known bound; otherwise a shuffle join."""
     m = mapping.select(F.col(src).alias("__from"), F.col(dst).alias("__to"))
-    j = df.join(F.broadcast(m), df[column] == m["__from"], "left")
+    if rows_bound is not None and rows_bound <= MAP_BROADCAST_ROWS:
+        m = F.broadcast(m)
+    j = df.join(m, df[column] == m["__from"], "left")
     return j.select(*[(F.coalesce(F.col("__to"), F.col(column)).alias(column) if c == column else F.col(c))
                       for c in df.columns])
 
@@ -189,7 +196,8 @@ def canonicalize(df: DataFrame, p: Profiler, columns: list[str] | None = None) -
     m = canonical_mapping(p, columns).where(F.col("action") == "canonicalize")
     out = df
     for c in columns if columns is not None else low_cardinality_text(p):
-        out = apply_value_map(out, c, m.where(F.col("column_name") == c), "variant", "canonical")
+        out = apply_value_map(out, c, m.where(F.col("column_name") == c), "variant", "canonical",
+                              rows_bound=p.max_distinct)  # variants come from low-cardinality columns
     return out
 
 
@@ -197,14 +205,16 @@ def rare_values(p: Profiler, column: str) -> DataFrame:
     """Values whose share of rows is below the low-frequency threshold."""
     n = p.completeness().where(F.col("column_name") == column).select(F.col("row_count").alias("_n"),
                                                                        F.lit(1).alias("_k"))
-    f = p.frequencies.where(F.col("column_name") == column).withColumn("_k", F.lit(1))
+    f = p.frequencies_of([column]).withColumn("_k", F.lit(1))
     return (f.join(F.broadcast(n), "_k")  # one row
              .where(F.col("count") / F.col("_n") < p.policy.low_frequency_threshold)
              .select("value", F.lit(p.policy.other_token).alias("to")))
 
 
 def collapse_rare(df: DataFrame, p: Profiler, column: str) -> DataFrame:
-    return apply_value_map(df, column, rare_values(p, column), "value", "to")
+    d = p.distinct_counts.where(F.col("column_name") == column).collect()  # one row
+    bound = int(d[0]["distinct_count"]) if d else 0  # rare values are a subset of the distinct ones
+    return apply_value_map(df, column, rare_values(p, column), "value", "to", rows_bound=bound)
 
 
 # --------------------------------------------------------------- casts, descriptors

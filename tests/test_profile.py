@@ -143,3 +143,23 @@ def test_policy_roles(spark):
     roles = {x["column_name"]: x["role"] for x in Profiler(df, "t").roles().collect()}
     assert roles == {"order_id": "identifier", "email": "identifier", "created_date": "timestamp",
                      "amount": "measure", "status": "status", "o_orderdate": "dimension"}
+
+
+@pytest.mark.parametrize("bound", [0, 10**6])
+def test_both_quantile_paths_agree_with_pandas(spark, sf, events, monkeypatch, bound):
+    """The bounded-domain path (percentile) and the bucketed path give the same exact values."""
+    from qualis.operators import orderstats as OS
+    monkeypatch.setattr(OS, "SMALL_DOMAIN", bound)
+    df = read_table(spark, sf, "lineitem")
+    pdf = pd.read_parquet(f"{sf}/lineitem.parquet")
+    p = Profiler(df, "lineitem")
+    got = {r["column_name"]: r for r in p.quantiles().collect()}
+    for c in ("l_extendedprice", "l_quantity", "l_orderkey"):
+        s = pdf[c].astype(float)
+        assert got[c]["q1"] == pytest.approx(s.quantile(0.25)), c
+        assert got[c]["median"] == pytest.approx(s.quantile(0.5)), c
+        assert got[c]["q3"] == pytest.approx(s.quantile(0.75)), c
+    ts = events[1]["ts"].sort_values().diff().dropna()
+    r = Profiler(events[0], "events").datetime().where("column_name = 'ts'").first()
+    assert r["median_gap_seconds"] == pytest.approx(ts.median().total_seconds(), abs=1e-6)
+    assert r["gap_count"] == len(ts)
