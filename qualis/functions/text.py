@@ -35,6 +35,18 @@ IP_PREFIX = r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"
 NUMERIC_TEXT = r"(?i)^\s*[+-]?(((\d+\.?\d*)|(\.\d+))(e[+-]?\d+)?|inf|infinity)\s*$"
 
 
+# Texts longer than this are grouped by their 128-bit MD5 when only equality matters
+# (distinct and duplicate counts): the shuffle then moves 37 characters, not the
+# text.  The hashed form is longer than the limit, so it never equals a kept text.
+LONG_TEXT = 32
+
+
+def group_key(c: str | Column) -> Column:
+    """Equality key of a string: itself when short, a marked MD5 digest when long."""
+    x = col_of(c)
+    return F.when(F.length(x) <= LONG_TEXT, x).otherwise(F.concat(F.lit("\u0000md5:"), F.md5(x)))
+
+
 def col_of(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 

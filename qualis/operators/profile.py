@@ -145,15 +145,22 @@ class Profiler:
                  "ip_count": "ip", "numeric_count": "num", "numeric_min": "num", "numeric_max": "num",
                  "datetime_count": "dt", "untrimmed_count": "ut", "null_token_count": "tok"}
 
-    def _helper_exprs(self, c: Column) -> dict[str, Column]:
-        lc, uc = F.lower(c), F.upper(c)
-        cased = lc != uc
-        return {"len": F.length(c), "lo": (c == lc) & cased, "up": (c == uc) & cased,
-                "ti": ~c.rlike(X.NOT_TITLE) & cased, "em": X.matches(c, X.EMAIL_FULL),
-                "ph": X.matches(c, X.PHONE_FULL), "an": X.matches(c, X.ALNUM_ID_FULL),
-                "cu": X.matches(c, X.CURRENCY_FULL), "pc": X.matches(c, X.PERCENT_FULL),
-                "es": X.searches(c, X.EMAIL_PATTERN), "ip": X.matches(c, X.IP_PREFIX), "num": X.to_number(c),
-                "dt": X.to_timestamp_safe(c).isNotNull(), "ut": X.is_untrimmed(c), "tok": X.null_token(c, self.policy)}
+    def _helper_exprs(self, c: Column, keys: Iterable[str] | None = None) -> dict[str, Column]:
+        """Per-row helper expressions of column ``c``; only the requested ones are built
+        (each builder is several JVM calls, so building unused ones costs planning time)."""
+        cased = lambda: F.lower(c) != F.upper(c)
+        build = {
+            "len": lambda: F.length(c), "lo": lambda: (c == F.lower(c)) & cased(),
+            "up": lambda: (c == F.upper(c)) & cased(), "ti": lambda: ~c.rlike(X.NOT_TITLE) & cased(),
+            "em": lambda: X.matches(c, X.EMAIL_FULL), "ph": lambda: X.matches(c, X.PHONE_FULL),
+            "an": lambda: X.matches(c, X.ALNUM_ID_FULL), "cu": lambda: X.matches(c, X.CURRENCY_FULL),
+            "pc": lambda: X.matches(c, X.PERCENT_FULL), "es": lambda: X.searches(c, X.EMAIL_PATTERN),
+            "ip": lambda: X.matches(c, X.IP_PREFIX), "num": lambda: X.to_number(c),
+            "dt": lambda: X.to_timestamp_safe(c).isNotNull(), "ut": lambda: X.is_untrimmed(c),
+            "tok": lambda: X.null_token(c, self.policy),
+        }
+        wanted = build if keys is None else [k for k in build if k in set(keys)]
+        return {k: build[k]() for k in wanted}
 
     def _string_helpers(self, names: list[str], keys: set[str] | None = None) -> list[Column]:
         """Per-row values of the requested string statistics, each computed once per row."""
@@ -163,26 +170,26 @@ class Profiler:
             if name not in strings:
                 continue
             h = hid(self.ordinal[name])
-            for k, e in self._helper_exprs(F.col(name)).items():
-                if keys is None or k in keys:
-                    out.append(e.alias(h(k)))
+            for k, e in self._helper_exprs(F.col(name), keys).items():
+                out.append(e.alias(h(k)))
         return out
 
     def _string_exprs(self, name: str, stats=None) -> dict[str, Column]:
         h = hid(self.ordinal[name])
         col = lambda k: F.col(h(k))
-        allx = {
-            "min_length": F.min(col("len")), "max_length": F.max(col("len")), "avg_length": F.avg(col("len")),
-            "lower_count": F.count_if(col("lo")), "upper_count": F.count_if(col("up")),
-            "title_count": F.count_if(col("ti")), "email_count": F.count_if(col("em")),
-            "phone_count": F.count_if(col("ph")), "alnum_id_count": F.count_if(col("an")),
-            "currency_count": F.count_if(col("cu")), "percent_count": F.count_if(col("pc")),
-            "email_search_count": F.count_if(col("es")), "ip_count": F.count_if(col("ip")),
-            "numeric_count": F.count(col("num")), "numeric_min": F.min(col("num")), "numeric_max": F.max(col("num")),
-            "datetime_count": F.count_if(col("dt")), "untrimmed_count": F.count_if(col("ut")),
-            "null_token_count": F.count_if(col("tok")),
+        build = {
+            "min_length": lambda: F.min(col("len")), "max_length": lambda: F.max(col("len")),
+            "avg_length": lambda: F.avg(col("len")), "lower_count": lambda: F.count_if(col("lo")),
+            "upper_count": lambda: F.count_if(col("up")), "title_count": lambda: F.count_if(col("ti")),
+            "email_count": lambda: F.count_if(col("em")), "phone_count": lambda: F.count_if(col("ph")),
+            "alnum_id_count": lambda: F.count_if(col("an")), "currency_count": lambda: F.count_if(col("cu")),
+            "percent_count": lambda: F.count_if(col("pc")), "email_search_count": lambda: F.count_if(col("es")),
+            "ip_count": lambda: F.count_if(col("ip")), "numeric_count": lambda: F.count(col("num")),
+            "numeric_min": lambda: F.min(col("num")), "numeric_max": lambda: F.max(col("num")),
+            "datetime_count": lambda: F.count_if(col("dt")), "untrimmed_count": lambda: F.count_if(col("ut")),
+            "null_token_count": lambda: F.count_if(col("tok")),
         }
-        return allx if stats is None else {k: v for k, v in allx.items() if k in stats}
+        return {k: f() for k, f in build.items() if stats is None or k in stats}
 
     @cached_property
     def base_stats(self) -> DataFrame:
@@ -340,14 +347,15 @@ class Profiler:
             return "string"
         return dt.simpleString()
 
-    def _typed_frequencies(self, columns: Iterable[str] | None = None) -> list[DataFrame]:
+    def _typed_frequencies(self, columns: Iterable[str] | None = None, equality_only: bool = False) -> list[DataFrame]:
         """Pass 2: (column_name, v, count) over non-null values, one frame per type family.
 
         Values are grouped in their own type, so nothing is rendered as text before
         the shuffle (text casts of numbers cost more than the aggregation itself).
         Map-side partial aggregation turns a hot value into one row per task.
         -0.0 is folded to 0.0 so both count as one value.  Only ``columns`` are
-        read when given."""
+        read when given.  ``equality_only`` (counting, no values shown) groups long
+        texts by their digest (:func:`qualis.functions.text.group_key`)."""
         wanted = None if columns is None else set(columns)
         fams: dict[str, list[T.StructField]] = {}
         for f in self.fields:
@@ -360,6 +368,8 @@ class Profiler:
                 c = F.col(f.name)
                 if fam == "double":
                     c = F.when(c == 0, F.lit(0.0)).otherwise(c.cast("double"))
+                elif fam == "string" and equality_only:
+                    c = X.group_key(c.cast("string"))
                 elif fam != f.dataType.simpleString():
                     c = c.cast(fam)
                 exprs.append(c.alias(f.name))
@@ -390,7 +400,7 @@ class Profiler:
     def distinct_counts(self) -> DataFrame:
         """Distinct non-null values per column (one row per column, cached)."""
         parts = [fr.groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_count"))
-                 for fr in self._typed_frequencies()]
+                 for fr in self._typed_frequencies(equality_only=True)]
         if not parts:
             return self.spark.createDataFrame([], "column_name string, distinct_count bigint")
         out = parts[0]
@@ -411,7 +421,7 @@ class Profiler:
                 rows = self.distinct_counts.collect()
             else:
                 parts = [fr.groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_count"))
-                         for fr in self._typed_frequencies(missing)]
+                         for fr in self._typed_frequencies(missing, equality_only=True)]
                 rows = [r for x in parts for r in x.collect()]
             for r in rows:
                 known[r["column_name"]] = int(r["distinct_count"])
@@ -608,7 +618,9 @@ class Profiler:
     def duplicates(self) -> DataFrame:
         """Duplicate rows (nulls equal) and all-null rows."""
         cols = [f.name for f in self.fields]
-        g = self.df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_c"))
+        keyed = self.df.select(*[(X.group_key(f.name) if N.is_string(f.dataType) else F.col(f.name)).alias(f.name)
+                                 for f in self.fields])  # long texts compared by digest
+        g = keyed.groupBy(*cols).agg(F.count(F.lit(1)).alias("_c"))
         all_null = F.lit(True)
         for c in cols:
             all_null = all_null & F.col(c).isNull()
