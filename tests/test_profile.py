@@ -163,3 +163,13 @@ def test_both_quantile_paths_agree_with_pandas(spark, sf, events, monkeypatch, b
     r = Profiler(events[0], "events").datetime().where("column_name = 'ts'").first()
     assert r["median_gap_seconds"] == pytest.approx(ts.median().total_seconds(), abs=1e-6)
     assert r["gap_count"] == len(ts)
+
+
+def test_long_text_distinct_and_duplicates(spark, sf):
+    df = read_table(spark, sf, "documents")
+    pdf = pd.read_parquet(f"{sf}/documents.parquet")
+    p = Profiler(df, "documents")
+    d = {r["column_name"]: r["distinct_count"] for r in p.distinct_counts.collect()}
+    assert d["text"] == pdf["text"].nunique()
+    r = p.duplicates().first()
+    assert r["duplicate_row_count"] == int(pdf.duplicated().sum())

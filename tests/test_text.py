@@ -137,3 +137,12 @@ def test_builders_stay_native(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
     assert F is not None
+
+
+def test_group_key_keeps_equality(spark):
+    long_a, long_b = "x" * 40, "x" * 39 + "y"
+    vals = ["short", "short", long_a, long_a, long_b, None]
+    df = one_col(spark, vals).select(X.group_key("v").alias("k"))
+    assert df.distinct().count() == len(set(vals))
+    keys = [r[0] for r in df.collect()]
+    assert keys[0] == "short" and keys[2] != long_a and keys[2] == keys[3] and keys[4] != keys[2]
