@@ -210,46 +210,52 @@ class Profiler:
         stats = {"null_count": "bigint", "non_null_count": "bigint", "empty_string_count": "bigint", **self.STRING_STATS}
         return self._long(stats, per, pre=self._string_helpers).cache()
 
-    def string_stats(self, *needed: str) -> DataFrame:
-        """String-column statistics holding at least ``needed``.
-
-        Reuses the full pass or an earlier pass that covers the request; otherwise
-        runs one aggregation with only the helpers those statistics need (so a
-        role decision never pays for case or pattern scans of long texts)."""
-        names = [f.name for f in self.string_fields]
-        if "base_stats" in self.__dict__:
-            return self.base_stats.where(F.col("column_name").isin(names)) if names else self.base_stats.where(F.lit(False))
-        need = frozenset(needed) | {"non_null_count"}
+    def _stats_pass(self, need: frozenset) -> DataFrame:
+        """One scan: null/non-null/empty counts of every column plus the string
+        statistics in ``need`` (cached; a later request covered by it reuses it)."""
         passes = self.__dict__.setdefault("_passes", {})
         for keys, df in passes.items():
             if need <= keys:
                 return df
-        stats = {"non_null_count": "bigint", **{k: v for k, v in self.STRING_STATS.items() if k in need}}
+        stats = {"null_count": "bigint", "non_null_count": "bigint", "empty_string_count": "bigint",
+                 **{k: v for k, v in self.STRING_STATS.items() if k in need}}
         helper_keys = {self.HELPER_OF[k] for k in need if k in self.HELPER_OF}
-        per = [(n, {"non_null_count": F.count(F.col(n)), **self._string_exprs(n, need)}) for n in names]
-        if not per:
-            df = self.spark.createDataFrame([], "entity_name string, column_name string, ordinal_position int, "
-                                                "row_count bigint, " + ", ".join(f"{k} {t}" for k, t in stats.items()))
-        else:
-            df = self._long(stats, per, pre=lambda ns: self._string_helpers(ns, helper_keys)).cache()
-        passes[need] = df
-        return df
-
-    @cached_property
-    def core_stats(self) -> DataFrame:
-        """Null, non-null and empty-string counts only (cheap; cached)."""
         per = []
         for f in self.fields:
             c = F.col(f.name)
-            e = {"null_count": F.count_if(c.isNull()), "non_null_count": F.count(c),
-                 "empty_string_count": F.count_if(c == F.lit("")) if N.is_string(f.dataType) else F.lit(0)}
+            e = {"null_count": F.count_if(c.isNull()), "non_null_count": F.count(c)}
+            if N.is_string(f.dataType):
+                e["empty_string_count"] = F.count_if(c == F.lit(""))
+                e.update(self._string_exprs(f.name, need))
+            else:
+                e["empty_string_count"] = F.lit(0)
             per.append((f.name, e))
-        return self._long({"null_count": "bigint", "non_null_count": "bigint", "empty_string_count": "bigint"},
-                          per).cache()
+        df = self._long(stats, per, pre=lambda ns: self._string_helpers(ns, helper_keys)).cache()
+        passes[need] = df
+        return df
+
+    def string_stats(self, *needed: str) -> DataFrame:
+        """String-column statistics holding at least ``needed``.
+
+        Reuses the full pass or an earlier pass that covers the request; otherwise
+        runs one aggregation with only the helpers those statistics need (so a
+        role decision never pays for case or pattern scans of long texts)."""
+        names = [f.name for f in self.string_fields]
+        b = self.__dict__.get("base_stats")
+        if b is None:
+            b = self._stats_pass(frozenset(needed))
+        return b.where(F.col("column_name").isin(names)) if names else b.where(F.lit(False))
+
+    @property
+    def core_stats(self) -> DataFrame:
+        """Null, non-null and empty-string counts: from the full pass or any earlier
+        statistics pass of this entity, else one cheap pass."""
+        b = self.__dict__.get("base_stats")
+        return b if b is not None else self._stats_pass(frozenset())
 
     def completeness(self) -> DataFrame:
         # reuse the full pass when it already ran for this entity; else the cheap one
-        b = self.__dict__.get("base_stats") or self.core_stats
+        b = self.core_stats
         return b.select("entity_name", "column_name", "ordinal_position", "row_count", "null_count", "non_null_count",
                         "empty_string_count", safe_rate(F.col("null_count"), F.col("row_count")).alias("null_rate"))
 
@@ -714,6 +720,7 @@ class Profiler:
 
     def column_profile(self) -> DataFrame:
         """The per-column profile record: role, criticality, completeness, cardinality."""
+        self.string_stats("avg_length")  # one scan serves the role rule and the null counts
         r = self.roles().select("column_name", "native_type", "role", "criticality")
         d = self.distinctness()
         cid = F.concat(F.lit("col_"), F.substring(F.md5(F.concat_ws("_", F.lit(self.entity), F.col("column_name"))), 1, 8))
