@@ -77,3 +77,17 @@ def test_plans_per_time_axis(spark, sf):
     assert 1 <= len(plans) <= 5
     axes = {p.grain.time_axis for p in plans}
     assert len(axes) == len(plans)
+
+
+def test_run_entities_writes_every_stage(spark, sf, scratch):
+    from qualis.plans.flow import run_entities
+    src = load(spark, sf, "dirty_customers")
+    res = run_entities(spark, {"dirty_customers": src}, scratch, run_id="2024-01-01_00-00-00")
+    assert res[0]["issues"] > 0 and res[0]["fix_steps"] > 0
+    for name in ("original/dirty_customers", "profile", "issues", "remediated/dirty_customers", "remediation_log",
+                 "wide_plan", f"wide/{res[0]['wide_table']}"):
+        assert os.path.isdir(os.path.join(scratch, name)), name
+    fixed = SK.read_artifact(spark, scratch, "remediated/dirty_customers", "2024-01-01_00-00-00", fmt="parquet")
+    wide = SK.read_artifact(spark, scratch, f"wide/{res[0]['wide_table']}", "2024-01-01_00-00-00", fmt="parquet")
+    assert fixed.count() == src.count() == wide.count()
+    assert fixed.where(F.col("email").contains("@")).count() == 0
