@@ -75,6 +75,19 @@ class Profiler:
         self.ordinal = {f.name: i + 1 for i, f in enumerate(df.schema.fields)}
         self.spark = df.sparkSession
 
+    def release(self) -> None:
+        """Unpersist the small per-column statistics this profiler cached.
+
+        Cached plans stay registered with Spark's cache manager until released, and
+        every later query is matched against them while it is planned."""
+        frames = [self.__dict__.get(k) for k in ("base_stats", "distinct_counts")]
+        frames += list(self.__dict__.get("_passes", {}).values())
+        for df in frames:
+            if df is not None:
+                df.unpersist()
+        for k in ("base_stats", "distinct_counts", "_passes", "_domain", "_ndv"):
+            self.__dict__.pop(k, None)
+
     # ------------------------------------------------------------------ helpers
     def _of(self, pred) -> list[T.StructField]:
         return [f for f in self.fields if pred(f.dataType)]

@@ -54,6 +54,7 @@ def run_entities(spark: SparkSession, entities: Mapping[str, DataFrame], out_dir
         for which, cols in (("sparse", plan.sparse), ("text", plan.excluded)):
             if cols:
                 SK.write_artifact(W.sidecar(fixed, plan, which), out_dir, f"wide/{plan.table_name}_{which}", run_id)
+        p.release()
         out.append({"entity": entity, "run_id": run_id, "issues": len(issue_rows),
                     "fix_steps": len(fixes.steps), "wide_table": plan.table_name, "grain_keys": plan.keys,
                     "grain_confidence": plan.grain.confidence, "human_review": plan.grain.human_review})

@@ -20,6 +20,7 @@ def spark():
     s = (SparkSession.builder.master("local[*]").appName("qualis-tests")
          .config("spark.sql.shuffle.partitions", "8")
          .config("spark.ui.enabled", "false")
+         .config("spark.driver.memory", "6g")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="qualis-wh-", dir="/tmp"))
          .getOrCreate())
