@@ -7,6 +7,7 @@ Each query is forced to completion with the no-op sink (nothing is collected).
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -41,6 +42,7 @@ def main() -> None:
         QUERIES[n](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[n] = round(time.time() - t0, 3)
         spark.catalog.clearCache()
+        gc.collect()  # drop Python-side handles so the JVM can free plans and shuffle state
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({"metric": "total_query_seconds", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": float(m.group(1)) if m else None, "cpus": cpus}))

@@ -23,6 +23,11 @@ def build_session(cpus: int | str = "*", app: str = "qualis", shuffle_partitions
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("QUALIS_DRIVER_MEMORY", "16g"))
+        # a long-lived driver keeps every execution's plan graph for the status store;
+        # profiling runs many small jobs with large plans, so keep only recent ones
+        .config("spark.sql.ui.retainedExecutions", "20")
+        .config("spark.ui.retainedJobs", "100")
+        .config("spark.ui.retainedStages", "100")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
