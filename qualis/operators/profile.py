@@ -807,3 +807,29 @@ def bin_index(v: Column, lo: float, hi: float, n: int) -> Column:
     left = F.lit(lo) + idx.cast("double") * F.lit(step)
     right = F.when(idx == n - 1, F.lit(hi)).otherwise(F.lit(lo) + (idx + 1).cast("double") * F.lit(step))
     return (F.when(v < left, idx - 1).when((v >= right) & (idx != n - 1), idx + 1).otherwise(idx)).cast("int")
+
+
+def dataset_totals(entities: dict[str, DataFrame]) -> DataFrame:
+    """Rows, columns and stored bytes per entity, plus an ``__all__`` total row.
+
+    Bytes are the summed sizes of the distinct files behind an entity, read from the
+    file source's ``_metadata`` column (a distributed scan, no file list on the
+    driver); NULL for entities that are not a plain file scan."""
+    parts = []
+    for name, df in entities.items():
+        rows = df.agg(F.lit(name).alias("entity_name"), F.count(F.lit(1)).cast("bigint").alias("row_count"))
+        try:
+            files = df.select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("s")).distinct()
+            size = files.agg(F.lit(name).alias("entity_name"), F.sum("s").cast("bigint").alias("size_bytes"))
+        except Exception:  # noqa: BLE001 - derived views expose no file metadata
+            size = df.sparkSession.range(1).select(F.lit(name).alias("entity_name"),
+                                                   F.lit(None).cast("bigint").alias("size_bytes"))
+        parts.append(rows.join(size, "entity_name").select(  # one row each side
+            "entity_name", "row_count", F.lit(len(df.columns)).cast("bigint").alias("column_count"), "size_bytes"))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    total = out.agg(F.lit("__all__").alias("entity_name"), F.sum("row_count").cast("bigint").alias("row_count"),
+                    F.sum("column_count").cast("bigint").alias("column_count"),
+                    F.sum("size_bytes").cast("bigint").alias("size_bytes"))
+    return out.unionByName(total)

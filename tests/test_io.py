@@ -91,3 +91,12 @@ def test_run_entities_writes_every_stage(spark, sf, scratch):
     wide = SK.read_artifact(spark, scratch, f"wide/{res[0]['wide_table']}", "2024-01-01_00-00-00", fmt="parquet")
     assert fixed.count() == src.count() == wide.count()
     assert fixed.where(F.col("email").contains("@")).count() == 0
+
+
+def test_dataset_totals_bytes(spark, sf):
+    from qualis.operators.profile import dataset_totals
+    ents = {t: RD.read_table(spark, sf, t) for t in ("region", "nation")}
+    rows = {r["entity_name"]: r for r in dataset_totals(ents).collect()}
+    assert rows["nation"]["row_count"] == 25 and rows["nation"]["column_count"] == 3
+    assert rows["region"]["size_bytes"] == os.path.getsize(f"{sf}/region.parquet")
+    assert rows["__all__"]["size_bytes"] == sum(os.path.getsize(f"{sf}/{t}.parquet") for t in ents)
