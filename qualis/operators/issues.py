@@ -31,6 +31,26 @@ def casing_rule(policy, role: Column, name: Column) -> Column:
     return default if out is None else out.otherwise(default)
 
 
+def policy_decisions(p: Profiler) -> DataFrame:
+    """What the policy decides per column -- criticality, whether the field is
+    required (with the failure action and owner), the casing rule, and the masking
+    method of the first personal-data type detected."""
+    pol = p.policy
+    r = p.roles().select("entity_name", "column_name", "ordinal_position", "role", "criticality")
+    j = r.join(p.pii().select("column_name", "pii_types"), "column_name", "left")
+    role = F.col("role")
+    req = list(pol.required_roles)
+    act = F.create_map(*[F.lit(x) for k, (a, _) in pol.required_roles.items() for x in (k, a)])
+    own = F.create_map(*[F.lit(x) for k, (_, o) in pol.required_roles.items() for x in (k, o)])
+    methods = F.create_map(*[F.lit(x) for kv in pol.pii_mask_methods.items() for x in kv])
+    kind = F.when(F.coalesce(F.col("pii_types"), F.lit("")) != "", F.split(F.col("pii_types"), ",").getItem(0))
+    required = role.isin(req) if req else F.lit(False)
+    return j.select("entity_name", "column_name", "ordinal_position", "role", "criticality", required.alias("required"),
+                    F.when(required, act[role]).alias("failure_action"), F.when(required, own[role]).alias("failure_owner"),
+                    casing_rule(pol, role, F.col("column_name")).alias("casing"), kind.alias("pii_type"),
+                    F.when(kind.isNotNull(), F.coalesce(methods[kind], F.lit("hash"))).alias("mask_method"))
+
+
 def column_facts(p: Profiler) -> DataFrame:
     """Per-column inputs of the issue rules (one row per column)."""
     need = ("avg_length", "untrimmed_count", "null_token_count", "numeric_count")
