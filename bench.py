@@ -25,6 +25,7 @@ HEADLINE = [
     "profile_patterns", "pii_scan", "column_roles", "issues", "remediate_all", "remediation_log", "mask_all",
     "global_mask", "grain_scores", "grain_check", "wide_orders", "wide_rejoin", "chart_bar", "chart_summary",
     "flags", "canonical_categories", "rare_to_other", "dedupe_aggregate", "safe_casts", "normalize_text",
+    "free_text_pii", "policy_decisions", "dataset_totals",
 ]
 
 

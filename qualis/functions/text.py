@@ -29,6 +29,8 @@ CURRENCY_FULL = r"^[\$£€¥]?[\d,]+\.?\d{0,2}$"
 PERCENT_FULL = r"^\d+\.?\d*%$"
 ALNUM_ID_FULL = r"(?i)^[A-Z0-9\-_]+$"
 IP_PREFIX = r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"
+# An IPv4-looking token anywhere in a text (free-text scan), same in Java regex and RE2.
+IP_ANYWHERE = r"(^|[^0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}([^0-9.]|$)"
 
 # Text accepted by a pandas-style ``to_numeric(errors='coerce')``: decimal or
 # scientific notation with optional sign and surrounding blanks, or inf/infinity.

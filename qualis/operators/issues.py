@@ -31,6 +31,32 @@ def casing_rule(policy, role: Column, name: Column) -> Column:
     return default if out is None else out.otherwise(default)
 
 
+def free_text_pii(p: Profiler) -> DataFrame:
+    """Personal data found inside free-text columns requires human review.
+
+    Free-text columns come from the role rules (one row per column reaches the
+    driver); all of them are then scanned in ONE aggregation for rows holding an
+    e-mail address or an IPv4 address anywhere in the text."""
+    free = [r["column_name"] for r in p.roles().where(F.col("role") == "free_text").select("column_name").collect()]
+    schema = ("entity_name string, column_name string, issue_type string, severity string, count bigint, "
+              "policy_section string, owner string, action string, details string, examples string")
+    if not free:
+        return p.spark.createDataFrame([], schema)
+    aggs, rows = [], []
+    for i, c in enumerate(free):
+        em, ip = X.searches(c, X.EMAIL_PATTERN), X.searches(c, X.IP_ANYWHERE)
+        aggs += [F.count_if(em | ip).alias(f"n{i}"), F.count_if(em).alias(f"e{i}"), F.count_if(ip).alias(f"i{i}")]
+        rows.append(F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").cast("bigint").alias("count"),
+                             F.concat(F.lit("email rows: "), F.col(f"e{i}").cast("string"), F.lit(", ip rows: "),
+                                      F.col(f"i{i}").cast("string")).alias("details")))
+    out = p.df.agg(*aggs).select(F.explode(F.array(*rows)).alias("r")).select("r.*").where(F.col("count") > 0)
+    return out.select(F.lit(p.entity).alias("entity_name"), "column_name", F.lit("pii_in_free_text").alias("issue_type"),
+                      F.lit("warn").alias("severity"), "count",
+                      F.lit("pii_handling.human_review_required_if").alias("policy_section"),
+                      F.lit("human").alias("owner"), F.lit("human_review").alias("action"), "details",
+                      F.lit(None).cast("string").alias("examples"))
+
+
 def policy_decisions(p: Profiler) -> DataFrame:
     """What the policy decides per column -- criticality, whether the field is
     required (with the failure action and owner), the casing rule, and the masking
