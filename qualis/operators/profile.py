@@ -617,7 +617,9 @@ class Profiler:
         for name, expr in cols:
             part = self.df.select(F.lit(name).alias("column_name"), expr.alias("ts"))
             long = part if long is None else long.unionByName(part)
-        long = long.where(F.col("ts").isNotNull()).withColumn("t_us", F.unix_micros(F.col("ts").cast("timestamp")))
+        # wall-clock microseconds since the epoch, independent of the session time zone
+        epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+        long = long.where(F.col("ts").isNotNull()).withColumn("t_us", F.timestamp_diff("MICROSECOND", epoch, F.col("ts")))
         rng = long.groupBy("column_name").agg(F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"),
                                                 F.count(F.lit(1)).alias("_n"))
         # distinct gaps <= distinct values <= distinct raw values: a proven bound per column

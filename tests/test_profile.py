@@ -173,3 +173,16 @@ def test_long_text_distinct_and_duplicates(spark, sf):
     assert d["text"] == pdf["text"].nunique()
     r = p.duplicates().first()
     assert r["duplicate_row_count"] == int(pdf.duplicated().sum())
+
+
+def test_gaps_do_not_depend_on_session_time_zone(spark):
+    import datetime as dt
+    rows = [(dt.datetime(2024, 3, 10, 1, 30),), (dt.datetime(2024, 3, 10, 3, 30),), (dt.datetime(2024, 3, 10, 5, 30),)]
+    df = spark.createDataFrame(rows, "t timestamp_ntz")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        r = Profiler(df, "t").datetime().first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert r["median_gap_seconds"] == 7200.0  # wall-clock gaps, as pandas gives for naive datetimes
