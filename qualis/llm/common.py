@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from qualis.session import checkpoint_dir
 
+ARROW = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}
+ARROW |= {f"array<{k}>": pa.list_(v) for k, v in ARROW.items()}
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -50,7 +52,8 @@ def per_text(
     ``make()`` runs once in each task and returns a function from a list of texts (None where null)
     to the new columns, named as in ``schema``. The columns of ``keep`` (default: all) stay.
     """
-    names = [f.strip().split(" ")[0] for f in schema.split(",")]
+    kinds = dict(f.strip().split(" ") for f in schema.split(","))
+    names = list(kinds)
     keep = [c for c in (df.columns if keep is None else keep) if c not in names]
     out = df.select(*[df[f"`{c}`"] for c in keep], df["text"].alias("__text"))
     fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields if f.name != "__text"] + [schema])
@@ -60,7 +63,7 @@ def per_text(
         for whole in batches:
             for b in sliced(whole):
                 cols = fn(b.column("__text").to_pylist())
-                arrays = [b.column(c) for c in keep] + [pa.array(cols[n]) for n in names]
+                arrays = [b.column(c) for c in keep] + [pa.array(cols[n], ARROW[kinds[n]]) for n in names]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *names])
 
     return out.mapInArrow(run, fields)

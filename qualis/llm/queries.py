@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from qualis.llm import bpe
+from qualis.llm import bpe, quality, toxicity
 from qualis.llm.common import key_text, load
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -21,8 +21,18 @@ def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), VOCABULARY)
 
 
+def op9_clause_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(documents(spark, sf_dir), load(spark, sf_dir, "labels"))
+
+
+def op10_nb_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(documents(spark, sf_dir), load(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe_automaton": op8_bpe_automaton,
+    "op9_clause_grammar": op9_clause_grammar,
+    "op10_nb_svm": op10_nb_svm,
 }
 
 #: DuckDB SQL where SQL can express the query.
