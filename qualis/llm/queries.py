@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from qualis.llm import bpe, quality, toxicity
+from qualis.llm import bpe, quality, simhash, toxicity
 from qualis.llm.common import key_text, load
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -17,6 +17,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return key_text(load(spark, sf_dir, "documents"))
 
 
+def op2_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(documents(spark, sf_dir))
+
+
 def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), VOCABULARY)
 
@@ -30,6 +34,7 @@ def op10_nb_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_simhash_pigeonring": op2_simhash_pigeonring,
     "op8_bpe_automaton": op8_bpe_automaton,
     "op9_clause_grammar": op9_clause_grammar,
     "op10_nb_svm": op10_nb_svm,
