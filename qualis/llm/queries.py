@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from qualis.llm import bpe, quality, simhash, toxicity
+from qualis.llm import bpe, decontaminate, quality, simhash, toxicity
 from qualis.llm.common import key_text, load
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -21,6 +21,10 @@ def op2_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(documents(spark, sf_dir))
 
 
+def op3_prefix_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(documents(spark, sf_dir), load(spark, sf_dir, "benchmark"))
+
+
 def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), VOCABULARY)
 
@@ -35,10 +39,13 @@ def op10_nb_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_pigeonring": op2_simhash_pigeonring,
+    "op3_prefix_filter": op3_prefix_filter,
     "op8_bpe_automaton": op8_bpe_automaton,
     "op9_clause_grammar": op9_clause_grammar,
     "op10_nb_svm": op10_nb_svm,
 }
 
 #: DuckDB SQL where SQL can express the query.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_prefix_filter": decontaminate.ORACLE,
+}

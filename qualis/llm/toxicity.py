@@ -17,7 +17,7 @@ import re
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qualis.llm.common import per_text
@@ -158,13 +158,16 @@ def learned_terms(taught: DataFrame, most: int = MOST_TERMS) -> dict[str, float]
     """Words and beginnings by their log odds between toxic and other labelled rows; at most ``most`` rows
     reach the driver. Counted as a grouped aggregation over the sample."""
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
-    stems = [F.transform(F.filter("w", lambda x, n=n: F.length(x) >= n), lambda x, n=n: F.concat(F.substring(x, 1, n), F.lit("*"))) for n in STEMS]
+
+    def stems(n: int) -> Column:
+        return F.transform(F.filter("w", lambda x: F.length(x) >= n), lambda x: F.concat(F.substring(x, 1, n), F.lit("*")))
+
     rows = taught.select("y", words.alias("w"))
     total = {r.y: r.n for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(total) < 2:
         return {}
     counted = (
-        rows.select("y", F.explode(F.array_distinct(F.concat("w", *stems))).alias("term"))
+        rows.select("y", F.explode(F.array_distinct(F.concat("w", *map(stems, STEMS)))).alias("term"))
         .groupBy("term").agg(F.sum("y").alias("bad"), F.count(F.lit(1)).alias("n"))
         .where(F.col("bad") >= SUPPORT)
     )
