@@ -25,9 +25,11 @@ from qualis.llm.labelled import remainder, sample
 
 FIT_ROWS = 12_000  # labelled rows the fit takes at most
 MOST_TERMS = 2_000  # learned insult words and beginnings
-SUPPORT, ODDS = 8, 4.0  # documents a term must be in, and its least log odds
-STEMS = (4, 5, 6)  # lengths of word beginnings that may stand for all their words
+SUPPORT, ODDS = 5, 4.0  # documents a term must be in, and its least log odds
+STEMS = (5, 6, 7, 8)  # lengths of word beginnings that may stand for all their words
+SPREAD = 2.0  # a beginning counts if it is in so many times the toxic rows of any one of its words
 THRESHOLD, MODULUS, HELD_OUT = 0.3, 4, 2
+SEED_WEIGHT = 2.0
 MEMO = 300_000
 
 #: Seed words of each class, in the four languages of the corpus.
@@ -92,7 +94,7 @@ FINAL = [pattern(s) for s in range(len(STATES))]
 
 @dataclass
 class Grammar:
-    """``terms``: learned log odds of words, and of beginnings (written ``abcd*``)."""
+    """``terms``: learned weights (log odds above the least) of words, and of beginnings (written ``abcd*``)."""
 
     terms: dict[str, float]
     weights: np.ndarray = field(default_factory=lambda: np.zeros(2 * PATTERNS))
@@ -100,7 +102,7 @@ class Grammar:
     known: dict[str, tuple[int, float]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        self.seeds = {w: (CLASSES[c], 4.0) for c, words in SEEDS.items() for w in words.split()}
+        self.seeds = {w: (CLASSES[c], SEED_WEIGHT) for c, words in SEEDS.items() for w in words.split()}
 
     def word(self, word: str) -> tuple[int, float]:
         """Class and weight of a word."""
@@ -173,7 +175,13 @@ def learned_terms(taught: DataFrame, most: int = MOST_TERMS) -> dict[str, float]
     )
     odds = F.log((F.col("bad") + 0.5) / (total[1] + 1)) - F.log((F.col("n") - F.col("bad") + 0.5) / (total[0] + 1))
     best = counted.select("term", odds.alias("odds"), "bad").where(F.col("odds") >= ODDS).orderBy(F.desc("bad"), "term").limit(most)
-    return {r.term: r.odds for r in best.collect()}
+    found = {r.term: r for r in best.collect()}
+    alone: dict[str, int] = {}
+    for r in found.values():
+        if not r.term.endswith("*"):
+            for n in STEMS:
+                alone[r.term[:n] + "*"] = max(alone.get(r.term[:n] + "*", 0), r.bad)
+    return {t: r.odds - ODDS + 0.5 for t, r in found.items() if r.bad >= SPREAD * alone.get(t, 0)}
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, modulus: int = MODULUS, held: int = HELD_OUT) -> Grammar:
