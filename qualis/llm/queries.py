@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from qualis.llm import bpe, decontaminate, quality, simhash, toxicity
+from qualis.llm import bpe, decontaminate, quality, simhash, tokenfile, toxicity
 from qualis.llm.common import key_text, load
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -25,6 +25,10 @@ def op3_prefix_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(documents(spark, sf_dir), load(spark, sf_dir, "benchmark"))
 
 
+def op7_bitplane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.digest(documents(spark, sf_dir), VOCABULARY)
+
+
 def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), VOCABULARY)
 
@@ -40,6 +44,7 @@ def op10_nb_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_pigeonring": op2_simhash_pigeonring,
     "op3_prefix_filter": op3_prefix_filter,
+    "op7_bitplane_tokens": op7_bitplane_tokens,
     "op8_bpe_automaton": op8_bpe_automaton,
     "op9_clause_grammar": op9_clause_grammar,
     "op10_nb_svm": op10_nb_svm,
