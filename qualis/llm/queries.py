@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from qualis.llm import bpe, decontaminate, quality, simhash, tokenfile, topk, toxicity
+from qualis.llm import bpe, decontaminate, lmscore, quality, simhash, tokenfile, topk, toxicity
 from qualis.llm.common import key_text, load
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -25,6 +25,10 @@ def op3_prefix_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(documents(spark, sf_dir), load(spark, sf_dir, "benchmark"))
 
 
+def op4_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.digest(documents(spark, sf_dir))
+
+
 def op5_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.digest(load(spark, sf_dir, "embeddings"))
 
@@ -48,6 +52,7 @@ def op10_nb_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_pigeonring": op2_simhash_pigeonring,
     "op3_prefix_filter": op3_prefix_filter,
+    "op4_stupid_backoff": op4_stupid_backoff,
     "op5_block_topk": op5_block_topk,
     "op7_bitplane_tokens": op7_bitplane_tokens,
     "op8_bpe_automaton": op8_bpe_automaton,
@@ -58,5 +63,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: DuckDB SQL where SQL can express the query.
 ORACLES: dict[str, str] = {
     "op3_prefix_filter": decontaminate.ORACLE,
+    "op4_stupid_backoff": lmscore.ORACLE,
     "op5_block_topk": topk.ORACLE,
 }
