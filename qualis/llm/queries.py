@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from qualis.llm import bpe, decontaminate, lmscore, quality, simhash, tokenfile, topk, toxicity
+from qualis.llm import bpe, decontaminate, lmscore, pii, quality, simhash, tokenfile, topk, toxicity
 from qualis.llm.common import key_text, load
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -33,6 +33,10 @@ def op5_block_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.digest(load(spark, sf_dir, "embeddings"))
 
 
+def op6_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(documents(spark, sf_dir))
+
+
 def op7_bitplane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.digest(documents(spark, sf_dir), VOCABULARY)
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_prefix_filter": op3_prefix_filter,
     "op4_stupid_backoff": op4_stupid_backoff,
     "op5_block_topk": op5_block_topk,
+    "op6_weak_supervision": op6_weak_supervision,
     "op7_bitplane_tokens": op7_bitplane_tokens,
     "op8_bpe_automaton": op8_bpe_automaton,
     "op9_clause_grammar": op9_clause_grammar,
