@@ -39,7 +39,7 @@ NO_CUES = r"(?i)(?:version|section|page|chapter|licen[sc]e|article|figure|isbn|n
 CONTEXT = 24  # code points looked at before a candidate
 STEP = 256
 VOTERS = ("strict", "gazetteer", "context", "shape")
-FEATURES = {"form": 2, "size": 5, "digits": 4, "case": 4, "opened": 2, "cued": 2, "mixed": 3}
+FEATURES = {"form": 2, "size": 5, "digits": 4, "case": 4, "opened": 2, "cued": 2, "mixed": 3, "known": 2}
 THRESHOLD = 0.5
 
 
@@ -145,6 +145,7 @@ def judged(m: Column, before: Column) -> Column:
         before.rlike("[=:\"']\\s?$").cast("int").alias("opened"),
         before.rlike(CUES).cast("int").alias("cued"),
         F.when(turns < 1, 0).when(turns < 3, 1).otherwise(2).alias("mixed"),
+        m.rlike(KNOWN_PREFIXES).cast("int").alias("known"),
     )
 
 
@@ -226,7 +227,7 @@ def soft_logistic(rows: list[tuple[tuple[int, ...], float, float]], steps: int =
 
 def train(docs: DataFrame) -> SpanModel:
     """The span model of a corpus. What reaches the driver is one row for each combination of votes and
-    features: at most 3**4 * 1920 however large the corpus."""
+    features: at most 3**4 * 3840 however large the corpus."""
     names = [*VOTERS, *FEATURES]
     told = with_candidates(docs.select("text")).select(F.explode("__cand").alias("c")).select("c.j.*")
     rows = [tuple(r) for r in told.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).collect()]
