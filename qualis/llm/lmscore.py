@@ -19,11 +19,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qualis.llm.common import ASCII_UPPER, per_text, stored
+from qualis.llm.common import ASCII_UPPER
+from qualis.llm.grouped import corpus_counts, packed, sums_of, text_bytes, unpacked
 
 ORDER, BACKOFF, SEEN = 3, 0.4, 2
 GROUP_BYTES, PART_NGRAMS, HASH_BITS = 24 << 20, 4_000_000, 56
@@ -33,17 +33,6 @@ MEMO = 500_000
 TABLE = bytes(b + 32 if chr(b) in ASCII_UPPER else b if chr(b).isdigit() and b < 128 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
 
-def planes(values: np.ndarray) -> bytes:
-    """Integers as byte planes, compressed."""
-    width = values.dtype.itemsize
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, width).T).tobytes())
-
-
-def unplanes(data: bytes, dtype: str) -> np.ndarray:
-    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.ascontiguousarray(flat.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
-
-
 class Words:
     def __init__(self) -> None:
         self.known: dict[bytes, int] = {}
@@ -79,11 +68,6 @@ def ngrams(words: np.ndarray, doc: np.ndarray, order: int) -> list[np.ndarray]:
     return out
 
 
-def cuts(parts: int) -> np.ndarray:
-    """First hash of each hash partition."""
-    return np.array([(p << HASH_BITS) // parts for p in range(parts + 1)], np.uint64)
-
-
 def group_lists(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
     """Distinct n-gram hashes of a group (ascending), their counts, the hashes by order, and each word's document."""
     read = Words()
@@ -95,61 +79,25 @@ def group_lists(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray,
     return keys, counts.astype(np.uint32), grams, doc
 
 
-def unpacked(column: pa.Array) -> list[bytes]:
-    press = zstandard.ZstdDecompressor()
-    return [press.decompress(x.as_py()) for x in column]
-
-
 def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, seen: int = SEEN, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """``doc_id, n_words, n_full`` (words scored at the highest order) and ``log_score`` (sum of natural logs) of each row.
 
     Null texts are empty; a text without words has score 0. Rows repeated or sharing an id are scored, and counted, each;
     an empty table gives an empty table; other columns are not read.
     """
-    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first().b
-    groups = max(1, -(-total // group_bytes))
-    parts = max(1, -(-total * order // (6 * PART_NGRAMS)))
-
-    def compressor():
-        tool = zstandard.ZstdCompressor(level=3)
-        return lambda texts: {"z": [tool.compress((t or "").encode("utf-8", "surrogatepass")) for t in texts]}
-
-    keyed = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).alias("g"))
-    packed = per_text(keyed, compressor, "z binary", ["doc_id", "g"])
-    edges = cuts(parts)
-
-    def listed(table: pa.Table) -> pa.Table:
-        keys, counts, grams, _ = group_lists(unpacked(table.column("z")), order)
-        at = np.searchsorted(keys, edges)
-        held = [p for p in range(parts) if at[p + 1] > at[p]]
-        deltas = [np.diff(keys[at[p] : at[p + 1]], prepend=edges[p]) for p in held]
-        g, words = table.column("g")[0].as_py(), int((grams[0] > 0).sum())
-        return pa.table({
-            "part": pa.array(held, pa.int64()), "g": pa.array([g] * len(held), pa.int64()), "n_words": pa.array([words * (i == 0) for i in range(len(held))], pa.int64()),
-            "keys": pa.array([planes(d) for d in deltas], pa.binary()), "counts": pa.array([planes(counts[at[p] : at[p + 1]]) for p in held], pa.binary()),
-        })
-
-    lists = packed.groupBy("g").applyInArrow(listed, "part bigint, g bigint, n_words bigint, keys binary, counts binary")
-    lists = stored(lists.repartition("part"), "lm-lists")
-    n_words = lists.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("n")).first().n
+    total = text_bytes(docs)
+    rows = packed(docs, max(1, -(-total // group_bytes)))
 
-    def joined(table: pa.Table) -> pa.Table:
-        p = table.column("part")[0].as_py()
-        keys = [np.cumsum(unplanes(k.as_py(), "<u8")) + edges[p] for k in table.column("keys")]
-        counts = [unplanes(c.as_py(), "<u4") for c in table.column("counts")]
-        every, place = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = np.bincount(place, np.concatenate(counts), len(every)).astype("<u8")  # exact below 2**53
-        ends = np.cumsum([0, *map(len, keys)])
-        back = [planes(sums[place[a:b]]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        return pa.table({"g": table.column("g"), "part": table.column("part"), "sums": pa.array(back, pa.binary())})
+    def keys_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
+        keys, counts, grams, _ = group_lists(texts, order)
+        return keys, counts, int((grams[0] > 0).sum())
 
-    sums = lists.groupBy("part").applyInArrow(joined, "g bigint, part bigint, sums binary")
+    sums, n_words = corpus_counts(rows, keys_of, max(1, -(-total * order // (6 * PART_NGRAMS))), HASH_BITS, "lm-lists")
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
         texts = unpacked(left.column("z"))
         keys, _, grams, doc = group_lists(texts, order)
-        rows = sorted(zip(right.column("part").to_pylist(), right.column("sums"), strict=True), key=lambda r: r[0])
-        total = np.concatenate([unplanes(s.as_py(), "<u8") for _, s in rows]) if rows else np.zeros(0, "<u8")
+        total = sums_of(right)
         logs, full = log_scores(grams, keys, total, n_words, backoff, seen)
         n = len(texts)
         return pa.table({
@@ -157,7 +105,7 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, seen: i
             "n_full": pa.array(np.bincount(doc, full, n).astype(np.int64)), "log_score": pa.array(np.bincount(doc, logs, n)),
         })
 
-    return packed.groupBy("g").cogroup(sums.groupBy("g")).applyInArrow(scored, "doc_id bigint, n_words bigint, n_full bigint, log_score double")
+    return rows.groupBy("g").cogroup(sums.groupBy("g")).applyInArrow(scored, "doc_id bigint, n_words bigint, n_full bigint, log_score double")
 
 
 def log_scores(grams: list[np.ndarray], keys: np.ndarray, total: np.ndarray, n_words: int, backoff: float, seen: int) -> tuple[np.ndarray, np.ndarray]:
