@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from qualis.llm import bpe, decontaminate, lmscore, pii, quality, simhash, tokenfile, topk, toxicity
+from qualis.llm import bpe, decontaminate, lmscore, pii, quality, simhash, substrings, tokenfile, topk, toxicity
 from qualis.llm.common import key_text, load
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -17,6 +17,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return key_text(load(spark, sf_dir, "documents"))
 
 
+def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(documents(spark, sf_dir))
+
+
 def op2_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(documents(spark, sf_dir))
 
@@ -54,6 +58,7 @@ def op10_nb_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_array": op1_suffix_array,
     "op2_simhash_pigeonring": op2_simhash_pigeonring,
     "op3_prefix_filter": op3_prefix_filter,
     "op4_stupid_backoff": op4_stupid_backoff,
