@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qualis.llm.common import per_text, stored
+from qualis.llm.common import per_text
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -49,27 +49,26 @@ def packed(docs: DataFrame, groups: int) -> DataFrame:
     return per_text(keyed, make, "z binary", ["doc_id", "g"])
 
 
-def corpus_counts(rows: DataFrame, keys_of: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, int]], parts: int, bits: int, label: str) -> tuple[DataFrame, int]:
-    """``g, part, sums`` of the groups in ``rows`` (from :func:`packed`), and the total of the groups' own numbers.
+def corpus_counts(rows: DataFrame, keys_of: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], parts: int, bits: int) -> DataFrame:
+    """``g, part, sums`` of the groups in ``rows`` (from :func:`packed`).
 
-    ``keys_of`` gives a group's distinct keys (ascending, of ``bits`` bits), their counts, and a number to add up.
+    ``keys_of`` gives a group's distinct keys (ascending, of ``bits`` bits) and their counts. A plan that also joins
+    ``rows`` by group reads the same exchange of texts again.
     """
     edges = np.array([(p << bits) // parts if p < parts else (1 << bits) - 1 for p in range(parts + 1)], np.uint64)
 
     def listed(table: pa.Table) -> pa.Table:
-        keys, counts, number = keys_of(unpacked(table.column("z")))
+        keys, counts = keys_of(unpacked(table.column("z")))
         at = np.searchsorted(keys, edges)
         at[-1] = len(keys)
         held = [p for p in range(parts) if at[p + 1] > at[p]] or [0]
         deltas = [np.diff(keys[at[p] : at[p + 1]], prepend=edges[p]) for p in held]
         return pa.table({
-            "part": pa.array(held, pa.int64()), "g": pa.array([table.column("g")[0].as_py()] * len(held), pa.int64()), "number": pa.array([number * (i == 0) for i in range(len(held))], pa.int64()),
+            "part": pa.array(held, pa.int64()), "g": pa.array([table.column("g")[0].as_py()] * len(held), pa.int64()),
             "keys": pa.array([planes(d) for d in deltas], pa.binary()), "counts": pa.array([planes(counts[at[p] : at[p + 1]].astype("<u4")) for p in held], pa.binary()),
         })
 
-    lists = rows.groupBy("g").applyInArrow(listed, "part bigint, g bigint, number bigint, keys binary, counts binary")
-    lists = stored(lists, label)
-    number = lists.agg(F.coalesce(F.sum("number"), F.lit(0)).alias("n")).first().n
+    lists = rows.groupBy("g").applyInArrow(listed, "part bigint, g bigint, keys binary, counts binary")
 
     def joined(table: pa.Table) -> pa.Table:
         first = edges[table.column("part")[0].as_py()]
@@ -81,7 +80,7 @@ def corpus_counts(rows: DataFrame, keys_of: Callable[[list[bytes]], tuple[np.nda
         back = [planes(sums[place[a:b]]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
         return pa.table({"g": table.column("g"), "part": table.column("part"), "sums": pa.array(back, pa.binary())})
 
-    return lists.groupBy("part").applyInArrow(joined, "g bigint, part bigint, sums binary"), number
+    return lists.groupBy("part").applyInArrow(joined, "g bigint, part bigint, sums binary")
 
 
 def sums_of(table: pa.Table) -> np.ndarray:

@@ -22,11 +22,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qualis.llm.common import ASCII_UPPER
+from qualis.llm.common import ASCII_UPPER, stored
 from qualis.llm.grouped import corpus_counts, packed, sums_of, text_bytes, unpacked
 
 ORDER, BACKOFF, SEEN = 3, 0.4, 2
-GROUP_BYTES, PART_NGRAMS, HASH_BITS = 24 << 20, 4_000_000, 56
+GROUP_BYTES, PART_NGRAMS, HASH_BITS = 10 << 20, 4_000_000, 52
 MEMO = 500_000
 
 #: Words are runs of letters a-z (capitals lowered), digits and bytes outside ASCII; the rest separates them.
@@ -88,32 +88,33 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, seen: i
     total = text_bytes(docs)
     rows = packed(docs, max(1, -(-total // group_bytes)))
 
-    def keys_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
-        keys, counts, grams, _ = group_lists(texts, order)
-        return keys, counts, int((grams[0] > 0).sum())
-
-    sums, n_words = corpus_counts(rows, keys_of, max(1, -(-total * order // (6 * PART_NGRAMS))), HASH_BITS, "lm-lists")
+    sums = corpus_counts(rows, lambda texts: group_lists(texts, order)[:2], max(1, -(-total * order // (6 * PART_NGRAMS))), HASH_BITS)
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
         texts = unpacked(left.column("z"))
         keys, _, grams, doc = group_lists(texts, order)
         total = sums_of(right)
-        logs, full = log_scores(grams, keys, total, n_words, backoff, seen)
+        logs, level = log_scores(grams, keys, total, backoff, seen)
         n = len(texts)
         return pa.table({
             "doc_id": left.column("doc_id"), "n_words": pa.array(np.bincount(doc, minlength=n), pa.int64()),
-            "n_full": pa.array(np.bincount(doc, full, n).astype(np.int64)), "log_score": pa.array(np.bincount(doc, logs, n)),
+            "n_full": pa.array(np.bincount(doc, level == order, n).astype(np.int64)),
+            "n_one": pa.array(np.bincount(doc, level == 1, n).astype(np.int64)), "log_score": pa.array(np.bincount(doc, logs, n)),
         })
 
-    return rows.groupBy("g").cogroup(sums.groupBy("g")).applyInArrow(scored, "doc_id bigint, n_words bigint, n_full bigint, log_score double")
+    out = rows.groupBy("g").cogroup(sums.groupBy("g")).applyInArrow(scored, "doc_id bigint, n_words bigint, n_full bigint, n_one bigint, log_score double")
+    out = stored(out, "lm-scores")  # a row of numbers a document; the count of all words comes from it
+    n_words = out.agg(F.sum("n_words").alias("n")).first().n or 1
+    return out.select("doc_id", "n_words", "n_full", (F.col("log_score") - F.col("n_one") * F.log(F.lit(float(n_words)))).alias("log_score"))
 
 
-def log_scores(grams: list[np.ndarray], keys: np.ndarray, total: np.ndarray, n_words: int, backoff: float, seen: int) -> tuple[np.ndarray, np.ndarray]:
-    """The natural log of every word's score, and whether it was scored at the highest order."""
+def log_scores(grams: list[np.ndarray], keys: np.ndarray, total: np.ndarray, backoff: float, seen: int) -> tuple[np.ndarray, np.ndarray]:
+    """The natural log of every word's score, at order 1 without the division by all words, and the order it was
+    scored at."""
     n = len(grams[0])
     logs, open_ = np.zeros(n), np.ones(n, bool)
     counts = [np.where(g > 0, total[np.minimum(np.searchsorted(keys, g), max(0, len(keys) - 1))], 0) if len(keys) else np.zeros(n) for g in grams]
-    full = np.zeros(n, bool)
+    level = np.zeros(n, np.int64)
     longest = np.max([np.where(g > 0, k + 1, 0) for k, g in enumerate(grams)], axis=0) if n else np.zeros(0)
     for k in range(len(grams) - 1, -1, -1):
         here = open_ & (grams[k] > 0)
@@ -121,12 +122,11 @@ def log_scores(grams: list[np.ndarray], keys: np.ndarray, total: np.ndarray, n_w
             here &= counts[k] >= seen
             context = np.concatenate([[0], counts[k - 1][:-1]])
         else:
-            context = np.full(n, n_words)
+            context = np.ones(n)
         logs[here] = np.log(counts[k][here] / context[here]) + np.log(backoff) * (longest[here] - 1 - k)
+        level[here] = k + 1
         open_ &= ~here
-        if k == len(grams) - 1:
-            full = here
-    return logs, full
+    return logs, level
 
 
 def digest(docs: DataFrame) -> DataFrame:
