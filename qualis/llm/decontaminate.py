@@ -115,9 +115,9 @@ def report(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int
 
 
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` in which no window occurs, with their columns."""
-    names = [f"`{c}`" for c in docs.columns]
-    return find_hits(docs, items, window, shingle).where(F.size("__found") == 0).select(*names)
+    """The rows of ``docs`` in which no window occurs, with their columns, whatever their names."""
+    row = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    return find_hits(row, items, window, shingle).where(F.size("__found") == 0).select("__row.*")
 
 
 def digest(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -261,7 +261,8 @@ def find_spans(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
 def mask(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
     """``docs`` with each span replaced by its kind in angle brackets; spans that overlap become one, named by the first.
     ``n_chars``, if there is such a column, counts the new text. Rows without spans stay as they are."""
-    found = find_spans(docs, model)
+    row = docs.select(F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    found = find_spans(row, model)
     start = F.struct(F.lit(0).alias("e"), F.array().cast(SPAN).alias("all"))
 
     def merged(acc: Column, x: Column) -> Column:
@@ -277,10 +278,17 @@ def mask(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
         return F.concat(F.array_join(parts, ""), F.substring(F.col("__text"), F.element_at(spans, -1)["e"] + 1, F.length("__text")))
 
     text = F.when(F.size("__spans") > 0, let(F.aggregate("__spans", start, merged)["all"], rebuilt)).otherwise(F.col("text"))
-    out = found.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("__spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*[f"`{c}`" for c in docs.columns])
+    out = found.withColumn("__new", text)
+    changed = F.size("__spans") > 0
+
+    def column(c: str) -> Column:
+        if c == "text":
+            return F.col("__new").alias(c)
+        old = F.col("__row").getField(c)
+        counted = F.when(changed, F.length("__new").cast(docs.schema[c].dataType)).otherwise(old)
+        return (counted if c == "n_chars" else old).alias(c)
+
+    return out.select(*[column(c) for c in docs.columns])
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -188,6 +188,12 @@ def classify(docs: DataFrame, model: Model, keep: list[str] | None = None, thres
     return per_text(docs, make, "score double, predicted int", keep)
 
 
+def keep(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that are not rejected, with their columns, whatever their names."""
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+    return classify(row, model, ["row"]).where("predicted = 1").select("row.*")
+
+
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row."""
     out = classify(docs, train(docs, labels), ["doc_id"])
