@@ -99,7 +99,7 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, seen: i
         return pa.table({
             "doc_id": left.column("doc_id"), "n_words": pa.array(np.bincount(doc, minlength=n), pa.int64()),
             "n_full": pa.array(np.bincount(doc, level == order, n).astype(np.int64)),
-            "n_one": pa.array(np.bincount(doc, level == 1, n).astype(np.int64)), "log_score": pa.array(np.bincount(doc, logs, n)),
+            "n_one": pa.array(np.bincount(doc, level == 1, n).astype(np.int64)), "log_score": pa.array(np.bincount(doc, logs, n).astype(np.float64)),
         })
 
     out = rows.groupBy("g").cogroup(sums.groupBy("g")).applyInArrow(scored, "doc_id bigint, n_words bigint, n_full bigint, n_one bigint, log_score double")
