@@ -19,7 +19,9 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +31,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from qualis.llm.bpe import ODD_SPACE, SPACE
+from qualis.llm.bpe import ODD_SPACE, SPACE, byte_symbols
 from qualis.llm.common import scratch_path, sliced
 
 BLOCK, CHUNK, WIDTH, LEVEL, END = 1 << 14, 1 << 18, 4, 3, 2
-MEMO = 600_000
+MEMO = 500_000
+SIGNS = ".,;:!?%&$#*)"
 
 CHUNKS = "part int, chunk int, place bigint, n_ids bigint, doc_ids array<bigint>, lengths array<bigint>, blocks array<binary>, planes array<binary>"
 CHUNK_SCHEMA = pa.schema([
@@ -43,28 +46,66 @@ CHUNK_SCHEMA = pa.schema([
 
 
 class Encoder:
-    """The library's ids of whole texts, as little-endian 32-bit integers. White space separates pieces that this
-    vocabulary encodes one by one, so each distinct piece goes through the library once in a while."""
+    """The library's ids of whole texts, as little-endian 32-bit integers.
+
+    White space separates pieces that this vocabulary encodes one by one, so each distinct piece is encoded once in a
+    while. A piece that is one word of letters, or one with signs of punctuation after it, needs no splitting:
+    its word goes to the library's BPE model, as symbols of their bytes. All other pieces take the library's whole way.
+    """
 
     def __init__(self, vocabulary: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        self.model = self.tokenizer.model
+        self.symbols = byte_symbols()
+        self.words: dict[str, bytes] = {}
+        self.signs: dict[str, bytes] = {"": b""}
         self.memo: dict[str, bytes] = {}
 
+    def whole(self, pieces: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def word(self, word: str) -> bytes | None:
+        """Ids of a word of letters; None if the library would do more to it than lower its case."""
+        low = word.replace("Σ", "σ").lower()  # one letter at a time, as the library does
+        ids = self.words.get(low)
+        if ids is None:
+            if not word.isascii() and not (low.isalpha() and is_normalized("NFC", word)):
+                return None
+            if len(self.words) >= MEMO:
+                self.words.clear()
+            text = low if low.isascii() else "".join([self.symbols[b] for b in low.encode()])
+            ids = self.words[low] = array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+        return ids
+
+    def learn(self, pieces: set[str]) -> None:
+        hard = []
+        for p in pieces:
+            word = p.rstrip(SIGNS)
+            ids = self.word(word) if word.isalpha() else None
+            if ids is None:
+                hard.append(p)
+                continue
+            sign = p[len(word) :]
+            if sign not in self.signs:
+                if len(self.signs) >= MEMO:
+                    self.signs = {"": b""}
+                self.signs[sign] = self.whole([sign])[0]
+            self.memo[p] = ids + self.signs[sign]
+        for at in range(0, len(hard), 10_000):
+            part = hard[at : at + 10_000]
+            self.memo.update(zip(part, self.whole(part), strict=True))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         pieces = [SPACE.split(t) if ODD_SPACE.search(t) else t.split() for t in (x or "" for x in texts)]
-        memo = self.memo
-        new = list({p for ps in pieces for p in ps if p not in memo})
-        if len(memo) + len(new) > MEMO:
-            self.memo = memo = {}
-            new = list({p for ps in pieces for p in ps})
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                memo[p] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(memo.__getitem__, ps)) for ps in pieces]
+        new = {p for ps in pieces for p in ps if p not in self.memo}
+        if len(self.memo) + len(new) > MEMO:
+            self.memo = {}
+            new = {p for ps in pieces for p in ps}
+        self.learn(new)
+        return [b"".join(map(self.memo.__getitem__, ps)) for ps in pieces]
 
 
 _CACHE: dict[str, Encoder] = {}
