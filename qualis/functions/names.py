@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import re
+import zlib
 
 from pyspark.sql import types as T
 
@@ -14,19 +16,33 @@ FRACTIONAL_TYPES = (T.FloatType, T.DoubleType, T.DecimalType)
 TEMPORAL_TYPES = (T.TimestampType, T.TimestampNTZType, T.DateType)
 
 
+_WORD = re.compile(r"[^\s_-]+")
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
+
+
 def snake_case(name: str) -> str:
-    """aB -> a_B, runs of blanks/hyphens -> _, lower case, no doubled or outer _."""
-    out = re.sub(r"([a-z])([A-Z])", r"\1_\2", name)
-    out = re.sub(r"[\s\-]+", "_", out).lower()
-    out = re.sub(r"__+", "_", out)
-    return out.strip("_")
+    """The name's words (apart at blanks, hyphens, underscores and where a capital follows a small letter), small,
+    joined by single underscores."""
+    return "_".join(part for word in _WORD.findall(name) for part in _HUMP.split(word)).lower()
+
+
+def short_name(name: str, limit: int = TABLE_NAME_MAX) -> str:
+    """A name over the limit keeps its head and gets a hash of the whole, so long names stay different."""
+    return name if len(name) <= limit else f"{name[:limit - 9]}_{zlib.crc32(name.encode()):08x}"
 
 
 def wide_table_name(entity: str) -> str:
-    name = snake_case(entity)
-    if not name.endswith("_wide"):
-        name = f"{name}_wide"
-    return name[:TABLE_NAME_MAX]
+    return short_name(snake_case(entity).removesuffix("_wide") + "_wide")
+
+
+def unique_names(names: list[str], taken: tuple[str, ...] = ()) -> list[str]:
+    """Snake-case column names; where two fall together, or fall on a ``taken`` one, later ones are numbered."""
+    out: list[str] = []
+    for name in map(snake_case, names):
+        used = {n.lower() for n in (*out, *taken)}
+        tries = (name if i == 1 else f"{name}_{i}" for i in itertools.count(1))
+        out.append(next(t for t in tries if t.lower() not in used))
+    return out
 
 
 def is_numeric(dt: T.DataType) -> bool:

@@ -33,7 +33,9 @@ def bar(df: DataFrame, category: str | None = None, measure: str | None = None,
     """Sum of the measure per category; NULL category dropped; first groups in key order."""
     numeric, text, _ = column_kinds(df)
     k, m = category or text[0], measure or numeric[0]
-    return (df.where(F.col(k).isNotNull()).groupBy(k).agg(F.sum(F.col(m)).alias("value"))
+    whole = isinstance(df.schema[m].dataType, N.INTEGRAL_TYPES)  # a sum of longs can pass 64 bits
+    v = F.col(m).cast("decimal(38,0)") if whole else F.col(m)
+    return (df.where(F.col(k).isNotNull()).groupBy(k).agg(F.sum(v).alias("value"))
               .orderBy(k).limit(limit).select(F.col(k).cast("string").alias("label"), "value"))
 
 

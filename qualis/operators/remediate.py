@@ -44,17 +44,20 @@ class FixPlan:
 
 def compile_fixes(df: DataFrame, issues: list[dict], policy: Policy | None = None,
                   pii_methods: dict[str, str] | None = None, only: set[str] | None = None,
-                  global_mask: bool = True) -> FixPlan:
+                  global_mask: bool = True, roles: dict[str, str] | None = None) -> FixPlan:
     """Compile issue rows into per-column expressions.
 
     ``pii_methods`` adds masking for detected personal data beyond e-mail columns
-    (column -> hash | tokenize | drop).  ``only`` restricts to a set of step names.
+    (column -> hash | tokenize | drop).  ``roles`` (column -> role) says where '0' may be a null token.
+    In monitor_only mode nothing is changed.  ``only`` restricts to a set of step names.
     """
     pol = policy or Policy()
+    if pol.enforcement_mode == "monitor_only":
+        only, pii_methods = set(), None
     want = (lambda s: True) if only is None else (lambda s: s in only)
     by_col: dict[str, dict[str, dict]] = {}
     for i in issues:
-        if i.get("owner") == "programmatic":
+        if i.get("owner") == "programmatic" and pol.enforcement_mode != "monitor_only":
             by_col.setdefault(i["column_name"], {})[i["issue_type"]] = i
     types = {f.name: f.dataType for f in df.schema.fields}
     exprs: dict[str, Column] = {}
@@ -76,7 +79,7 @@ def compile_fixes(df: DataFrame, issues: list[dict], policy: Policy | None = Non
         if want("trim_whitespace") and string and "whitespace_not_trimmed" in mine:
             step("trim_whitespace", "whitespace_not_trimmed", X.py_strip(x), mine["whitespace_not_trimmed"]["count"])
         if want("convert_null_tokens") and string and "null_tokens_detected" in mine:
-            zero = pol.zero_string_as_null and mine.get("_role") in pol.zero_string_roles
+            zero = pol.zero_string_as_null and (roles or {}).get(name) in pol.zero_string_roles
             pred = X.null_token(x, pol, include_nulls=False, zero_is_null=zero)
             step("convert_null_tokens", "null_tokens_detected", F.when(pred, F.lit(None).cast("string")).otherwise(x),
                  mine["null_tokens_detected"]["count"])

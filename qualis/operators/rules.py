@@ -2,8 +2,7 @@
 
 Per-row rules are Column predicates gathered into one ``_dq_flags`` array in a
 single projection.  Value-level rules (canonicalisation, rare values) work on the
-value-frequency table of low-cardinality columns, whose size is bounded by
-``max_distinct`` per column, and reach rows through a broadcast of that bound.
+value-frequency table and reach rows through a join on the value.
 """
 
 from __future__ import annotations
@@ -12,7 +11,7 @@ import unicodedata
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -121,47 +120,37 @@ def rule_counts(df: DataFrame, rules: list[RowRule]) -> DataFrame:
 
 
 # --------------------------------------------------------------- value-level rules
-def low_cardinality_text(p: Profiler) -> list[str]:
-    return p.columns_with_distinct(p.max_distinct, among=[f.name for f in p.string_fields])
-
-
 def canonical_mapping(p: Profiler, columns: list[str] | None = None) -> DataFrame:
-    """Map a variant to a frequent value of the same column within the edit ratio.
-
-    Canonical candidates are the *frequent* values (share >= the low-frequency
-    threshold, so at most 1/threshold per column -- a proven bound, broadcast);
-    variants are the values of low-cardinality text columns (at most
-    ``max_distinct`` each).  A variant maps when the edit ratio of the lower-cased,
-    stripped texts is within the policy limit and the canonical holds at least the
-    dominance share of the pair; the closest, then most frequent, candidate wins.
+    """Map a rare value to a frequent value of the same text column within the edit ratio.
+
+    Only values below the low-frequency threshold are mapped, and only to values at or above it (so a column has at
+    most 1/threshold targets, however many values it has). Texts are compared lower-cased and stripped; the target must
+    hold the dominance share of the pair. Rare and frequent values meet on the column and the length, each
+    frequent value once for every length the ratio allows. The closest, then the more frequent, then the smaller target wins.
     """
     pol = p.policy
-    cols = columns if columns is not None else low_cardinality_text(p)
+    cols = columns if columns is not None else [f.name for f in p.string_fields]
     f = p.frequencies_of(cols)
-    n = f.groupBy("column_name").agg(F.sum("count").alias("_n"))
-    f = f.join(F.broadcast(n), "column_name").withColumn("_norm", F.lower(X.py_strip(F.col("value"))))
-    v = f.select("column_name", F.col("value").alias("variant"), F.col("count").alias("variant_count"),
-                 F.col("_norm").alias("_vn"))
-    bound = len(cols) * int(1 / pol.low_frequency_threshold + 1)
-    c = f.where(F.col("count") >= F.col("_n") * pol.low_frequency_threshold).select(
-        "column_name", F.col("value").alias("canonical"), F.col("count").alias("canonical_count"),
-        F.col("_norm").alias("_cn"))
-    c = F.broadcast(c) if bound <= 100_000 else c
+    n = f.groupBy("column_name").agg(F.sum("count").alias("_n"))  # a row a column
+    f = f.join(n, "column_name").withColumn("_norm", F.lower(X.py_strip(F.col("value")))).withColumn("_len", F.length("_norm"))
+    rare = F.col("count") < F.col("_n") * pol.low_frequency_threshold
+    slack = pol.max_edit_distance_ratio
+    low, high = F.floor(F.col("_len") * (1 - slack)).cast("int"), F.ceil(F.col("_len") / (1 - slack)).cast("int")
+    v = f.where(rare).select("column_name", F.col("value").alias("variant"), F.col("count").alias("variant_count"),
+                             F.col("_norm").alias("_vn"), "_len")
+    c = f.where(~rare).select("column_name", F.col("value").alias("canonical"), F.col("count").alias("canonical_count"),
+                              F.col("_norm").alias("_cn"), F.explode(F.sequence(low, high)).alias("_len"))
     longest = F.greatest(F.length("_vn"), F.length("_cn"))
     share = F.col("canonical_count") / (F.col("canonical_count") + F.col("variant_count"))
-    pairs = v.join(c, "column_name").where(
-        (F.col("variant") != F.col("canonical")) & (share >= pol.dominance_threshold)
-        & (F.abs(F.length("_vn") - F.length("_cn")) <= longest * pol.max_edit_distance_ratio))
-    pairs = pairs.withColumn("distance", F.levenshtein("_vn", "_cn")).withColumn(
-        "ratio", F.round(F.col("distance") / F.nullif(longest, F.lit(0)), 4))
-    pairs = pairs.where(F.coalesce(F.col("ratio"), F.lit(0.0)) <= pol.max_edit_distance_ratio)
-    w = Window.partitionBy("column_name", "variant").orderBy("ratio", F.desc("canonical_count"), "canonical")
-    best = pairs.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1)
-    conf = F.round(1 - F.coalesce(F.col("ratio"), F.lit(0.0)), 4)
-    return best.select(F.lit(p.entity).alias("entity_name"), "column_name", "variant", "canonical",
-                       F.col("variant_count").cast("bigint"), F.col("canonical_count").cast("bigint"),
-                       F.col("distance").cast("int"), F.coalesce(F.col("ratio"), F.lit(0.0)).alias("ratio"),
-                       conf.alias("confidence"),
+    distance = F.levenshtein("_vn", "_cn")
+    pairs = v.join(c, ["column_name", "_len"]).where(share >= pol.dominance_threshold).withColumn("distance", distance)
+    pairs = pairs.withColumn("ratio", F.coalesce(F.round(F.col("distance") / F.nullif(longest, F.lit(0)), 4), F.lit(0.0)))
+    best = pairs.where(F.col("ratio") <= slack).groupBy("column_name", "variant").agg(
+        F.min(F.struct("ratio", (-F.col("canonical_count")).alias("_less"), "canonical", "canonical_count", "variant_count", "distance")).alias("b"))
+    conf = F.round(1 - F.col("b.ratio"), 4)
+    return best.select(F.lit(p.entity).alias("entity_name"), "column_name", "variant", F.col("b.canonical").alias("canonical"),
+                       F.col("b.variant_count").cast("bigint").alias("variant_count"), F.col("b.canonical_count").cast("bigint").alias("canonical_count"),
+                       F.col("b.distance").cast("int").alias("distance"), F.col("b.ratio").alias("ratio"), conf.alias("confidence"),
                        F.when(conf >= pol.canonicalize_confidence, "canonicalize").otherwise("human_review").alias("action"))
 
 
@@ -175,18 +164,9 @@ def aggregate_duplicates(df: DataFrame, keys: list[str], measures: list[str], di
     return df.groupBy(*keys).agg(*aggs)
 
 
-# Largest value mapping that is broadcast; larger ones take a shuffle join (AQE splits a skewed key).
-MAP_BROADCAST_ROWS = 1_000_000
-
-
-def apply_value_map(df: DataFrame, column: str, mapping: DataFrame, src: str, dst: str,
-                    rows_bound: int | None = None) -> DataFrame:
-    """Replace values of ``column`` through a mapping of at most ``rows_bound`` rows.
-
-    The mapping is broadcast only under a known bound; otherwise a shuffle join."""
+def apply_value_map(df: DataFrame, column: str, mapping: DataFrame, src: str, dst: str) -> DataFrame:
+    """Replace values of ``column`` through a mapping; Spark broadcasts it if its measured size allows."""
     m = mapping.select(F.col(src).alias("__from"), F.col(dst).alias("__to"))
-    if rows_bound is not None and rows_bound <= MAP_BROADCAST_ROWS:
-        m = F.broadcast(m)
     j = df.join(m, df[column] == m["__from"], "left")
     return j.select(*[(F.coalesce(F.col("__to"), F.col(column)).alias(column) if c == column else F.col(c))
                       for c in df.columns])
@@ -194,11 +174,9 @@ def apply_value_map(df: DataFrame, column: str, mapping: DataFrame, src: str, ds
 
 def canonicalize(df: DataFrame, p: Profiler, columns: list[str] | None = None) -> DataFrame:
     m = canonical_mapping(p, columns).where(F.col("action") == "canonicalize")
-    out = df
-    for c in columns if columns is not None else low_cardinality_text(p):
-        out = apply_value_map(out, c, m.where(F.col("column_name") == c), "variant", "canonical",
-                              rows_bound=p.max_distinct)  # variants come from low-cardinality columns
-    return out
+    for c in columns if columns is not None else [f.name for f in p.string_fields]:
+        df = apply_value_map(df, c, m.where(F.col("column_name") == c), "variant", "canonical")
+    return df
 
 
 def rare_values(p: Profiler, column: str) -> DataFrame:
@@ -212,9 +190,7 @@ def rare_values(p: Profiler, column: str) -> DataFrame:
 
 
 def collapse_rare(df: DataFrame, p: Profiler, column: str) -> DataFrame:
-    d = p.distinct_counts.where(F.col("column_name") == column).collect()  # one row
-    bound = int(d[0]["distinct_count"]) if d else 0  # rare values are a subset of the distinct ones
-    return apply_value_map(df, column, rare_values(p, column), "value", "to", rows_bound=bound)
+    return apply_value_map(df, column, rare_values(p, column), "value", "to")
 
 
 # --------------------------------------------------------------- casts, descriptors
@@ -304,10 +280,10 @@ def ai_readiness(p: Profiler, issues: DataFrame, grain_confidence: float) -> Dat
 def dataset_decision(p: Profiler, issues: DataFrame, grain_review: bool, policy: Policy | None = None) -> DataFrame:
     """Reject on a PII violation, ask a human on unresolved grain or time axis, else proceed."""
     pol = policy or p.policy
-    shape = p.record_shape()
-    pii_issues = issues.groupBy("entity_name").agg(F.count_if(F.col("issue_type") == "unmasked_pii").alias("_pii"))
-    j = shape.join(pii_issues, "entity_name", "left")
-    violation = (F.coalesce(F.col("_pii"), F.lit(0)) > 0) & F.lit(pol.enforcement_mode == "monitor_only" or not pol.mask_enabled())
+    found = p.pii().where("contains_pii").groupBy("entity_name").agg(F.count(F.lit(1)).alias("_pii"))
+    j = p.record_shape().join(found, "entity_name", "left")
+    unmasked = pol.enforcement_mode == "monitor_only" or not pol.mask_enabled()
+    violation = (F.coalesce(F.col("_pii"), F.lit(0)) > 0) & F.lit(unmasked)
     ntime = F.when(F.col("time_candidates") == "", 0).otherwise(F.size(F.split("time_candidates", ",")))
     time_issue = ntime != 1
     grain_issue = F.lit(bool(grain_review)) | ((F.col("wide_or_long_hint") == "unknown") & F.lit(bool(grain_review)))

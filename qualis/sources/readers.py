@@ -45,9 +45,12 @@ def detect_format(path: str) -> str:
     raise ValueError(f"Unsupported file type: {ext or path}")
 
 
-def read_csv(spark: SparkSession, path: str, infer_schema: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, infer_schema: bool = False, multi_line: bool = True) -> DataFrame:
     """Header CSV; UTF-8 unless the file holds undecodable bytes, then latin-1.
 
+    Quotes follow RFC 4180: doubled inside quoted values, which may hold new lines. ``multi_line=False`` gives
+    those up and lets Spark split large files.
+
     The check is a distributed scan that stops at the first line holding bytes
     that are not valid UTF-8; values are kept as raw strings (null tokens are a
     policy matter, see :func:`qualis.functions.null_token`).
@@ -57,7 +60,7 @@ def read_csv(spark: SparkSession, path: str, infer_schema: bool = False) -> Data
     if raw.where(~F.is_valid_utf8(F.col("value"))).limit(1).count() > 0:
         encoding = ENCODINGS[1]
     reader = (spark.read.option("header", True).option("encoding", encoding)
-              .option("multiLine", False).option("inferSchema", infer_schema))
+              .option("quote", '"').option("escape", '"').option("multiLine", multi_line).option("inferSchema", infer_schema))
     return fold_nan(reader.csv(path))
 
 

@@ -16,21 +16,25 @@ def new_run_id(now: _dt.datetime | None = None) -> str:
 
 
 def write_artifact(df: DataFrame, base: str, name: str, run_id: str, fmt: str = "parquet",
-                   partition_by: list[str] | None = None) -> str:
-    """Append ``df`` under ``base/name`` partitioned by ``run_id`` (plus optional columns)."""
+                   partition_by: list[str] | None = None, source: bool = False) -> str:
+    """Write ``df`` under ``base/name`` partitioned by ``run_id``, its entity and any further columns.
+
+    What the run wrote there before for this entity is replaced, so a retried run gives the same rows."""
+    if source and "run_id" in df.columns:
+        raise ValueError("a source column is called run_id: rename it first")
     path = os.path.join(base, name)
-    parts = ["run_id"] + list(partition_by or [])
-    (df.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy(*parts)
-       .format(fmt).save(path))
+    parts = ["run_id", *(["entity_name"] if "entity_name" in df.columns else []), *(partition_by or [])]
+    (df.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+       .partitionBy(*parts).format(fmt).save(path))
     return path
 
 
 def save_original(df: DataFrame, base: str, run_id: str, entity: str) -> str:
-    return write_artifact(df, base, f"original/{entity}", run_id)
+    return write_artifact(df, base, f"original/{entity}", run_id, source=True)
 
 
 def save_remediated(df: DataFrame, base: str, run_id: str, entity: str, fmt: str = "parquet") -> str:
-    return write_artifact(df, base, f"remediated/{entity}", run_id, fmt=fmt)
+    return write_artifact(df, base, f"remediated/{entity}", run_id, fmt=fmt, source=True)
 
 
 def save_profile(column_profile: DataFrame, base: str, run_id: str, fmt: str = "json") -> str:
