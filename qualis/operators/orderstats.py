@@ -140,21 +140,23 @@ def _sign(cur: Column, prev: Column) -> Column:
 
 
 def monotonic_flags(df: DataFrame, keys: Sequence[str], value: str, order: str,
-                    buckets: int = DEFAULT_BUCKETS, groups_bound: int = 1024) -> DataFrame:
+                    buckets: int = DEFAULT_BUCKETS, groups_bound: int = 1024, tie: str | None = None) -> DataFrame:
     """Is ``value`` non-decreasing / non-increasing when rows are read in ``order``?
 
     Rows are bucketed by the order column; within a bucket ``lag`` compares
     neighbours; the last value of each bucket is compared with the first of the
-    next.  Returns (keys..., increasing, decreasing, is_monotonic).
+    next.  ``tie`` orders rows that share an order value (the value itself if there is none, so the
+    answer never depends on how rows came).  Returns (keys..., increasing, decreasing, is_monotonic).
     """
     k = list(keys)
     base = df.where(F.col(value).isNotNull())
     b = range_buckets(base, k, order, buckets, groups_bound)
-    w = Window.partitionBy(*k, "_b").orderBy(order)
+    place = F.struct(F.col(order), F.col(tie or value))
+    w = Window.partitionBy(*k, "_b").orderBy(order, tie or value)
     d = b.select(*k, "_b", _sign(F.col(value), F.lag(value).over(w)).alias("s"))
     inner = d.groupBy(*k).agg(F.sum(F.when(F.col("s") < 0, 1).otherwise(0)).alias("_dn"),
                               F.sum(F.when(F.col("s") > 0, 1).otherwise(0)).alias("_up"))
-    ends = b.groupBy(*k, "_b").agg(F.min_by(value, order).alias("_first"), F.max_by(value, order).alias("_last"))
+    ends = b.groupBy(*k, "_b").agg(F.min_by(F.col(value), place).alias("_first"), F.max_by(F.col(value), place).alias("_last"))
     wb = Window.partitionBy(*k).orderBy("_b")
     step = ends.select(*k, _sign(F.col("_first"), F.lag("_last").over(wb)).alias("s"))
     across = step.groupBy(*k).agg(F.sum(F.when(F.col("s") < 0, 1).otherwise(0)).alias("_dn2"),

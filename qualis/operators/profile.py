@@ -647,17 +647,19 @@ class Profiler:
                         (F.col("_n") - 1).cast("bigint").alias("gap_count"),
                         F.round(m, 6).alias("median_gap_seconds"), gran.alias("granularity"))
 
-    def monotonic(self, order_by: str | None = None) -> DataFrame:
-        """Non-strict monotonic in ``order_by`` order, either direction."""
+    def monotonic(self, order_by: str | None = None, tie_break: Sequence[str] = ()) -> DataFrame:
+        """Non-strict monotonic in ``order_by`` order, either direction; ``tie_break`` columns order
+        rows that share an ``order_by`` value."""
         order = order_by or self.order_by
         if not order:
             raise ValueError("row order is not defined in Spark: pass an explicit order column")
         cols = self._datetime_columns()
         long = None
         for name, expr in cols:
-            part = self.df.select(F.lit(name).alias("column_name"), expr.alias("ts"), F.col(order).alias("_ord"))
+            part = self.df.select(F.lit(name).alias("column_name"), expr.alias("ts"), F.col(order).alias("_ord"),
+                                  *([F.struct(*tie_break).alias("_tie")] if tie_break else []))
             long = part if long is None else long.unionByName(part)
-        res = OS.monotonic_flags(long, ["column_name"], "ts", "_ord", groups_bound=max(len(cols), 1))
+        res = OS.monotonic_flags(long, ["column_name"], "ts", "_ord", groups_bound=max(len(cols), 1), tie="_tie" if tie_break else None)
         return res.select(F.lit(self.entity).alias("entity_name"), "column_name", F.lit(order).alias("order_by"),
                           "increasing", "decreasing", "is_monotonic")
 
