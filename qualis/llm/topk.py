@@ -24,6 +24,7 @@ from qualis.llm.common import stored
 
 SCALE, K, EVERY = 64, 20, 20
 BLOCK, SEGMENT, BATCH, GROUPS = 128, 4_096, 512, 12
+RUNS = 4  # full runs that a packing task is meant to make
 HELD = 32  # query batches whose thresholds a task keeps at once
 NONE = np.iinfo(np.int64).min
 EXACT = 1 << 52
@@ -42,7 +43,7 @@ def usable(vector: Column) -> Column:
 def packed(rows: DataFrame, size: int, label: str) -> DataFrame:
     """``n, dims, ids, matrix`` (little-endian 64-bit integers): runs of ``size`` rows of ``vec_id, v`` in the
     order of ids; only vectors of one length share a run."""
-    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    parts = -(-rows.count() // (RUNS * size)) or 1
     dealt = rows.select(F.size("v").alias("dims"), "vec_id", "v").repartitionByRange(parts, "dims", "vec_id").sortWithinPartitions("dims", "vec_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
