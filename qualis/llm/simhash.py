@@ -183,14 +183,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST) -
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST) -> DataFrame:
     """One row of each class of near copies, with the columns of ``docs``: the row whose id is the class id
-    (null last); of several such rows, the first as stored."""
+    (null last); of several such rows, the first as stored. Classes with one id (an id on unrelated texts) stay apart."""
     tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
     held = stored(fingerprints(tagged, shingle, ["doc_id", "row"]), "simhash-stage")
     rows = held.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"))
     best = (
         classes(rows.select("doc_id", "fp", "file", "at"), most)
         .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("root")).alias("root"))
+        .groupBy("root")
         .agg(F.min(F.struct("file", "at")).alias("k"))
         .select("k.*")
     )

@@ -88,6 +88,29 @@ def test_keep_one_of_each_class(spark):
     assert simhash.keep_one(cases.empty(spark)).collect() == []
 
 
+def roots(items, most=4):
+    """Class of each fingerprint, by comparing all with all: the smallest fingerprint of the class."""
+    fps = sorted({f for _, f in items})
+    # linked() names a class by its smallest key; with fingerprints as keys that is the root
+    return {f: c for _, f, c in linked([(f, f) for f in fps], most)}
+
+
+def test_keep_one_keeps_classes_apart_that_share_an_id(spark):
+    """A third of all rows under one id, on unrelated texts, and null ids: one row of every class by root."""
+    rng = np.random.default_rng(3)
+    text = lambda: " ".join(rng.choice(list("abcdefghijklmnop"), 12).tolist())
+    rows = [(1, text()) for _ in range(12)] + [(i, text()) for i in range(50, 74)] + [(None, text()), (None, text())]
+    rows += [(90, rows[0][1]), (None, rows[1][1])]
+    for given in (rows, cases.texts()):
+        root = roots([(d, plain(t)) for d, t in given])
+        kept = [(r.doc_id, plain(r.text)) for r in simhash.keep_one(cases.docs(spark, given)).collect()]
+        assert sorted(root[f] for _, f in kept) == sorted(set(root.values()))
+        least = {}
+        for d, t in given:
+            least.setdefault(root[plain(t)], []).append(d)
+        assert all(d == min((x for x in least[root[f]] if x is not None), default=None) for d, f in kept)
+
+
 def test_components_of_a_path_and_a_star(spark):
     path = [(i, i + 1) for i in range(60)]
     star = [(1000, 1000 + i) for i in range(1, 50)]
