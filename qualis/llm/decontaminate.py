@@ -9,7 +9,8 @@ find it, and the rarest is the cheapest. The steps:
    window by rarity; the rarest is the window's prefix (a window with a shingle of frequency zero can't occur);
 3. matches of prefixes give candidate places. Those that would start before the first word or end after the last are
    dropped (position and length bounds);
-4. the words at each candidate place are compared with the window, and the words of the occurrences are counted.
+4. the words at each candidate place are compared with the window (by its SHA-256), the words of the occurrences are
+   counted, and only then the items of the windows are looked up.
 
 Only benchmark shingles and windows are ever joined as the small side, and only broadcast if their stored size is
 under Spark's threshold.
@@ -37,12 +38,16 @@ def shingles(ws: Column, size: int) -> Column:
     return F.when(F.size(ws) >= size, F.transform(at, lambda i: F.xxhash64(*[F.get(ws, i - 1 + k) for k in range(size)]))).otherwise(F.array().cast("array<bigint>"))
 
 
+def window_id(ws: Column) -> Column:
+    return F.sha2(F.concat_ws(" ", ws), 256)
+
+
 def item_windows(items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """``item_id, wid, ws`` (the words), ``size`` (of its shingles): the distinct windows of every item."""
     ws = items.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("ws")).where(F.size("ws") > 0)
     start = F.sequence(F.lit(1), F.greatest(F.size("ws") - window + 1, F.lit(1)))
     each = ws.select("item_id", F.explode(F.transform(start, lambda i: F.slice("ws", i, window))).alias("ws"))
-    return each.distinct().select("item_id", F.sha2(F.concat_ws(" ", "ws"), 256).alias("wid"), "ws", F.least(F.size("ws"), F.lit(shingle)).alias("size"))
+    return each.distinct().select("item_id", window_id(F.col("ws")).alias("wid"), "ws", F.least(F.size("ws"), F.lit(shingle)).alias("size"))
 
 
 def by_size(ws: str, sizes: list[int], size: Column | None = None) -> Column:
@@ -56,21 +61,26 @@ def by_size(ws: str, sizes: list[int], size: Column | None = None) -> Column:
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 
-def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """The columns of ``docs`` (``doc_id``, ``text`` and any others) plus ``__ws`` (words) and ``__found``, an
-    array of (first, last, items) for each distinct window that occurs at each place.
+def text_key(text: Column) -> Column:
+    """What rows meet their places by. Texts that share a key only share candidates: every row compares its own words."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
 
-    Null texts and items have no words. Rows that share an id, and rows with a null id, are each compared with
-    their own words. Empty tables give no hits. Items whose id is null count in hits, not among the items.
+def find_hits(docs: DataFrame, windows: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+    """The columns of ``docs`` (``text`` and any others) plus ``__ws`` (words) and ``__found``, an array of
+    (first, last, wid) for each of the distinct ``windows`` (of :func:`item_windows`, stored) that occurs at each place.
+
+    Null texts and items have no words. Places are gathered by text, never by id, so an id on many rows or a null id
+    costs nothing, and equal texts are gathered once. Empty tables give no hits.
     """
-    windows = stored(item_windows(items, window, shingle), "decontam-windows")
     own = F.explode(by_size("ws", list(range(1, shingle + 1)), F.col("size"))).alias("s")
     needs = stored(windows.select("wid", "ws", own).select("wid", F.size("ws").alias("len"), "s.*").distinct(), "decontam-needs")
     sizes = sorted(r["size"] for r in needs.select("size").distinct().collect()) or [shingle]
     wanted = stored(needs.select("size", "h").distinct(), "decontam-wanted")
-    spread = docs.select("doc_id", words(F.col("text")).alias("ws")).select("doc_id", F.size("ws").alias("n"), F.explode(by_size("ws", sizes)).alias("s"))
-    met = stored(spread.select("doc_id", "n", "s.*").join(wanted, ["size", "h"]), "decontam-met")
-    seen = met.groupBy("size", "h").agg(F.count(F.lit(1)).alias("freq"))
+    spread = docs.select(text_key(F.col("text")).alias("k"), words(F.col("text")).alias("ws")).select("k", F.size("ws").alias("n"), F.explode(by_size("ws", sizes)).alias("s"))
+    matched = spread.select("k", "n", "s.*").join(wanted, ["size", "h"])
+    met = stored(matched.groupBy("k", "n", "size", "at", "h").agg(F.count(F.lit(1)).alias("copies")), "decontam-met")
+    seen = met.groupBy("size", "h").agg(F.sum("copies").alias("freq"))
     prefix = (
         needs.join(seen, ["size", "h"], "left")
         .groupBy("wid", "len")
@@ -78,19 +88,17 @@ def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle:
         .where("p.freq > 0")
         .select("wid", "len", F.col("p.size").alias("size"), F.col("p.h").alias("h"), F.col("p.at").alias("offset"))
     )
-    texts = windows.groupBy("wid").agg(F.collect_set("item_id").alias("items"), F.first("ws").alias("window"))
     places = (
-        met.join(stored(prefix.join(texts, "wid"), "decontam-prefix"), ["size", "h"])
+        met.join(stored(prefix, "decontam-prefix"), ["size", "h"])
         .withColumn("first", F.col("at") - F.col("offset"))
         .where((F.col("first") >= 0) & (F.col("first") + F.col("len") <= F.col("n")))
-        .groupBy("doc_id").agg(F.collect_set(F.struct("first", "wid", "window", "items")).alias("__places"))
+        .groupBy(F.col("k").alias("__k")).agg(F.collect_set(F.struct("first", (F.col("first") + F.col("len")).alias("last"), "wid")).alias("__places"))
     )
-    places = stored(places.withColumnRenamed("doc_id", "__doc"), "decontam-places")
-    both = docs.join(places, docs["doc_id"].eqNullSafe(places["__doc"]), "left").drop("__doc")
+    places = stored(places, "decontam-places")
+    both = docs.join(places, text_key(docs["text"]) == places["__k"], "left").drop("__k")
     both = both.withColumn("__ws", words(F.col("text")))
-    right = F.filter("__places", lambda p: F.slice("__ws", p["first"] + 1, F.size(p["window"])) == p["window"])
-    found = F.transform(right, lambda p: F.struct(p["first"].alias("first"), (p["first"] + F.size(p["window"])).alias("last"), p["items"].alias("items")))
-    return both.withColumn("__found", F.when(F.col("__places").isNull(), F.array().cast("array<struct<first:int,last:int,items:array<string>>>")).otherwise(found)).drop("__places")
+    found = F.filter("__places", lambda p: window_id(F.slice("__ws", p["first"] + 1, p["last"] - p["first"])) == p["wid"])
+    return both.withColumn("__found", F.when(F.col("__places").isNull(), F.array().cast("array<struct<first:int,last:int,wid:string>>")).otherwise(found)).drop("__places")
 
 
 def covered(found: Column) -> Column:
@@ -108,16 +116,32 @@ def covered(found: Column) -> Column:
 
 
 def report(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id, n_words, n_hit, item_ids`` (sorted) of every row of ``docs``."""
-    out = find_hits(docs.select("doc_id", "text"), items, window, shingle)
-    ids = F.array_sort(F.array_distinct(F.flatten(F.transform("__found", lambda f: f["items"]))))
-    return out.select("doc_id", F.size("__ws").cast("bigint").alias("n_words"), covered(F.col("__found")).alias("n_hit"), ids.alias("item_ids"))
+    """``doc_id, n_words, n_hit, item_ids`` (sorted) of every row of ``docs``.
+
+    Items whose id is null count in ``n_hit``, not among the ids. Ids are gathered once for each set of windows
+    that some text holds, after the comparison.
+    """
+    windows = stored(item_windows(items, window, shingle), "decontam-windows")
+    out = find_hits(docs.select("doc_id", "text"), windows.select("wid", "ws", "size").distinct(), window, shingle)
+    wids = F.array_sort(F.array_distinct(F.transform("__found", lambda f: f["wid"])))
+    rows = out.select("doc_id", F.size("__ws").cast("bigint").alias("n_words"), covered(F.col("__found")).alias("n_hit"), wids.alias("wids"))
+    rows = stored(rows.withColumn("held", F.when(F.size("wids") > 0, F.sha2(F.array_join("wids", ""), 256))), "decontam-rows")
+    sets = rows.where(F.col("held").isNotNull()).groupBy("held").agg(F.first("wids").alias("wids"))
+    ids = stored(
+        sets.select("held", F.explode("wids").alias("wid")).join(windows.select("wid", "item_id"), "wid")
+        .groupBy("held").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids")),
+        "decontam-ids",
+    )
+    some = rows.where(F.col("held").isNotNull()).join(ids, "held")  # stored, so that a common set's rows can be split over tasks
+    none = rows.where(F.col("held").isNull()).withColumn("item_ids", F.array().cast("array<string>"))
+    return some.select("doc_id", "n_words", "n_hit", "item_ids").unionAll(none.select("doc_id", "n_words", "n_hit", "item_ids"))
 
 
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """The rows of ``docs`` in which no window occurs, with their columns, whatever their names."""
-    row = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
-    return find_hits(row, items, window, shingle).where(F.size("__found") == 0).select("__row.*")
+    row = docs.select(F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    windows = stored(item_windows(items, window, shingle).select("wid", "ws", "size").distinct(), "decontam-windows")
+    return find_hits(row, windows, window, shingle).where(F.size("__found") == 0).select("__row.*")
 
 
 def digest(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -52,6 +52,26 @@ def test_stage_keeps_clean_rows_whole(spark):
     assert cases.bag((r.doc_id, r.text) for r in kept.collect()) == cases.bag(want)
 
 
+@pytest.mark.parametrize("step", ["digest", "clean"])
+def test_one_id_on_many_rows_gathers_places_by_text(spark, monkeypatch, step):
+    """One id or a null id on many texts, and one text on many rows: no array holds more than its own text's places."""
+    kept, real = {}, decontaminate.stored
+    monkeypatch.setattr(decontaminate, "stored", lambda df, label: kept.setdefault(label, real(df, label)))
+    leak = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    items = [(i, leak) for i in range(30)] + [(None, leak)]
+    texts = [f"{'w ' * i}{leak} end" for i in range(20)]
+    rows = [(7, t) for t in texts] + [(None, t) for t in texts] + [(i, texts[0]) for i in range(20)] + [(7, "clean"), (None, None)]
+    got = getattr(decontaminate, step)(cases.docs(spark, rows), cases.bench(spark, items)).collect()
+    if step == "digest":
+        assert cases.bag(got) == plain(rows, items)
+    else:
+        assert cases.bag((r.doc_id, r.text) for r in got) == cases.bag(rows[-2:])
+    places = kept["decontam-places"].collect()
+    assert len(places) == 20 and all(len(r["__places"]) == 1 for r in places)
+    assert set(places[0]["__places"][0].asDict()) == {"first", "last", "wid"}
+    assert kept["decontam-met"].count() == 20 * 8
+
+
 def test_covered_counts_overlaps_once(spark):
     spans = "array<struct<first:int,last:int,items:array<string>>>"
     df = spark.sql(f"SELECT cast(array(named_struct('a', 3, 'b', 13, 'c', array('1')), named_struct('a', 0, 'b', 10, 'c', array('1')), named_struct('a', 20, 'b', 22, 'c', array('2'))) as {spans}) AS f")
