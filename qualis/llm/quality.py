@@ -103,16 +103,18 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(x) + self.shift, -60, 60))))
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray) -> Model:
-    """Ratios, then hinge loss by dual coordinate descent on ratio-scaled, length-normalised indicators."""
+def fit(rows: list[np.ndarray], y: np.ndarray, times: np.ndarray | None = None) -> Model:
+    """Ratios, then hinge loss by dual coordinate descent on ratio-scaled, length-normalised indicators.
+    A row counts as often as ``times`` says (default: once)."""
     zero = np.zeros(BUCKETS, np.float32)
-    good, bad = int(y.sum()), int(len(y) - y.sum())
+    times = np.ones(len(y), np.int64) if times is None else times
+    good, bad = int(times[y > 0].sum()), int(times[y <= 0].sum())
     if not good or not bad:  # nothing to tell apart: the smoothed share of the one class
-        p = (good + 1) / (len(y) + 2)
+        p = (good + 1) / (good + bad + 2)
         return Model(zero, zero, 0.0, 0.0, float(np.log(p / (1 - p))))
     count = [np.zeros(BUCKETS), np.zeros(BUCKETS)]
-    for x, label in zip(rows, y, strict=True):
-        count[int(label)][x] += 1
+    for x, label, n in zip(rows, y, times, strict=True):
+        count[int(label)][x] += n
     p, q = count[1] + SMOOTHING, count[0] + SMOOTHING
     ratios = np.where(count[0] + count[1] > 0, np.log(p / p.sum() * q.sum() / q), 0.0)
     scaled = []
@@ -121,7 +123,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray) -> Model:
         size = np.sqrt(v @ v)
         scaled.append(v / size if size else v)
     sign = np.where(y > 0, 1.0, -1.0)
-    most = np.where(y > 0, len(y) / (2 * good), len(y) / (2 * bad)) * PENALTY  # both classes weigh the same
+    most = np.where(y > 0, (good + bad) / (2 * good), (good + bad) / (2 * bad)) * times * PENALTY  # both classes weigh the same
     w, bias, alpha = np.zeros(BUCKETS), 0.0, np.zeros(len(y))
     norm = np.array([v @ v + 1 for v in scaled])
     order = np.random.default_rng(7)
@@ -158,15 +160,16 @@ def calibrated(margin: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, modulus: int = MODULUS, held: int = HELD_OUT) -> Model:
     """The model of the labelled sample. The driver gets its indicator buckets: at most ``rows`` x ``BUCKETS``
-    small integers, mostly far fewer."""
+    small integers, mostly far fewer, however often a row is there."""
 
     def make():
         indicators = Indicators()
         return lambda texts: {"x": [indicators(t).astype("<i4").tobytes() for t in texts]}
 
-    taught = per_text(sample(docs, labels, "quality", modulus, held, rows), make, "x binary", ["doc_id", "y"])
-    got = sorted(taught.select("doc_id", "y", "x").collect())
-    return fit([np.frombuffer(r.x, "<i4").astype(np.int64) for r in got], np.array([r.y for r in got], dtype=np.int64))
+    taught = per_text(sample(docs, labels, "quality", modulus, held, rows), make, "x binary", ["doc_id", "y", "n"])
+    got = sorted(taught.select("doc_id", "y", "x", "n").collect())
+    y, times = (np.array([r[c] for r in got], dtype=np.int64) for c in ("y", "n"))
+    return fit([np.frombuffer(r.x, "<i4").astype(np.int64) for r in got], y, times)
 
 
 def classify(docs: DataFrame, model: Model, keep: list[str] | None = None, threshold: float = 0.5) -> DataFrame:

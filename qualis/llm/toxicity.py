@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from qualis.llm.common import per_text
+from qualis.llm.common import per_text, stored
 from qualis.llm.labelled import remainder, sample
 
 FIT_ROWS = 12_000  # labelled rows the fit takes at most
@@ -141,15 +141,17 @@ class Grammar:
         return float(1 / (1 + np.exp(-np.clip(features @ self.weights + self.bias, -60, 60))))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression by Newton steps; the intercept is free."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30, times: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Ridge logistic regression by Newton steps; the intercept is free. A row counts as often as ``times`` says
+    (default: once)."""
+    times = np.ones(len(y)) if times is None else times
     a = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(a.shape[1])
     penalty = np.full(len(w), ridge)
     penalty[-1] = 1e-3
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(penalty), a.T @ (p - y) + penalty * w)
+        step = np.linalg.solve((a * (times * p * (1 - p))[:, None]).T @ a + np.diag(penalty), a.T @ (times * (p - y)) + penalty * w)
         w -= np.clip(step, -3, 3)
         if np.abs(step).max() < 1e-6:
             break
@@ -164,13 +166,13 @@ def learned_terms(taught: DataFrame, most: int = MOST_TERMS) -> dict[str, float]
     def stems(n: int) -> Column:
         return F.transform(F.filter("w", lambda x: F.length(x) >= n), lambda x: F.concat(F.substring(x, 1, n), F.lit("*")))
 
-    rows = taught.select("y", words.alias("w"))
-    total = {r.y: r.n for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = taught.select("y", "n", words.alias("w"))
+    total = {r.y: r.n for r in rows.groupBy("y").agg(F.sum("n").alias("n")).collect()}
     if len(total) < 2:
         return {}
     counted = (
-        rows.select("y", F.explode(F.array_distinct(F.concat("w", *map(stems, STEMS)))).alias("term"))
-        .groupBy("term").agg(F.sum("y").alias("bad"), F.count(F.lit(1)).alias("n"))
+        rows.select("y", "n", F.explode(F.array_distinct(F.concat("w", *map(stems, STEMS)))).alias("term"))
+        .groupBy("term").agg(F.sum(F.col("y") * F.col("n")).alias("bad"), F.sum("n").alias("n"))
         .where(F.col("bad") >= SUPPORT)
     )
     odds = F.log((F.col("bad") + 0.5) / (total[1] + 1)) - F.log((F.col("n") - F.col("bad") + 0.5) / (total[0] + 1))
@@ -187,19 +189,19 @@ def learned_terms(taught: DataFrame, most: int = MOST_TERMS) -> dict[str, float]
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, modulus: int = MODULUS, held: int = HELD_OUT) -> Grammar:
     """The grammar of the labelled sample. The driver gets ``MOST_TERMS`` terms and, for each sampled
     row, a vector of ``2 * PATTERNS`` numbers."""
-    taught = sample(docs, labels, "toxic", modulus, held, rows)
+    taught = stored(sample(docs, labels, "toxic", modulus, held, rows), "toxicity-taught")
     grammar = Grammar(learned_terms(taught))
 
     def make():
         return lambda texts: {"x": [grammar.clauses(t or "").tobytes() for t in texts]}
 
-    got = sorted(per_text(taught, make, "x binary", ["doc_id", "y"]).collect())
+    got = sorted(per_text(taught, make, "x binary", ["doc_id", "y", "n"]).select("doc_id", "y", "x", "n").collect())
     if got:
-        y = np.array([r.y for r in got], dtype=float)
+        y, times = (np.array([r[c] for r in got], dtype=float) for c in ("y", "n"))
         if 0 < y.sum() < len(y):
-            grammar.weights, grammar.bias = logistic(np.array([np.frombuffer(r.x) for r in got]), y)
+            grammar.weights, grammar.bias = logistic(np.array([np.frombuffer(r.x) for r in got]), y, times=times)
         else:
-            grammar.bias = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
+            grammar.bias = float(np.log((y @ times + 1) / (times.sum() - y @ times + 1)))
     grammar.known.clear()
     return grammar
 

@@ -76,6 +76,27 @@ def test_sample_is_bounded_and_repeatable(spark):
     assert {r.doc_id: r.m for r in df.select("doc_id", remainder(df.doc_id, 4).alias("m")).collect()} == {None: crc(None, 4), 17: crc(17, 4)}
 
 
+def test_sample_is_bounded_with_one_id_on_many_rows(spark):
+    rows, marks = made(60)
+    many = [(0, f"text {i}") for i in range(50)] + [(0, "again")] * 40 + [(0, None)] * 3 + rows
+    got = sample(cases.docs(spark, many), cases.labels(spark, marks), "quality", 3, 1, 10).collect()
+    assert len(got) == 10
+    every = sample(cases.docs(spark, many), cases.labels(spark, marks), "quality", 3, 1, 1_000).collect()
+    taught = [r for r in many if crc(r[0], 3) != 1]
+    assert {(r.doc_id, r.text): r.n for r in every} == {r: taught.count(r) for r in taught} and len(every) == len(set(taught))
+
+
+def test_weighted_fits_are_as_of_repeated_rows():
+    x = np.array([[1.0, 0.0], [0.0, 1.0], [1.0, 1.0], [0.0, 0.0]])
+    y, times = np.array([1.0, 0.0, 1.0, 0.0]), np.array([3, 1, 2, 4])
+    once, each = toxicity.logistic(x, y, times=times), toxicity.logistic(np.repeat(x, times, 0), np.repeat(y, times))
+    assert np.allclose(once[0], each[0]) and np.isclose(once[1], each[1])
+    rows = [np.array([1, 5]), np.array([2, 6]), np.array([3, 5]), np.array([4, 6])]
+    a, b = quality.fit(rows, y, times), quality.fit([r for r, n in zip(rows, times, strict=True) for _ in range(n)], np.repeat(y, times))
+    assert np.allclose(a.ratios, b.ratios)
+    assert all((a.score(r) >= 0.5) == (b.score(r) >= 0.5) == bool(t) for r, t in zip(rows, y, strict=True))
+
+
 def test_dual_coordinate_descent_separates():
     rows = [np.array([1, 5]), np.array([2, 5]), np.array([3, 6]), np.array([4, 6])] * 5
     y = np.array([1, 1, 0, 0] * 5)
