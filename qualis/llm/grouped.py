@@ -12,10 +12,11 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qualis.llm.common import per_text
+from qualis.llm.common import per_text, stored
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -39,13 +40,22 @@ def text_bytes(docs: DataFrame) -> int:
 
 
 def packed(docs: DataFrame, groups: int) -> DataFrame:
-    """``doc_id, g, z``: every row's UTF-8 text (null: empty), compressed, and its group."""
+    """``doc_id, g, z``: every row's UTF-8 text (null: empty), compressed, and its group.
+
+    Rows are dealt by their place in the Parquet files they come from, so rows repeated whole or under one id spread
+    like any others, and a retry deals them the same way. Other frames are stored first.
+    """
 
     def make():
         tool = zstandard.ZstdCompressor(level=3)
         return lambda texts: {"z": [tool.compress((t or "").encode("utf-8", "surrogatepass")) for t in texts]}
 
-    keyed = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).alias("g"))
+    place = F.xxhash64("_metadata.file_path", "_metadata.row_index")
+    try:
+        placed = docs.select("doc_id", "text", place.alias("at"))
+    except AnalysisException:  # not read from Parquet
+        placed = stored(docs.select("doc_id", "text"), "grouped-rows").select("doc_id", "text", place.alias("at"))
+    keyed = placed.select("doc_id", "text", F.pmod("at", F.lit(groups)).alias("g"))
     return per_text(keyed, make, "z binary", ["doc_id", "g"])
 
 
