@@ -26,7 +26,7 @@ from qualis.llm.common import ASCII_UPPER, stored
 from qualis.llm.grouped import corpus_counts, packed, sums_of, text_bytes, unpacked
 
 ORDER, BACKOFF, SEEN = 3, 0.4, 2
-GROUP_BYTES, PART_NGRAMS, HASH_BITS = 10 << 20, 4_000_000, 52
+GROUP_BYTES, PART_NGRAMS, HASH_BITS = 10 << 20, 4_000_000, 64
 MEMO = 500_000
 
 #: Words are runs of letters a-z (capitals lowered), digits and bytes outside ASCII; the rest separates them.
