@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +36,19 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def placed(docs: DataFrame, label: str) -> DataFrame:
+    """``row`` (all columns of ``docs``), ``text``, and ``file``, ``at``: the row's place in the Parquet files it comes
+    from, a key of its own also for rows repeated whole, and the same on a retry. Other frames are stored first."""
+    columns = [
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"),
+        F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"),
+    ]
+    try:
+        return docs.select(*columns)
+    except AnalysisException:  # not read from Parquet
+        return stored(docs, label).select(*columns)
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, ASCII_UPPER, ASCII_UPPER.lower())
 
