@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from qualis.llm import bpe, decontaminate, lmscore, pii, quality, simhash, substrings, tokenfile, topk, toxicity
+from qualis.llm import bpe, collocations, decontaminate, linededup, lmscore, pii, quality, runs, simhash, substrings, tokenfile, topk, toxicity
 from qualis.llm.common import key_text, load
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -57,6 +57,18 @@ def op10_nb_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(documents(spark, sf_dir), load(spark, sf_dir, "labels"))
 
 
+def op11_sync_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(documents(spark, sf_dir))
+
+
+def op12_hat_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.digest(load(spark, sf_dir, "documents"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.digest(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array": op1_suffix_array,
     "op2_simhash_pigeonring": op2_simhash_pigeonring,
@@ -68,6 +80,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe_automaton": op8_bpe_automaton,
     "op9_clause_grammar": op9_clause_grammar,
     "op10_nb_svm": op10_nb_svm,
+    "op11_sync_runs": op11_sync_runs,
+    "op12_hat_trie": op12_hat_trie,
+    "op13_line_dedup": op13_line_dedup,
 }
 
 #: DuckDB SQL where SQL can express the query.
@@ -75,4 +90,6 @@ ORACLES: dict[str, str] = {
     "op3_prefix_filter": decontaminate.ORACLE,
     "op4_stupid_backoff": lmscore.ORACLE,
     "op5_block_topk": topk.ORACLE,
+    "op12_hat_trie": collocations.ORACLE,
+    "op13_line_dedup": linededup.ORACLE,
 }

@@ -8,11 +8,11 @@ from . import cases
 from .test_decontaminate import plain as contaminated
 from .test_simhash import kept_ids
 
-NAMES = {f"op{n}_" for n in range(1, 11)}
+NAMES = {f"op{n}_" for n in range(1, 14)}
 
 
 def test_one_query_for_each_operator():
-    assert len(queries.QUERIES) == 10 and {q.split("_")[0] + "_" for q in queries.QUERIES} == NAMES
+    assert len(queries.QUERIES) == 13 and {q.split("_")[0] + "_" for q in queries.QUERIES} == NAMES
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "SimHash near-dedup", "benchmark decontamination", "PII", "BPE encoding and decoding"]
 
 
