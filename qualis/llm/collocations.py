@@ -282,18 +282,19 @@ WITH p AS (
     unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
   FROM documents),
 w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
-g AS (SELECT lang, k, ws[i : i + k - 1] AS ph
+g AS (SELECT lang, k, array_to_string(ws[i : i + k - 1], ' ') AS ph
       FROM (SELECT lang, ws, k, unnest(generate_series(1, len(ws) - k + 1)) AS i FROM w, (SELECT unnest([1, 2, 3]) AS k) WHERE len(ws) >= k)),
 f AS (SELECT lang, k, ph, count(*) AS a FROM g GROUP BY lang, k, ph),
 n AS (SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY lang),
-c AS (SELECT * FROM f WHERE k > 1 AND a >= 10),
-cut AS (SELECT c.lang, c.ph, c.a, j.k AS cut, x.a AS l, y.a AS r,
-          (1000000::HUGEINT * c.a * c.a) // (x.a::HUGEINT * y.a) AS score
-        FROM c, (SELECT unnest([1, 2]) AS k) j, f x, f y
-        WHERE j.k < c.k AND x.lang = c.lang AND x.ph = c.ph[1 : j.k] AND y.lang = c.lang AND y.ph = c.ph[j.k + 1 : c.k]),
+c AS (SELECT *, string_split(ph, ' ') AS ws FROM f WHERE k > 1 AND a >= 10),
+cuts AS (SELECT lang, ph, a, cut, array_to_string(ws[1 : cut], ' ') AS lp, array_to_string(ws[cut + 1 : k], ' ') AS rp
+         FROM (SELECT *, unnest(generate_series(1, k - 1)) AS cut FROM c)),
+cut AS (SELECT cuts.lang, cuts.ph, cuts.a, cut, x.a AS l, y.a AS r, (1000000::HUGEINT * cuts.a * cuts.a) // (x.a::HUGEINT * y.a) AS score
+        FROM cuts JOIN f x ON x.lang = cuts.lang AND x.ph = lp JOIN f y ON y.lang = cuts.lang AND y.ph = rp),
 worst AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, ph ORDER BY score, cut) AS o FROM cut) WHERE o = 1),
-around AS (SELECT lang, ph, max(a) AS b FROM (SELECT lang, ph[1 : 2] AS ph, a FROM c WHERE k = 3 UNION ALL SELECT lang, ph[2 : 3], a FROM c WHERE k = 3) GROUP BY lang, ph),
-kept AS (SELECT worst.*, array_to_string(worst.ph, ' ') AS phrase FROM worst LEFT JOIN around USING (lang, ph) WHERE b IS NULL OR 100 * b < 50 * a),
+around AS (SELECT lang, ph, max(a) AS b
+           FROM (SELECT lang, array_to_string(ws[i : i + 1], ' ') AS ph, a FROM (SELECT *, unnest([1, 2]) AS i FROM c WHERE k = 3)) GROUP BY lang, ph),
+kept AS (SELECT worst.*, ph AS phrase FROM worst LEFT JOIN around USING (lang, ph) WHERE b IS NULL OR 100 * b < 50 * a),
 best AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
 SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM best JOIN n USING (lang) WHERE rank <= 2000
 """
