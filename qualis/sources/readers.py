@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import csv_splits as CS
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -45,23 +47,27 @@ def detect_format(path: str) -> str:
     raise ValueError(f"Unsupported file type: {ext or path}")
 
 
-def read_csv(spark: SparkSession, path: str, infer_schema: bool = False, multi_line: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, infer_schema: bool = False, multi_line: bool = True, sep: str = ",") -> DataFrame:
     """Header CSV; UTF-8 unless the file holds undecodable bytes, then latin-1.
 
-    Quotes follow RFC 4180: doubled inside quoted values, which may hold new lines. ``multi_line=False`` gives
-    those up and lets Spark split large files.
-
-    The check is a distributed scan that stops at the first line holding bytes
-    that are not valid UTF-8; values are kept as raw strings (null tokens are a
-    policy matter, see :func:`qualis.functions.null_token`).
+    Quotes follow RFC 4180: doubled inside quoted values, which may hold new lines (unless ``multi_line`` is off). Large
+    files are split either way, see :mod:`qualis.sources.csv_splits`: one scan finds the encoding and whether any
+    record spans lines; if none does, Spark's line-wise reader takes over. Values are kept as raw strings (null tokens
+    are a policy matter, see :func:`qualis.functions.null_token`). ``infer_schema`` infers types by Spark's own
+    reader, which takes a whole file in one task if records span lines.
     """
-    encoding = ENCODINGS[0]
-    raw = spark.read.text(path)
-    if raw.where(~F.is_valid_utf8(F.col("value"))).limit(1).count() > 0:
-        encoding = ENCODINGS[1]
-    reader = (spark.read.option("header", True).option("encoding", encoding)
-              .option("quote", '"').option("escape", '"').option("multiLine", multi_line).option("inferSchema", infer_schema))
-    return fold_nan(reader.csv(path))
+    splits, valid, spans = CS.scan(spark, path, sep)
+    encoding = ENCODINGS[0] if valid else ENCODINGS[1]
+    spans = spans and multi_line
+    options = {"sep": sep, "quote": '"', "escape": '"', "multiLine": str(spans).lower()}
+    reader = spark.read.options(header=True, encoding=encoding, inferSchema=infer_schema, **options)
+    if not spans:
+        return fold_nan(reader.csv(path))
+    names = reader.csv(path).schema
+    ddl = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in names)
+    text = F.regexp_replace(F.decode("text", encoding), "\r$", "")
+    rows = CS.records(spark, path, splits, sep).where("not header").select(text.alias("text")).where(F.col("text") != "")
+    return fold_nan(rows.select(F.from_csv("text", ddl, options).alias("r")).select("r.*"))
 
 
 def read_any(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
