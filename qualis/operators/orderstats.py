@@ -1,170 +1,273 @@
-"""Exact order statistics without a global single-partition window.
+"""Exact order statistics at any size: quantiles by selection, sorted gaps and monotonic checks by ordered scans.
 
-Spark's ``percentile`` keeps a value->count map per group and a global window
-sorts everything in one task; neither holds at scale.  Here every ordered
-computation is split into equi-depth *range buckets* of the distinct values
-(bounds from ``percentile_approx``, a bounded sketch), windows run inside a
-bucket, and the few per-bucket rows are stitched together afterwards.
+*Selection.* A quantile needs the values at a few ranks, not an order of all. Values map to integers of the same order; a pass
+counts them in ``BINS`` equal bins between two integers, and the bin that holds a wanted rank, shrunk to
+the values it really has, is what the next pass divides. A bin of at most ``EXACT`` rows is counted value by value. No value is
+shuffled: a task hands on counts only, and each pass leaves about one in ``BINS`` of the rows (64 bits need six passes at the very most).
 
-Every operator needs at least one group key (use a literal column for one
-group).  Group keys (``keys``) are few -- one per profiled column -- so per-group tables
-of ``buckets`` rows are small; they are broadcast only under that bound.
+*Ordered scan.* Rows are range partitioned on (key, order, tie, row), sorted in their partition and read in that order once; what a
+neighbour in the next partition needs is the first and last row of each partition and key, which are carried across afterwards.
+The row number in the range keeps many equal rows from filling one partition.
+
+Group keys are few (one per profiled column), so the per-partition rows of the carry and the counts of a pass are small.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 128
-SKETCH_ACCURACY = 10000
-# Most distinct values per group that one task may hold: Spark's exact ``percentile``
-# keeps a value->count map of this many entries (~80 MB), a window this many rows.
-# Callers prove the bound from an exact distinct count before taking that path.
-SMALL_DOMAIN = 1_000_000
-# Largest per-group table (groups x buckets rows) that is broadcast.
-BROADCAST_ROWS = 2_000_000
+#: Bins of a pass, and rows of a bracket that are counted value by value.
+BINS, EXACT = 4096, 4096
+LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
 
 
-def _maybe_broadcast(df: DataFrame, rows_bound: int) -> DataFrame:
-    return F.broadcast(df) if rows_bound <= BROADCAST_ROWS else df
+# ---------------------------------------------------------------- selection
+def to_keys(values: np.ndarray) -> np.ndarray:
+    """Integers in the order of the values: integers as they are, doubles by their bits (both zeros alike)."""
+    if values.dtype.kind in "iu":
+        return values.astype(np.int64)
+    bits = (values.astype(np.float64) + 0.0).view(np.int64)
+    return bits ^ ((bits >> 63) & HIGHEST)
 
 
-def range_buckets(df: DataFrame, keys: Sequence[str], value: str, buckets: int = DEFAULT_BUCKETS,
-                  groups_bound: int = 1024) -> DataFrame:
-    """Add ``_b``: the equi-depth bucket of ``value`` within its key group.
+def to_value(key: int, integral: bool) -> float:
+    if integral:
+        return float(key)
+    return float(np.int64(key if key >= 0 else key ^ HIGHEST).view(np.float64))
 
-    Bounds are ``buckets-1`` approximate quantiles of ``value`` per group; equal
-    values always share a bucket, so bucket order is value order.
-    """
-    k = list(keys)
-    pct = [i / buckets for i in range(1, buckets)]
-    edges = df.groupBy(*k).agg(F.percentile_approx(value, pct, SKETCH_ACCURACY).alias("_edges"))
-    out = df.join(_maybe_broadcast(edges, groups_bound), k, "inner")
-    return out.withColumn("_b", F.size(F.filter(F.col("_edges"), lambda e: e < F.col(value)))).drop("_edges")
 
+@dataclass(frozen=True)
+class Bracket:
+    """Part of a group's values that a pass counts: integers from ``low`` to ``high``, in bins or one by one."""
 
-def weighted_quantiles(freq: DataFrame, keys: Sequence[str], value: str, weight: str,
-                       probs: Sequence[float], buckets: int = DEFAULT_BUCKETS,
-                       groups_bound: int = 1024) -> DataFrame:
-    """Exact linear-interpolated quantiles (pandas ``quantile``, SQL ``quantile_cont``).
+    group: str
+    low: int
+    high: int
+    exact: bool
 
-    ``freq`` holds one row per distinct (keys, value) with its multiplicity in
-    ``weight``.  Returns (keys..., p, q).  Only the buckets holding a target rank
-    are windowed, so the work is bounded per task by the bucket size.
-    """
-    k = list(keys)
-    f = range_buckets(freq.where(F.col(value).isNotNull() & (F.col(weight) > 0)), k, value, buckets, groups_bound)
-    bstats = f.groupBy(*k, "_b").agg(F.sum(weight).alias("_bc"))
-    wb = Window.partitionBy(*k).orderBy("_b")
-    bstats = bstats.withColumn("_bstart", F.sum("_bc").over(wb) - F.col("_bc"))
-    totals = bstats.groupBy(*k).agg(F.sum("_bc").alias("_n"))
-    tgt = totals.select(*k, F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"), "_n")
-    tgt = tgt.withColumn("_h", F.col("p") * (F.col("_n") - 1))
-    tgt = tgt.withColumn("_lo", F.floor("_h")).withColumn("_hi", F.ceil("_h"))
-    ranks = tgt.select(*k, "p", F.explode(F.array(F.struct(F.lit("lo").alias("side"), F.col("_lo").alias("_r")),
-                                                  F.struct(F.lit("hi").alias("side"), F.col("_hi").alias("_r")))).alias("t"))
-    ranks = ranks.select(*k, "p", "t.side", "t._r")
-    small = groups_bound * buckets
-    located = ranks.join(_maybe_broadcast(bstats, small), k).where(
-        (F.col("_r") >= F.col("_bstart")) & (F.col("_r") < F.col("_bstart") + F.col("_bc")))
-    located = located.select(*k, "p", "side", "_r", "_b", "_bstart")
-    need = located.select(*k, "_b").distinct()
-    inner = f.join(_maybe_broadcast(need, groups_bound * len(probs) * 2), k + ["_b"])
-    wi = Window.partitionBy(*k, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inner = inner.withColumn("_cum", F.sum(weight).over(wi))
-    hit = inner.join(located, k + ["_b"]).where(
-        (F.col("_r") >= F.col("_bstart") + F.col("_cum") - F.col(weight))
-        & (F.col("_r") < F.col("_bstart") + F.col("_cum")))
-    picked = hit.groupBy(*k, "p").agg(
-        F.max(F.when(F.col("side") == "lo", F.col(value))).alias("_vlo"),
-        F.max(F.when(F.col("side") == "hi", F.col(value))).alias("_vhi"))
-    res = picked.join(tgt.select(*k, "p", "_h", "_lo"), k + ["p"])
-    frac = F.col("_h") - F.col("_lo")
-    q = F.col("_vlo").cast("double") + frac * (F.col("_vhi").cast("double") - F.col("_vlo").cast("double"))
-    return res.select(*k, "p", q.alias("q"))
-
-
-def bounded_quantiles(freq: DataFrame, keys: Sequence[str], value: str, weight: str,
-                      probs: Sequence[float]) -> DataFrame:
-    """Exact linear-interpolated quantiles for groups with at most ``SMALL_DOMAIN``
-    distinct values (the caller proves it): ``percentile`` with a frequency column,
-    partially aggregated map-side.  Returns (keys..., p, q) like :func:`weighted_quantiles`."""
-    k = list(keys)
-    ps = [float(p) for p in probs]
-    agg = freq.groupBy(*k).agg(F.percentile(F.col(value).cast("double"), ps, F.col(weight).cast("bigint")).alias("_qs"))
-    pos = agg.select(*k, F.posexplode("_qs").alias("_i", "q"))
-    return pos.select(*k, F.element_at(F.array(*[F.lit(p) for p in ps]), F.col("_i") + 1).alias("p"), "q")
+    @property
+    def width(self) -> int:
+        return (self.high - self.low) // BINS + 1
 
 
-def bounded_gaps(values: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """:func:`consecutive_gaps` for groups with at most ``SMALL_DOMAIN`` distinct values
-    (the caller proves it): one window per group over its distinct values."""
-    k = list(keys)
-    freq = values.where(F.col(value).isNotNull()).groupBy(*k, value).agg(F.count(F.lit(1)).alias("_c"))
-    zeros = freq.where(F.col("_c") > 1).groupBy(*k).agg(F.sum(F.col("_c") - 1).alias("weight"))
-    zeros = zeros.select(*k, F.lit(0).cast(freq.schema[value].dataType).alias("gap"), "weight")
-    w = Window.partitionBy(*k).orderBy(value)
-    ones = (freq.select(*k, (F.col(value) - F.lag(value).over(w)).alias("gap")).where(F.col("gap").isNotNull())
-            .groupBy(*k, "gap").agg(F.count(F.lit(1)).alias("weight")))
-    return ones.unionByName(zeros).groupBy(*k, "gap").agg(F.sum("weight").alias("weight"))
-
-
-def consecutive_gaps(values: DataFrame, keys: Sequence[str], value: str, buckets: int = DEFAULT_BUCKETS,
-                     groups_bound: int = 1024) -> DataFrame:
-    """Gaps between consecutive sorted values (as ``diff()`` of a sorted series).
-
-    ``values`` holds (keys..., value) with repeats.  Returns (keys..., gap, weight):
-    repeats give zero gaps, neighbouring distinct values give their difference.
-    Distinct values are bucketed; ``lag`` runs inside a bucket and the gap across
-    each bucket boundary comes from per-bucket min/max.
+class Counts:
+    """A task's counts of one bracket: per bin its rows, weight, smallest and largest key."""
+
+    def __init__(self, bracket: Bracket):
+        self.bracket, self.bins = bracket, {}
+
+    def add(self, keys: np.ndarray, weights: np.ndarray | None) -> None:
+        """Counts sorted keys."""
+        b = self.bracket
+        a, e = np.searchsorted(keys, b.low, "left"), np.searchsorted(keys, b.high, "right")
+        if a == e:
+            return
+        keys, w = keys[a:e], None if weights is None else weights[a:e]
+        at = keys if b.exact else ((keys.view(np.uint64) - np.uint64(b.low % (1 << 64))) // np.uint64(b.width)).astype(np.int64)
+        first = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
+        last = np.concatenate([first[1:], [len(at)]])
+        rows = last - first
+        weight = rows if w is None else np.add.reduceat(w, first)
+        for i, n, m, lo, hi in zip(at[first].tolist(), rows.tolist(), weight.tolist(), keys[first].tolist(), keys[last - 1].tolist(), strict=True):
+            old = self.bins.get(i)
+            self.bins[i] = (n, m, lo, hi) if old is None else (old[0] + n, old[1] + m, min(old[2], lo), max(old[3], hi))
+
+
+PASS = "bracket int, bin bigint, rows bigint, weight bigint, low bigint, high bigint"
+
+
+def _pass(frame: DataFrame, brackets: list[Bracket], read: Callable) -> dict[Bracket, list[tuple[int, int, int, int]]]:
+    """For each bracket, (rows, weight, low, high) of its bins in order; at most ``BINS`` or ``EXACT`` rows each reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = [Counts(b) for b in brackets]
+        by_group: dict[str, list[Counts]] = {}
+        for c in counts:
+            by_group.setdefault(c.bracket.group, []).append(c)
+        for batch in batches:
+            for group, values, weights in read(batch):
+                if group in by_group and len(values):
+                    keys = to_keys(values)
+                    order = np.argsort(keys) if weights is not None else None
+                    keys = np.sort(keys) if order is None else keys[order]
+                    for c in by_group[group]:
+                        c.add(keys, None if order is None else weights[order])
+        rows = [(i, at, *v) for i, c in enumerate(counts) for at, v in c.bins.items()]
+        if rows:
+            kinds = [pa.int32()] + [pa.int64()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
+                                             names=["bracket", "bin", "rows", "weight", "low", "high"])
+
+    met = frame.mapInArrow(run, PASS).groupBy("bracket", "bin").agg(
+        F.sum("rows").alias("rows"), F.sum("weight").alias("weight"), F.min("low").alias("low"), F.max("high").alias("high"))
+    out: dict[Bracket, list[tuple[int, int, int, int]]] = {b: [] for b in brackets}
+    for r in met.collect():
+        out[brackets[r.bracket]].append((r.rows, r.weight, r.low, r.high))
+    return {b: sorted(rows, key=lambda r: r[2]) for b, rows in out.items()}
+
+
+def _select(frame: DataFrame, groups: list[str], probs: Sequence[float], integral: bool, read: Callable) -> list[tuple[str, float, float]]:
+    """(group, p, quantile) with linear interpolation; groups without values are left out."""
+    spread = _pass(frame, [Bracket(g, LOWEST, HIGHEST, False) for g in groups], read)
+    totals = {b.group: sum(r[1] for r in rows) for b, rows in spread.items() if rows}
+    ranks = {g: sorted({f(p * (n - 1)) for p in probs for f in (math.floor, math.ceil)}) for g, n in totals.items()}
+    found: dict[tuple[str, int], float] = {}
+    # ranks still open: (group, rank, rank within the bracket) by bracket
+    todo = {b: [(b.group, r, r) for r in ranks[b.group]] for b in spread if b.group in ranks}
+    while todo:
+        following: dict[Bracket, list[tuple[str, int, int]]] = {}
+        for b, open_ in todo.items():
+            ends = np.cumsum([r[1] for r in spread[b]])
+            for group, rank, inside in open_:
+                at = int(np.searchsorted(ends, inside, side="right"))
+                rows, weight, low, high = spread[b][at]
+                if low == high:
+                    found[group, rank] = to_value(low, integral)
+                else:
+                    nearer = Bracket(group, low, high, rows <= EXACT)
+                    following.setdefault(nearer, []).append((group, rank, inside - int(ends[at]) + weight))
+        todo = following
+        if todo:
+            spread = _pass(frame, list(todo), read)
+    out = []
+    for g, n in totals.items():
+        for p in probs:
+            h = p * (n - 1)
+            low, high = found[g, math.floor(h)], found[g, math.ceil(h)]
+            out.append((g, float(p), low if low == high else low + (h - math.floor(h)) * (high - low)))
+    return out
+
+
+def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """Exact linear-interpolated quantiles (pandas ``quantile``, SQL ``quantile_cont``) of columns as doubles:
+    (column_name, p, q). Nulls and NaN take no part; a column without values has no rows."""
+    names = list(columns)
+    frame = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(names)])
+
+    def read(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, None]]:
+        for i, c in enumerate(names):
+            v = batch.column(i).drop_null().to_numpy()
+            yield c, v[~np.isnan(v)], None
+
+    rows = _select(frame, names, probs, False, read) if names else []
+    return df.sparkSession.createDataFrame(rows, "column_name string, p double, q double")
+
+
+def weighted_quantiles(freq: DataFrame, key: str, value: str, weight: str, probs: Sequence[float]) -> DataFrame:
+    """Exact linear-interpolated quantiles of integers that come with how often each occurs: (``key``, p, q). ``freq`` is read
+    several times, so it should be cheap to read (stored or cached)."""
+    frame = freq.where(F.col(value).isNotNull() & (F.col(weight) > 0)).select(F.col(key).cast("string").alias("k"), F.col(value).cast("bigint").alias("v"), F.col(weight).cast("bigint").alias("w"))
+
+    def read(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+        keys = batch.column("k")
+        for k in pc.unique(keys).to_pylist():
+            part = batch.filter(pc.equal(keys, k))
+            yield k, part.column("v").to_numpy(), part.column("w").to_numpy()
+
+    groups = [r.k for r in frame.select("k").distinct().collect()]  # one a profiled column
+    rows = _select(frame, groups, probs, True, read) if groups else []
+    return freq.sparkSession.createDataFrame(rows, f"`{key}` string, p double, q double")
+
+
+# ------------------------------------------------------------- ordered scan
+def _ordered(df: DataFrame, *order: str) -> DataFrame:
+    """Rows range partitioned and sorted; rows equal in ``order`` may go to several partitions."""
+    numbered = df.withColumn("_row", F.monotonically_increasing_id())
+    return numbered.repartitionByRange(*order, "_row").sortWithinPartitions(*order).drop("_row")
+
+
+def _parts(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[str, pa.RecordBatch]]:
+    """Stretches of one key, in order."""
+    for b in batches:
+        if b.num_rows:
+            codes = b.column(key).dictionary_encode().indices
+            cuts = [0, *(i + 1 for i in pc.indices_nonzero(pc.not_equal(codes.slice(1), codes.slice(0, b.num_rows - 1))).to_pylist()), b.num_rows]
+            for a, e in zip(cuts[:-1], cuts[1:], strict=True):
+                yield b.column(key)[a].as_py(), b.slice(a, e - a)
+
+
+def consecutive_gaps(values: DataFrame, key: str, value: str) -> DataFrame:
+    """Gaps between consecutive sorted integers (as ``diff()`` of a sorted series): (``key``, gap, weight).
+
+    ``values`` has (key, value) with repeats, which give zero gaps; distinct values are scanned in order. The result is cached; unpersist it when done.
     """
-    k = list(keys)
-    freq = values.where(F.col(value).isNotNull()).groupBy(*k, value).agg(F.count(F.lit(1)).alias("_c"))
-    zeros = freq.where(F.col("_c") > 1).groupBy(*k).agg(F.sum(F.col("_c") - 1).alias("weight"))
-    zeros = zeros.select(*k, F.lit(0).cast(freq.schema[value].dataType).alias("_v0"), "weight")
-    b = range_buckets(freq, k, value, buckets, groups_bound)
-    w = Window.partitionBy(*k, "_b").orderBy(value)
-    inner = b.select(*k, (F.col(value) - F.lag(value).over(w)).alias("gap")).where(F.col("gap").isNotNull())
-    ends = b.groupBy(*k, "_b").agg(F.min(value).alias("_mn"), F.max(value).alias("_mx"))
-    wb = Window.partitionBy(*k).orderBy("_b")
-    across = ends.select(*k, (F.col("_mn") - F.lag("_mx").over(wb)).alias("gap")).where(F.col("gap").isNotNull())
-    ones = inner.unionByName(across).groupBy(*k, "gap").agg(F.count(F.lit(1)).alias("weight"))
-    return ones.unionByName(zeros.withColumnRenamed("_v0", "gap")).groupBy(*k, "gap").agg(F.sum("weight").alias("weight"))
+    freq = values.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("k"), F.col(value).cast("bigint").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        ends: dict[str, list[int]] = {}
+        for k, b in _parts(batches, "k"):
+            v, n = b.column("v").to_numpy(), b.column("n").to_numpy()
+            before = ends[k][1:] if k in ends else []
+            gaps, weights = np.unique(np.diff(np.concatenate([np.array(before, np.int64), v])), return_counts=True)
+            repeats = int(n.sum()) - len(n)
+            rows = [(k, int(g), int(w)) for g, w in zip(gaps, weights, strict=True)] + ([(k, 0, repeats)] if repeats else [])
+            ends[k] = [ends[k][0] if k in ends else int(v[0]), int(v[-1])]
+            if rows:
+                columns = list(zip(*rows, strict=True))
+                none = pa.nulls(len(rows), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), none, none, none], names=names)
+        if ends:
+            none = pa.nulls(len(ends), pa.int64())
+            first, last = zip(*ends.values(), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(list(ends), pa.string()), none, none, pa.array([part] * len(ends), pa.int64()), pa.array(first, pa.int64()), pa.array(last, pa.int64())], names=names)
+
+    names = ["k", "gap", "weight", "part", "first", "last"]
+    rows = _ordered(freq, "k", "v").mapInArrow(run, "k string, gap bigint, weight bigint, part bigint, first bigint, last bigint").persist()
+    across = Window.partitionBy("k").orderBy("part")
+    between = rows.where(F.col("part").isNotNull()).select("k", (F.col("first") - F.lag("last").over(across)).alias("gap"), F.lit(1).cast("bigint").alias("weight"))
+    inside = rows.where(F.col("gap").isNotNull()).select("k", "gap", "weight")
+    every = inside.unionByName(between.where(F.col("gap").isNotNull()))
+    gaps = every.groupBy(F.col("k").alias(key), "gap").agg(F.sum("weight").alias("weight")).persist()
+    gaps.count()
+    rows.unpersist()
+    return gaps
 
 
 def _sign(cur: Column, prev: Column) -> Column:
     return F.when(cur < prev, -1).when(cur > prev, 1).when(prev.isNotNull(), 0)
 
 
-def monotonic_flags(df: DataFrame, keys: Sequence[str], value: str, order: str,
-                    buckets: int = DEFAULT_BUCKETS, groups_bound: int = 1024, tie: str | None = None) -> DataFrame:
-    """Is ``value`` non-decreasing / non-increasing when rows are read in ``order``?
+def monotonic_flags(df: DataFrame, key: str, value: str, order: str, tie: str | None = None) -> DataFrame:
+    """Is ``value`` non-decreasing / non-increasing when rows are read in ``order`` (of any type that has an order)?
 
-    Rows are bucketed by the order column; within a bucket ``lag`` compares
-    neighbours; the last value of each bucket is compared with the first of the
-    next.  ``tie`` orders rows that share an order value (the value itself if there is none, so the
-    answer never depends on how rows came).  Returns (keys..., increasing, decreasing, is_monotonic).
+    ``tie`` orders rows that share an order value (the value itself if there is none, so the answer never depends on how
+    rows came). Returns (``key``, increasing, decreasing, is_monotonic).
     """
-    k = list(keys)
-    base = df.where(F.col(value).isNotNull())
-    b = range_buckets(base, k, order, buckets, groups_bound)
-    place = F.struct(F.col(order), F.col(tie or value))
-    w = Window.partitionBy(*k, "_b").orderBy(order, tie or value)
-    d = b.select(*k, "_b", _sign(F.col(value), F.lag(value).over(w)).alias("s"))
-    inner = d.groupBy(*k).agg(F.sum(F.when(F.col("s") < 0, 1).otherwise(0)).alias("_dn"),
-                              F.sum(F.when(F.col("s") > 0, 1).otherwise(0)).alias("_up"))
-    ends = b.groupBy(*k, "_b").agg(F.min_by(F.col(value), place).alias("_first"), F.max_by(F.col(value), place).alias("_last"))
-    wb = Window.partitionBy(*k).orderBy("_b")
-    step = ends.select(*k, _sign(F.col("_first"), F.lag("_last").over(wb)).alias("s"))
-    across = step.groupBy(*k).agg(F.sum(F.when(F.col("s") < 0, 1).otherwise(0)).alias("_dn2"),
-                                  F.sum(F.when(F.col("s") > 0, 1).otherwise(0)).alias("_up2"))
-    res = inner.join(across, k, "full_outer")
-    inc = (F.coalesce(F.col("_dn"), F.lit(0)) + F.coalesce(F.col("_dn2"), F.lit(0))) == 0
-    dec = (F.coalesce(F.col("_up"), F.lit(0)) + F.coalesce(F.col("_up2"), F.lit(0))) == 0
-    return res.select(*k, inc.alias("increasing"), dec.alias("decreasing"), (inc | dec).alias("is_monotonic"))
+    base = df.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(order).alias("o"), F.col(tie or value).alias("t"), F.col(value).alias("v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        kept: dict[str, list] = {}
+        for k, b in _parts(batches, "k"):
+            v = b.column("v")
+            first, last, down, up = kept.get(k, [v.slice(0, 1), None, 0, 0])
+            if last is not None:
+                v = pa.concat_arrays([last, v])
+            a, e = v.slice(0, len(v) - 1), v.slice(1)
+            down += pc.sum(pc.less(e, a)).as_py() or 0
+            up += pc.sum(pc.greater(e, a)).as_py() or 0
+            kept[k] = [first, v.slice(len(v) - 1), down, up]
+        if kept:
+            first, last, down, up = zip(*kept.values(), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.string()), pa.array([part] * len(kept), pa.int64()), pa.concat_arrays(first), pa.concat_arrays(last),
+                                              pa.array(down, pa.int64()), pa.array(up, pa.int64())], names=["k", "part", "first", "last", "down", "up"])
+
+    kind = base.schema["v"].dataType.simpleString()
+    ends = _ordered(base, "k", "o", "t").select("k", "v").mapInArrow(run, f"k string, part bigint, first {kind}, last {kind}, down bigint, up bigint")
+    step = ends.select("*", _sign(F.col("first"), F.lag("last").over(Window.partitionBy("k").orderBy("part"))).alias("s"))
+    res = step.groupBy(F.col("k").alias(key)).agg((F.sum("down") + F.count_if(F.col("s") < 0)).alias("_dn"), (F.sum("up") + F.count_if(F.col("s") > 0)).alias("_up"))
+    inc, dec = F.col("_dn") == 0, F.col("_up") == 0
+    return res.select(key, inc.alias("increasing"), dec.alias("decreasing"), (inc | dec).alias("is_monotonic"))
 
 
 def quantile_column(p_rows: DataFrame, keys: Sequence[str], probs: Sequence[float], names: Sequence[str]) -> DataFrame:

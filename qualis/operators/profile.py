@@ -427,53 +427,6 @@ class Profiler:
             out = out.unionByName(x)
         return out.cache()
 
-    def domain_sizes(self, columns: Iterable[str]) -> dict[str, int]:
-        """Exact distinct counts of ``columns`` (one row per column reaches the driver).
-
-        Reuses the full distinct pass when it already ran; otherwise counts only
-        the requested columns."""
-        cols = list(columns)
-        known = self.__dict__.setdefault("_domain", {})
-        missing = [c for c in cols if c not in known]
-        if missing:
-            if "distinct_counts" in self.__dict__:
-                rows = self.distinct_counts.collect()
-            else:
-                parts = [fr.groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_count"))
-                         for fr in self._typed_frequencies(missing, equality_only=True)]
-                rows = [r for x in parts for r in x.collect()]
-            for r in rows:
-                known[r["column_name"]] = int(r["distinct_count"])
-            for c in missing:
-                known.setdefault(c, 0)  # all-null column
-        return {c: known[c] for c in cols}
-
-    # HyperLogLog++ relative standard error used for the bound below; a domain counts
-    # as small when the estimate is at most half the limit (a ten-sigma margin).
-    # (rsd 0.01 costs ~15x the scan; 0.05 costs about as much as a min/max pass.)
-    NDV_RSD = 0.05
-
-    def small_domain_columns(self, columns: Iterable[str], limit: int) -> set[str]:
-        """Columns whose distinct-value count is proven to be at most ``limit``.
-
-        Exact counts are used when the distinct pass already ran; otherwise one
-        scan (no shuffle beyond one row per task) estimates them with
-        ``approx_count_distinct`` and only estimates under half the limit pass."""
-        cols = list(columns)
-        if not cols:
-            return set()
-        if "distinct_counts" in self.__dict__ or set(cols) <= set(self.__dict__.get("_domain", {})):
-            sizes = self.domain_sizes(cols)
-            return {c for c in cols if sizes[c] <= limit}
-        est = self.__dict__.setdefault("_ndv", {})
-        missing = [c for c in cols if c not in est]
-        if missing:
-            row = self.df.agg(*[F.approx_count_distinct(F.col(c), self.NDV_RSD).alias(f"n{i}")
-                                for i, c in enumerate(missing)]).collect()[0]
-            for i, c in enumerate(missing):
-                est[c] = int(row[f"n{i}"])
-        return {c for c in cols if est[c] <= limit // 2}
-
     def columns_with_distinct(self, at_most: int, among: Iterable[str] | None = None) -> list[str]:
         """Columns with at most ``at_most`` distinct values (bounded: one row per column)."""
         pool = set(among) if among is not None else None
@@ -513,24 +466,10 @@ class Profiler:
         return long.where(F.col("v").isNotNull())
 
     def quantiles(self, probs: Sequence[float] = (0.25, 0.5, 0.75), names: Sequence[str] = ("q1", "median", "q3")) -> DataFrame:
-        """Exact quantiles: columns with a proven small domain through ``percentile``,
-        the others through equi-depth range buckets."""
+        """Exact quantiles of all numeric columns, by selection (:func:`orderstats.column_quantiles`)."""
         if not self.numeric_fields:
             return self.spark.createDataFrame([], "column_name string, " + ", ".join(f"{n} double" for n in names))
-        cols = [f.name for f in self.numeric_fields]
-        proven = self.small_domain_columns(cols, OS.SMALL_DOMAIN)
-        small = [c for c in cols if c in proven]
-        big = [c for c in cols if c not in proven]
-        parts = []
-        for group, fn in ((small, OS.bounded_quantiles), (big, None)):
-            if not group:
-                continue
-            freq = self._numeric_values(group).groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("w"))
-            if fn is None:
-                parts.append(OS.weighted_quantiles(freq, ["column_name"], "v", "w", list(probs), groups_bound=len(group)))
-            else:
-                parts.append(fn(freq, ["column_name"], "v", "w", list(probs)))
-        q = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        q = OS.column_quantiles(self.df, [f.name for f in self.numeric_fields], list(probs))
         return OS.quantile_column(q, ["column_name"], list(probs), list(names))
 
     def numeric(self) -> DataFrame:
@@ -622,22 +561,9 @@ class Profiler:
         long = long.where(F.col("ts").isNotNull()).withColumn("t_us", F.timestamp_diff("MICROSECOND", epoch, F.col("ts")))
         rng = long.groupBy("column_name").agg(F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"),
                                                 F.count(F.lit(1)).alias("_n"))
-        # distinct gaps <= distinct values <= distinct raw values: a proven bound per column
-        proven = self.small_domain_columns([n for n, _ in cols], OS.SMALL_DOMAIN)
-        meds = []
-        for small in (True, False):
-            group = [n for n, _ in cols if (n in proven) == small]
-            if not group:
-                continue
-            vals = long.where(F.col("column_name").isin(group)).select("column_name", "t_us")
-            if small:
-                gaps = OS.bounded_gaps(vals, ["column_name"], "t_us")
-                meds.append(OS.bounded_quantiles(gaps, ["column_name"], "gap", "weight", [0.5]))
-            else:
-                gaps = OS.consecutive_gaps(vals, ["column_name"], "t_us", groups_bound=len(group))
-                meds.append(OS.weighted_quantiles(gaps, ["column_name"], "gap", "weight", [0.5], groups_bound=len(group)))
-        med = OS.quantile_column(meds[0] if len(meds) == 1 else meds[0].unionByName(meds[1]), ["column_name"],
-                                 [0.5], ["_med"])
+        gaps = OS.consecutive_gaps(long.select("column_name", "t_us"), "column_name", "t_us")
+        med = OS.quantile_column(OS.weighted_quantiles(gaps, "column_name", "gap", "weight", [0.5]), ["column_name"], [0.5], ["_med"])
+        gaps.unpersist()
         j = rng.join(med, "column_name", "left")
         m = F.col("_med") / 1e6
         gran = (F.when((F.col("_n") < 2) | m.isNull(), F.lit(None)).when(m < 60, "second").when(m < 3600, "minute")
@@ -659,7 +585,7 @@ class Profiler:
             part = self.df.select(F.lit(name).alias("column_name"), expr.alias("ts"), F.col(order).alias("_ord"),
                                   *([F.struct(*tie_break).alias("_tie")] if tie_break else []))
             long = part if long is None else long.unionByName(part)
-        res = OS.monotonic_flags(long, ["column_name"], "ts", "_ord", groups_bound=max(len(cols), 1), tie="_tie" if tie_break else None)
+        res = OS.monotonic_flags(long, "column_name", "ts", "_ord", tie="_tie" if tie_break else None)
         return res.select(F.lit(self.entity).alias("entity_name"), "column_name", F.lit(order).alias("order_by"),
                           "increasing", "decreasing", "is_monotonic")
 

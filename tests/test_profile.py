@@ -145,11 +145,11 @@ def test_policy_roles(spark):
                      "amount": "measure", "status": "status", "o_orderdate": "dimension"}
 
 
-@pytest.mark.parametrize("bound", [0, 10**6])
-def test_both_quantile_paths_agree_with_pandas(spark, sf, events, monkeypatch, bound):
-    """The bounded-domain path (percentile) and the bucketed path give the same exact values."""
+@pytest.mark.parametrize("bins, exact", [(3, 1), (50, 10), (4096, 4096)])
+def test_selection_agrees_with_pandas_in_few_or_many_passes(spark, sf, events, monkeypatch, bins, exact):
     from qualis.operators import orderstats as OS
-    monkeypatch.setattr(OS, "SMALL_DOMAIN", bound)
+    monkeypatch.setattr(OS, "BINS", bins)
+    monkeypatch.setattr(OS, "EXACT", exact)
     df = read_table(spark, sf, "lineitem")
     pdf = pd.read_parquet(f"{sf}/lineitem.parquet")
     p = Profiler(df, "lineitem")
