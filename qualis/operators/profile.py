@@ -545,6 +545,11 @@ class Profiler:
                     out.append((r["column_name"], X.to_timestamp_safe(r["column_name"])))
         return out
 
+    def _times(self, cols: list[tuple[str, Column]], *more: Column) -> DataFrame:
+        """(column_name, ts) of all time columns and ``more``, from one scan."""
+        one = F.explode(F.array(*[F.struct(F.lit(name).alias("column_name"), expr.alias("ts")) for name, expr in cols]))
+        return self.df.select(one.alias("_t"), *more).select("_t.*", *[c for c in ("_ord", "_tie")[:len(more)]])
+
     def datetime(self) -> DataFrame:
         """A12/A13 (+A14 when ``order_by`` is set): range, granularity, monotonic."""
         cols = self._datetime_columns()
@@ -552,10 +557,7 @@ class Profiler:
                   "gap_count bigint, median_gap_seconds double, granularity string")
         if not cols:
             return self.spark.createDataFrame([], schema)
-        long = None
-        for name, expr in cols:
-            part = self.df.select(F.lit(name).alias("column_name"), expr.alias("ts"))
-            long = part if long is None else long.unionByName(part)
+        long = self._times(cols)
         # wall-clock microseconds since the epoch, independent of the session time zone
         epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
         long = long.where(F.col("ts").isNotNull()).withColumn("t_us", F.timestamp_diff("MICROSECOND", epoch, F.col("ts")))
@@ -580,11 +582,7 @@ class Profiler:
         if not order:
             raise ValueError("row order is not defined in Spark: pass an explicit order column")
         cols = self._datetime_columns()
-        long = None
-        for name, expr in cols:
-            part = self.df.select(F.lit(name).alias("column_name"), expr.alias("ts"), F.col(order).alias("_ord"),
-                                  *([F.struct(*tie_break).alias("_tie")] if tie_break else []))
-            long = part if long is None else long.unionByName(part)
+        long = self._times(cols, F.col(order).alias("_ord"), *([F.struct(*tie_break).alias("_tie")] if tie_break else []))
         res = OS.monotonic_flags(long, "column_name", "ts", "_ord", tie="_tie" if tie_break else None)
         return res.select(F.lit(self.entity).alias("entity_name"), "column_name", F.lit(order).alias("order_by"),
                           "increasing", "decreasing", "is_monotonic")
