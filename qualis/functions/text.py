@@ -150,11 +150,12 @@ DEFAULT_DATETIME_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyy
 
 def to_timestamp_safe(c: str | Column, formats: Iterable[str] | None = None) -> Column:
     """String -> TIMESTAMP_NTZ; unparseable -> NULL.  ISO text through ``try_cast``,
-    then an ordered list of explicit formats (first success wins)."""
+    then an ordered list of explicit formats (first success wins), each tried only on text with its punctuation."""
     x = F.trim(col_of(c))
     tries = [x.try_cast("timestamp_ntz")]
     for fmt in formats if formats is not None else DEFAULT_DATETIME_FORMATS[3:]:
-        tries.append(F.try_to_timestamp(x, F.lit(fmt)).cast("timestamp_ntz"))
+        mark = next((ch for ch in fmt if ch in "/.:"), "")
+        tries.append(F.when(x.contains(mark), F.try_to_timestamp(x, F.lit(fmt)).cast("timestamp_ntz")))
     return F.coalesce(*tries)
 
 

@@ -155,11 +155,12 @@ def canonical_mapping(p: Profiler, columns: list[str] | None = None) -> DataFram
 
 
 def aggregate_duplicates(df: DataFrame, keys: list[str], measures: list[str], dims: list[str]) -> DataFrame:
-    """One row per grain key: measures summed, dimensions by their smallest value.
+    """One row per grain key: measures summed (whole numbers as decimals, past 64 bits), dimensions by their smallest value.
 
     sum/min are combined map-side, so a hot key costs one row per task."""
     aggs = [F.count(F.lit(1)).alias("row_count")]
-    aggs += [F.sum(F.col(m)).alias(f"sum_{m}") for m in measures]
+    whole = {m for m in measures if isinstance(df.schema[m].dataType, N.INTEGRAL_TYPES)}
+    aggs += [F.sum(F.col(m).cast("decimal(38,0)") if m in whole else F.col(m)).alias(f"sum_{m}") for m in measures]
     aggs += [F.min(F.col(d)).alias(f"min_{d}") for d in dims]
     return df.groupBy(*keys).agg(*aggs)
 

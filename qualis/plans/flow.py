@@ -36,24 +36,24 @@ def run_entities(spark: SparkSession, entities: Mapping[str, DataFrame], out_dir
         src = _read_back(spark, out_dir, f"original/{entity}", run_id).select(*df.columns)
 
         p = Profiler(src, entity, policy)
-        SK.save_profile(p.column_profile(), out_dir, run_id, fmt="parquet")
-        SK.save_issues(I.detect_issues(p).withColumn("entity_name", F.lit(entity)), out_dir, run_id, fmt="parquet")
+        SK.save_profile(p.column_profile(), out_dir, run_id, fmt="parquet", entity=entity)
+        SK.save_issues(I.detect_issues(p).withColumn("entity_name", F.lit(entity)), out_dir, run_id, fmt="parquet", entity=entity)
         found = _read_back(spark, out_dir, "issues", run_id).where(F.col("entity_name") == entity)
         issue_rows = I.issue_list(found)  # bounded: columns x issue types
 
         fixes = R.compile_fixes(src, issue_rows, p.policy)
         SK.save_remediated(R.apply_fixes(src, fixes), out_dir, run_id, entity)
-        SK.write_artifact(R.remediation_log(src, fixes, entity, run_id), out_dir, "remediation_log", run_id)
+        SK.write_artifact(R.remediation_log(src, fixes, entity, run_id), out_dir, "remediation_log", run_id, entity=entity)
         fixed = _read_back(spark, out_dir, f"remediated/{entity}", run_id).select(*fixes.exprs.keys())
 
         plan = W.build_plan(fixed, entity)
-        SK.save_plan(W.plan_frame(spark, plan), out_dir, run_id, fmt="parquet")
+        SK.save_plan(W.plan_frame(spark, plan), out_dir, run_id, fmt="parquet", entity=entity)
         wide = W.materialise(fixed, plan, {"_run_id": run_id, "_source_name": entity})
         SK.write_artifact(wide, out_dir, f"wide/{plan.table_name}", run_id,
-                          partition_by=["event_month"] if plan.derived else None)
+                          partition_by=["event_month"] if plan.derived else None, entity=entity)
         for which, cols in (("sparse", plan.sparse), ("text", plan.excluded)):
             if cols:
-                SK.write_artifact(W.sidecar(fixed, plan, which), out_dir, f"wide/{plan.table_name}_{which}", run_id)
+                SK.write_artifact(W.sidecar(fixed, plan, which), out_dir, f"wide/{plan.table_name}_{which}", run_id, entity=entity)
         p.release()
         out.append({"entity": entity, "run_id": run_id, "issues": len(issue_rows),
                     "fix_steps": len(fixes.steps), "wide_table": plan.table_name, "grain_keys": plan.keys,
