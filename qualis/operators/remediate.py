@@ -1,18 +1,21 @@
-"""Row-level fixes compiled into ONE projection (P1-P12), plus the remediation log.
+"""Row-level fixes compiled into layers of one projection each (P1-P12), plus the remediation log.
 
 The issue list (bounded: columns x issue types) is read on the driver and turned
-into one Column expression per output column, nested in the fixed order
+into steps per column, in the fixed order
 trim -> null tokens -> fill -> type -> PII -> casing -> global e-mail mask.
-The log counts, for each applied step, how many values it changed -- all steps
-in one extra aggregation.
+A step reads the column that the step before it made, so a plan grows with the number of steps and no
+expression is repeated in those that follow; no layer needs a shuffle. The log counts, for each step, how many
+values it changed: either in one aggregation (:func:`remediation_log`), or as metrics of the very job that
+writes the fixed rows (:func:`measured` and :func:`measured_log`), without another scan.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names as N
@@ -33,13 +36,18 @@ class Step:
     after: Column
     affected: int | None = None
     cast: bool = False
+    before_type: str = ""
+    after_type: str = ""
 
 
 @dataclass
 class FixPlan:
+    """``exprs`` has each output column over the columns that ``layers`` make, one after the other."""
+
     exprs: dict[str, Column]
     dropped: list[str]
     steps: list[Step] = field(default_factory=list)
+    layers: list[list[Column]] = field(default_factory=list)
 
 
 def compile_fixes(df: DataFrame, issues: list[dict], policy: Policy | None = None,
@@ -63,18 +71,28 @@ def compile_fixes(df: DataFrame, issues: list[dict], policy: Policy | None = Non
     exprs: dict[str, Column] = {}
     steps: list[Step] = []
     dropped: list[str] = []
-    for name in df.columns:
-        x = F.col(name)
+    layers: list[list[Column]] = []
+    made = "__fix"
+    while any(c.startswith(made) for c in df.columns):
+        made += "_"
+    for at, name in enumerate(df.columns):
+        x, depth = F.col(f"`{name}`"), 0
         dt = types[name]
         mine = by_col.get(name, {})
-        string = N.is_string(dt)
+        string, method = N.is_string(dt), None
 
         def step(action, itype, new, affected=None, owner="programmatic", cast=False):
-            nonlocal x, string
-            steps.append(Step(name, action, itype, owner, x, new, affected, cast))
-            x = new
+            nonlocal x, string, depth
+            alias = f"{made}{at}_{depth}"
+            if depth == len(layers):
+                layers.append([])
+            layers[depth].append(new.alias(alias))
+            depth += 1
+            steps.append(Step(name, action, itype, owner, x, F.col(alias), affected, cast, dt.simpleString() if len(steps) == 0 or steps[-1].column != name else steps[-1].after_type, ""))
+            x = F.col(alias)
             if cast:
                 string = False
+            steps[-1].after_type = ("timestamp_ntz" if "datetime" in action else "double") if cast else "string" if method else steps[-1].before_type
 
         if want("trim_whitespace") and string and "whitespace_not_trimmed" in mine:
             step("trim_whitespace", "whitespace_not_trimmed", X.py_strip(x), mine["whitespace_not_trimmed"]["count"])
@@ -93,7 +111,6 @@ def compile_fixes(df: DataFrame, issues: list[dict], policy: Policy | None = Non
         if want("convert_to_datetime") and "timestamp_wrong_type" in mine:
             conv = X.serial_to_timestamp(x) if N.is_numeric(dt) else X.to_timestamp_safe(x)
             step("convert_to_datetime", "timestamp_wrong_type", conv, mine["timestamp_wrong_type"]["count"], cast=True)
-        method = None
         if "unmasked_pii" in mine:
             method = mine["unmasked_pii"]["action"]
         if pii_methods and name in pii_methods:
@@ -114,71 +131,92 @@ def compile_fixes(df: DataFrame, issues: list[dict], policy: Policy | None = Non
             step(mine["casing_inconsistency"]["action"], "casing_inconsistency", X.apply_casing(x, casing),
                  mine["casing_inconsistency"]["count"])
         if want("global_email_mask") and global_mask and string:
-            steps.append(Step(name, "global_email_mask", "pii_global_scan", "programmatic", x, X.mask_if_email(x)))
-            x = X.mask_if_email(x)
+            step("global_email_mask", "pii_global_scan", X.mask_if_email(x))
         exprs[name] = x
-    return FixPlan(exprs, dropped, steps)
+    return FixPlan(exprs, dropped, steps, layers)
+
+
+def layered(df: DataFrame, plan: FixPlan) -> DataFrame:
+    """``df`` with a column for what each step makes."""
+    for layer in plan.layers:
+        df = df.select("*", *layer)
+    return df
 
 
 def apply_fixes(df: DataFrame, plan: FixPlan) -> DataFrame:
-    """The single projection of all fixes."""
-    return df.select(*[e.alias(n) for n, e in plan.exprs.items()])
+    """All fixes, in projections only."""
+    return layered(df, plan).select(*[e.alias(n) for n, e in plan.exprs.items()])
+
+
+def _changes(s: Step) -> tuple[Column, Column, Column]:
+    """Whether a step changed a value, and the value as text before and after."""
+    before, after = s.before.cast("string"), s.after.cast("string")
+    if s.action == "mask_pii_drop":
+        return s.before.isNotNull(), before, F.lit("DROPPED")
+    return (s.before.isNotNull() if s.cast else ~before.eqNullSafe(after)), before, after
+
+
+def _measures(plan: FixPlan) -> list[Column]:
+    """Aggregates of every step: changed values and up to four examples (smallest, largest, and two by hash)."""
+    aggs = [F.count(F.lit(1)).alias("rows")]
+    for i, s in enumerate(plan.steps):
+        changed, before, after = _changes(s)
+        b = F.when(changed, F.coalesce(before, F.lit("NULL")))
+        pair = F.struct(b.alias("b"), F.coalesce(after, F.lit("NULL")).alias("a"))
+        mark = F.when(changed, F.xxhash64(b))
+        aggs += [F.count_if(changed).alias(f"s{i}_n"), F.min_by(pair, b).alias(f"s{i}_e0"), F.max_by(pair, b).alias(f"s{i}_e1"),
+                 F.min_by(pair, mark).alias(f"s{i}_e2"), F.max_by(pair, mark).alias(f"s{i}_e3")]
+    return aggs
+
+
+LOG = ("run_id string, dataset_id string, entity_name string, step int, column_name string, rule_id string, action string, "
+       "issue_type string, owner string, confidence double, affected_count bigint, changed_count bigint, "
+       "before_type string, after_type string, before_examples string, after_examples string")
+
+
+def _log_row(plan: FixPlan, m: dict, i: int, entity: str, run_id: str, dataset_id: str) -> tuple:
+    s, n = plan.steps[i], int(m[f"s{i}_n"] or 0)
+    pairs = list(dict.fromkeys((e["b"], e["a"]) for e in (m[f"s{i}_e{k}"] for k in (0, 2, 3, 1)) if e is not None and e["b"] is not None))
+    return (run_id, dataset_id, entity, i, s.column, f"fix_{s.action}", s.action, s.issue_type, s.owner, 1.0,
+            n if s.affected is None else int(s.affected), n, s.before_type, s.after_type,
+            "|".join(b for b, _ in pairs), "|".join(a for _, a in pairs))
 
 
 def remediation_log(df: DataFrame, plan: FixPlan, entity: str = "entity", run_id: str = "",
                     dataset_id: str = "") -> DataFrame:
-    """One row per applied step with changed-value counts and two examples each.
+    """One row per applied step with changed-value counts, types and up to four examples.
 
-    All counts and examples come from ONE aggregation over the input.
+    All counts and examples come from ONE aggregation over the input (one row reaches the driver).
     """
-    aggs = []
-    rows = []
-    for i, s in enumerate(plan.steps):
-        if s.action == "mask_pii_drop":
-            changed = s.before.isNotNull()
-            before_s, after_s = s.before.cast("string"), F.lit("DROPPED")
-        elif s.cast:
-            changed = s.before.isNotNull()
-            before_s, after_s = s.before.cast("string"), s.after.cast("string")
-        else:
-            before_s, after_s = s.before.cast("string"), s.after.cast("string")
-            changed = ~before_s.eqNullSafe(after_s)
-        bkey = F.when(changed, F.coalesce(before_s, F.lit("NULL")))
-        aggs += [F.count_if(changed).alias(f"s{i}_n"), F.min(bkey).alias(f"s{i}_b0"), F.max(bkey).alias(f"s{i}_b1"),
-                 F.min_by(F.coalesce(after_s, F.lit("NULL")), bkey).alias(f"s{i}_a0"),
-                 F.max_by(F.coalesce(after_s, F.lit("NULL")), bkey).alias(f"s{i}_a1")]
-        rows.append(F.struct(
-            F.lit(i).alias("step"), F.lit(s.column).alias("column_name"), F.lit(s.action).alias("action"),
-            F.lit(s.issue_type).alias("issue_type"), F.lit(s.owner).alias("owner"),
-            F.lit(s.affected).cast("bigint").alias("affected_count"), F.col(f"s{i}_n").cast("bigint").alias("changed_count"),
-            F.concat_ws("|", F.col(f"s{i}_b0"), F.when(F.col(f"s{i}_b1") != F.col(f"s{i}_b0"), F.col(f"s{i}_b1"))).alias("before_examples"),
-            F.concat_ws("|", F.col(f"s{i}_a0"), F.when(F.col(f"s{i}_b1") != F.col(f"s{i}_b0"), F.col(f"s{i}_a1"))).alias("after_examples")))
-    spark = df.sparkSession
-    if not rows:
-        return spark.createDataFrame([], "run_id string, dataset_id string, entity_name string, step int, "
-                                         "column_name string, rule_id string, action string, issue_type string, "
-                                         "owner string, confidence double, affected_count bigint, changed_count bigint, "
-                                         "before_examples string, after_examples string")
-    out = df.agg(*aggs).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
-    out = out.withColumn("affected_count", F.coalesce("affected_count", "changed_count"))
-    return out.select(F.lit(run_id).alias("run_id"), F.lit(dataset_id).alias("dataset_id"),
-                      F.lit(entity).alias("entity_name"), "step", "column_name",
-                      F.concat(F.lit("fix_"), F.col("action")).alias("rule_id"), "action", "issue_type", "owner",
-                      F.lit(1.0).alias("confidence"), "affected_count", "changed_count", "before_examples",
-                      "after_examples")
+    m = layered(df, plan).agg(*_measures(plan)).first().asDict() if plan.steps else {}
+    return df.sparkSession.createDataFrame([_log_row(plan, m, i, entity, run_id, dataset_id) for i in range(len(plan.steps))], LOG)
+
+
+def measured(df: DataFrame, plan: FixPlan) -> tuple[DataFrame, Observation]:
+    """The fixed rows, and metrics that the job writing them fills in: rows, and what :func:`remediation_log` counts.
+
+    The rows go through no shuffle, so a metric counts each finished partition once, also if tasks are run again."""
+    seen = Observation(f"fixes-{uuid.uuid4().hex}")
+    out = layered(df, plan).observe(seen, *_measures(plan))
+    return out.select(*[e.alias(n) for n, e in plan.exprs.items()]), seen
+
+
+def measured_log(spark: SparkSession, plan: FixPlan, seen: Observation, entity: str = "entity", run_id: str = "",
+                 dataset_id: str = "") -> DataFrame:
+    """The remediation log from the metrics of a finished job; see :func:`measured`."""
+    m = seen.get
+    return spark.createDataFrame([_log_row(plan, m, i, entity, run_id, dataset_id) for i in range(len(plan.steps))], LOG)
 
 
 def remediation_summary(original: DataFrame, remediated: DataFrame, log: DataFrame, issues: DataFrame,
-                        policy: Policy | None = None) -> DataFrame:
-    """I16: shapes, applied actions and the human-review list size (one row)."""
+                        policy: Policy | None = None, remediated_rows: int | None = None) -> DataFrame:
+    """I16: shapes, applied actions and the human-review list size (one row).
+
+    The rows of both sides are counted; ``remediated_rows`` is what the writing job has measured, if it has."""
     pol = policy or Policy()
-    one = F.lit(1).alias("_k")
-    rows = original.agg(F.count(F.lit(1)).alias("n")).select("*", one)
-    human = issues.agg(F.count_if(F.col("owner") == "human").alias("human_review_count")).select("*", one)
-    acts = log.agg(F.count_if(F.col("changed_count") > 0).alias("actions_applied"),
-                   F.sum("changed_count").alias("values_changed")).select("*", one)
-    return rows.join(human, "_k", "left").join(acts, "_k", "left").select(
-        F.lit(pol.version).alias("policy_version"), F.col("n").cast("bigint").alias("original_rows"),
-        F.lit(len(original.columns)).alias("original_columns"), F.col("n").cast("bigint").alias("remediated_rows"),
-        F.lit(len(remediated.columns)).alias("remediated_columns"), F.col("actions_applied").cast("bigint"),
-        F.col("values_changed").cast("bigint"), F.col("human_review_count").cast("bigint"))
+    human = issues.agg(F.count_if(F.col("owner") == "human")).first()[0]
+    acts = log.agg(F.count_if(F.col("changed_count") > 0), F.sum("changed_count")).first()
+    after = remediated.count() if remediated_rows is None else remediated_rows
+    row = (pol.version, original.count(), len(original.columns), after, len(remediated.columns), acts[0], acts[1], human)
+    return original.sparkSession.createDataFrame([row], "policy_version string, original_rows bigint, original_columns int, remediated_rows bigint, "
+                                                 "remediated_columns int, actions_applied bigint, values_changed bigint, human_review_count bigint")

@@ -42,9 +42,13 @@ def run_entities(spark: SparkSession, entities: Mapping[str, DataFrame], out_dir
         issue_rows = I.issue_list(found)  # bounded: columns x issue types
 
         fixes = R.compile_fixes(src, issue_rows, p.policy)
-        SK.save_remediated(R.apply_fixes(src, fixes), out_dir, run_id, entity)
-        SK.write_artifact(R.remediation_log(src, fixes, entity, run_id), out_dir, "remediation_log", run_id, entity=entity)
-        fixed = _read_back(spark, out_dir, f"remediated/{entity}", run_id).select(*fixes.exprs.keys())
+        rows, seen = R.measured(src, fixes)
+        SK.save_remediated(rows, out_dir, run_id, entity)
+        log = R.measured_log(spark, fixes, seen, entity, run_id)
+        SK.write_artifact(log, out_dir, "remediation_log", run_id, entity=entity)
+        fixed = _read_back(spark, out_dir, f"remediated/{entity}", run_id).select(*[F.col(f"`{c}`") for c in fixes.exprs])
+        summary = R.remediation_summary(src, fixed, log, found, p.policy, seen.get["rows"])
+        SK.save_summary(summary, out_dir, run_id, fmt="parquet", entity=entity)
 
         plan = W.build_plan(fixed, entity)
         SK.save_plan(W.plan_frame(spark, plan), out_dir, run_id, fmt="parquet", entity=entity)
