@@ -37,12 +37,16 @@ def build_session(cpus: int | str = "*", app: str = "qualis", shuffle_partitions
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster in ``spark.checkpoint.dir``.
 
-    Only when the setting is absent (local tests) a scratch folder is created and set.
+    Where the setting is absent, a scratch folder is created and set, but only for a master within this process (tests):
+    executors elsewhere could not see it.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = spark.sparkContext.getCheckpointDir()
     if not current:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"spark.checkpoint.dir is not set: name a folder that all executors of {master} share")
         current = tempfile.mkdtemp(prefix="qualis-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     if not spark.sparkContext.getCheckpointDir():
