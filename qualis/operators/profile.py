@@ -16,8 +16,9 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterable, Sequence
 from functools import cached_property
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -737,26 +738,34 @@ def bin_index(v: Column, lo: float, hi: float, n: int) -> Column:
     return (F.when(v < left, idx - 1).when((v >= right) & (idx != n - 1), idx + 1).otherwise(idx)).cast("int")
 
 
-def dataset_totals(entities: dict[str, DataFrame]) -> DataFrame:
-    """Rows, columns and stored bytes per entity, plus an ``__all__`` total row.
+def stored_files(spark: SparkSession, entities: dict[str, DataFrame]) -> DataFrame:
+    """(entity_name, file_count, size_bytes) of the files behind each entity, from the file index: path and length through the
+    ``binaryFile`` source, whose contents are not read. Entities without files have null bytes."""
+    schema = "entity_name string, file_count bigint, size_bytes bigint"
+    out = None
+    for name, df in entities.items():
+        files = [unquote(f) for f in df.inputFiles()]  # as many as the driver lists for the scan itself
+        if files:
+            listed = spark.read.format("binaryFile").load(files).select("path", "length")
+            part = listed.agg(F.lit(name).alias("entity_name"), F.count("path").alias("file_count"), F.sum("length").alias("size_bytes"))
+            part = part.select("entity_name", "file_count", "size_bytes")
+        else:
+            part = spark.createDataFrame([(name, 0, None)], schema)
+        out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], schema) if out is None else out
 
-    Bytes are the summed sizes of the distinct files behind an entity, read from the
-    file source's ``_metadata`` column (a distributed scan, no file list on the
-    driver); NULL for entities that are not a plain file scan."""
+
+def dataset_totals(entities: dict[str, DataFrame]) -> DataFrame:
+    """Rows, columns and stored bytes per entity, plus an ``__all__`` total row; bytes as in :func:`stored_files`."""
     parts = []
     for name, df in entities.items():
         rows = df.agg(F.lit(name).alias("entity_name"), F.count(F.lit(1)).cast("bigint").alias("row_count"))
-        try:
-            files = df.select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("s")).distinct()
-            size = files.agg(F.lit(name).alias("entity_name"), F.sum("s").cast("bigint").alias("size_bytes"))
-        except Exception:  # noqa: BLE001 - derived views expose no file metadata
-            size = df.sparkSession.range(1).select(F.lit(name).alias("entity_name"),
-                                                   F.lit(None).cast("bigint").alias("size_bytes"))
-        parts.append(rows.join(size, "entity_name").select(  # one row each side
-            "entity_name", "row_count", F.lit(len(df.columns)).cast("bigint").alias("column_count"), "size_bytes"))
+        parts.append(rows.withColumn("column_count", F.lit(len(df.columns)).cast("bigint")))
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
+    sizes = stored_files(next(iter(entities.values())).sparkSession, entities).select("entity_name", "size_bytes")
+    out = out.join(sizes, "entity_name").select("entity_name", "row_count", "column_count", "size_bytes")  # one row each side
     total = out.agg(F.lit("__all__").alias("entity_name"), F.sum("row_count").cast("bigint").alias("row_count"),
                     F.sum("column_count").cast("bigint").alias("column_count"),
                     F.sum("size_bytes").cast("bigint").alias("size_bytes"))

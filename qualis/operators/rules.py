@@ -22,6 +22,7 @@ from .profile import Profiler
 
 CURRENCY_CODES = {"$": "USD", "£": "GBP", "€": "EUR", "¥": "JPY"}
 BOOLEAN_TEXT = ["true", "false", "yes", "no", "y", "n", "t", "f", "1", "0"]
+TRUE_TEXT = ["true", "yes", "y", "t", "1"]
 
 
 @dataclass
@@ -222,6 +223,49 @@ def safe_cast_rates(p: Profiler) -> DataFrame:
                     target.alias("cast_to"))
 
 
+def cast_targets(p: Profiler) -> dict[str, str]:
+    """The text columns that are safe to cast, and to what (one row a column reaches the driver)."""
+    return {r.column_name: r.cast_to for r in safe_cast_rates(p).collect() if r.cast_to}
+
+
+def typed_value(column: str, target: str) -> Column:
+    """The value of a text column as its target type, null where it is none."""
+    text = F.trim(F.col(f"`{column}`"))
+    if target == "integer":
+        return F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("decimal(38,0)"))
+    if target == "decimal":
+        return X.to_number(F.col(f"`{column}`"))
+    if target == "boolean":
+        low = F.lower(text)
+        return F.when(low.isin(TRUE_TEXT), F.lit(True)).when(low.isin(BOOLEAN_TEXT), F.lit(False))
+    if target == "date":
+        return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text.try_cast("date"))
+    if target == "datetime":
+        return X.to_timestamp_safe(F.col(f"`{column}`"))
+    raise ValueError(f"unknown cast target {target}")
+
+
+def apply_casts(df: DataFrame, targets: dict[str, str], flags_column: str = "_dq_flags", rejects_column: str = "_rejects") -> DataFrame:
+    """``df`` with the columns of ``targets`` typed, in one projection.
+
+    A value its type can't hold becomes null; it is flagged as ``cast_failed:<column>`` (after flags the row has already) and kept,
+    with the rule it broke, in ``rejects_column``, which :func:`cast_rejects` turns into rows."""
+    fresh = {c: typed_value(c, t) for c, t in targets.items()}
+    failed = {c: F.col(f"`{c}`").isNotNull() & v.isNull() for c, v in fresh.items()}
+    kept = [fresh[c].alias(c) if c in fresh else F.col(f"`{c}`") for c in df.columns if c != flags_column]
+    none = F.array().cast("array<string>")
+    given = F.coalesce(F.col(flags_column), none) if flags_column in df.columns else none
+    flags = F.filter(F.array(*[F.when(b, F.lit(f"cast_failed:{c}")) for c, b in failed.items()]), lambda x: x.isNotNull()) if failed else none
+    reject = [F.when(b, F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").alias("value"), F.lit(f"safe_cast_{targets[c]}").alias("rule"))) for c, b in failed.items()]
+    rejects = F.filter(F.array(*reject), lambda x: x.isNotNull()) if reject else F.array().cast("array<struct<column_name:string,value:string,rule:string>>")
+    return df.select(*kept, F.concat(given, flags).alias(flags_column), rejects.alias(rejects_column))
+
+
+def cast_rejects(cast: DataFrame, keys: list[str], rejects_column: str = "_rejects") -> DataFrame:
+    """The rejected values of :func:`apply_casts`, one row each with the row's ``keys``, the column, the value and the rule."""
+    return cast.select(*[F.col(f"`{k}`") for k in keys], F.explode(rejects_column).alias("_r")).select(*[F.col(f"`{k}`") for k in keys], "_r.*")
+
+
 def metric_descriptors(df: DataFrame, p: Profiler, keys: list[str]) -> DataFrame:
     """Split formatted text measures into a number and a descriptor column."""
     pats = {r["column_name"]: r for r in p.patterns().collect()}

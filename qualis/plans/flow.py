@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..operators import issues as I
 from ..operators import remediate as R
+from ..operators import rules as RU
 from ..operators.profile import Profiler
 from ..policy import Policy
 from ..sources import sinks as SK
@@ -26,9 +27,25 @@ def _read_back(spark: SparkSession, out_dir: str, name: str, run_id: str, fmt: s
     return SK.read_artifact(spark, out_dir, name, run_id, fmt=fmt).drop("run_id")
 
 
+FLAGS, REASON = "_dq_flags", "_quarantine_reason"
+
+
+def _tagged(df: DataFrame, rules: list, mode: str) -> DataFrame:
+    """Rows with their flags and, where a required value is missing, the reason for quarantine."""
+    required = [r for r in rules if r.flag.startswith("missing_required:")]
+    reason = F.concat_ws(",", *[F.when(r.predicate, F.lit(r.flag)) for r in required]) if required else F.lit("")
+    keep = "enforce" if mode != "monitor_only" else mode
+    return RU.apply_flags(df.withColumn(REASON, reason), rules, keep, FLAGS)
+
+
 def run_entities(spark: SparkSession, entities: Mapping[str, DataFrame], out_dir: str, run_id: str | None = None,
-                 policy: Policy | None = None) -> list[dict]:
-    """Run every stage for each entity; returns one small summary dict per entity."""
+                 policy: Policy | None = None, load_tables: bool = False, hold_back: bool = False) -> list[dict]:
+    """Run every stage for each entity; returns one small summary dict per entity.
+
+    Fixed rows get their quality flags (the policy's custom rules among them) and are published as ``clean`` and
+    ``quarantine``, which add up to the input. The wide table is checked as written (``validation``); it holds the quarantined
+    rows too, flagged there, unless ``hold_back``. ``load_tables`` also loads it as a table if no check fails that
+    rejects the plan."""
     run_id = run_id or SK.new_run_id()
     out = []
     for entity, df in entities.items():
@@ -50,6 +67,17 @@ def run_entities(spark: SparkSession, entities: Mapping[str, DataFrame], out_dir
         summary = R.remediation_summary(src, fixed, log, found, p.policy, seen.get["rows"])
         SK.save_summary(summary, out_dir, run_id, fmt="parquet", entity=entity)
 
+        after = Profiler(fixed, entity, p.policy)
+        rules = RU.row_rules(after, custom=p.policy.custom_rules)
+        SK.write_artifact(_tagged(fixed, rules, p.policy.enforcement_mode), out_dir, f"flagged/{entity}", run_id, source=True, entity=entity)
+        flagged = _read_back(spark, out_dir, f"flagged/{entity}", run_id)  # read by both sinks, computed once
+        clean = flagged.where(F.col(REASON) == "").drop(REASON)
+        SK.write_artifact(clean, out_dir, f"clean/{entity}", run_id, source=True, entity=entity)
+        SK.write_artifact(flagged.where(F.col(REASON) != ""), out_dir, f"quarantine/{entity}", run_id, source=True, entity=entity)
+        after.release()
+        if hold_back:
+            fixed = _read_back(spark, out_dir, f"clean/{entity}", run_id).drop(FLAGS)
+
         plan = W.build_plan(fixed, entity)
         SK.save_plan(W.plan_frame(spark, plan), out_dir, run_id, fmt="parquet", entity=entity)
         wide = W.materialise(fixed, plan, {"_run_id": run_id, "_source_name": entity})
@@ -58,8 +86,15 @@ def run_entities(spark: SparkSession, entities: Mapping[str, DataFrame], out_dir
         for which, cols in (("sparse", plan.sparse), ("text", plan.excluded)):
             if cols:
                 SK.write_artifact(W.sidecar(fixed, plan, which), out_dir, f"wide/{plan.table_name}_{which}", run_id, entity=entity)
+        written = _read_back(spark, out_dir, f"wide/{plan.table_name}", run_id)
+        checks = W.validate(plan, written.drop("_run_id", "_source_name"))
+        SK.write_artifact(checks, out_dir, "validation", run_id, entity=entity)
+        failed = [r.test_id for r in checks.where("not passed").collect()]  # four rows
+        if load_tables and not failed:
+            W.load(spark, fixed, plan)
         p.release()
         out.append({"entity": entity, "run_id": run_id, "issues": len(issue_rows),
                     "fix_steps": len(fixes.steps), "wide_table": plan.table_name, "grain_keys": plan.keys,
-                    "grain_confidence": plan.grain.confidence, "human_review": plan.grain.human_review})
+                    "grain_confidence": plan.grain.confidence, "human_review": plan.grain.human_review, "failed_checks": failed,
+                    "loaded": load_tables and not failed})
     return out
