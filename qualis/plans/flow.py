@@ -58,7 +58,8 @@ def run_entities(spark: SparkSession, entities: Mapping[str, DataFrame], out_dir
         found = _read_back(spark, out_dir, "issues", run_id).where(F.col("entity_name") == entity)
         issue_rows = I.issue_list(found)  # bounded: columns x issue types
 
-        fixes = R.compile_fixes(src, issue_rows, p.policy)
+        roles = {r.column_name: r.role for r in p.roles().collect()}  # one row a column
+        fixes = R.compile_fixes(src, issue_rows, p.policy, roles=roles)
         rows, seen = R.measured(src, fixes)
         SK.save_remediated(rows, out_dir, run_id, entity)
         log = R.measured_log(spark, fixes, seen, entity, run_id)

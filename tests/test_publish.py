@@ -117,3 +117,11 @@ def test_sums_of_duplicates_past_64_bits(spark):
     df = spark.createDataFrame([(1, 2**62, "b"), (1, 2**62, "a"), (1, 2**62, "c")], "k int, v bigint, d string")
     row = rules.aggregate_duplicates(df, ["k"], ["v"], ["d"]).first()
     assert (row.row_count, int(row.sum_v), row.min_d) == (3, 3 * 2**62, "a")
+
+
+def test_time_axes_beyond_the_limit_are_reported(spark):
+    df = spark.range(5).select("id", *[F.expr(f"timestamp_ntz'2024-01-01 00:00:00' + make_interval(0,0,0,int(id))").alias(f"t{i}") for i in range(7)])
+    with pytest.warns(UserWarning, match="t5, t6"):
+        plans = W.plans_per_time_axis(df, "e")
+    assert len(plans) == 5 and {p.lineage["time_axes_left_out"] for p in plans} == {"t5,t6"}
+    assert len(W.plans_per_time_axis(df, "e", most=None)) == 7
