@@ -2,7 +2,7 @@
 
 The issue list (bounded: columns x issue types) is read on the driver and turned
 into steps per column, in the fixed order
-trim -> null tokens -> fill -> type -> PII -> casing -> global e-mail mask.
+trim -> text cleanup (where the policy asks for it) -> null tokens -> fill -> type -> PII -> casing -> global e-mail mask.
 A step reads the column that the step before it made, so a plan grows with the number of steps and no
 expression is repeated in those that follow; no layer needs a shuffle. The log counts, for each step, how many
 values it changed: either in one aggregation (:func:`remediation_log`), or as metrics of the very job that
@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..functions import text as X
 from ..policy import Policy
+from .rules import clean_text
 
-STEP_ORDER = ["trim_whitespace", "convert_null_tokens", "fill_missing", "cast_to_numeric", "convert_to_datetime",
+STEP_ORDER = ["trim_whitespace", "clean_text", "convert_null_tokens", "fill_missing", "cast_to_numeric", "convert_to_datetime",
               "mask_pii", "casing", "global_email_mask"]
 
 
@@ -48,6 +49,7 @@ class FixPlan:
     dropped: list[str]
     steps: list[Step] = field(default_factory=list)
     layers: list[list[Column]] = field(default_factory=list)
+    examples: int = 4
 
 
 def compile_fixes(df: DataFrame, issues: list[dict], policy: Policy | None = None,
@@ -96,6 +98,8 @@ def compile_fixes(df: DataFrame, issues: list[dict], policy: Policy | None = Non
 
         if want("trim_whitespace") and string and "whitespace_not_trimmed" in mine:
             step("trim_whitespace", "whitespace_not_trimmed", X.py_strip(x), mine["whitespace_not_trimmed"]["count"])
+        if want("clean_text") and string and (pol.collapse_internal_whitespace or pol.normalize_unicode):
+            step("clean_text", "string_cleanup", clean_text(x, pol.normalize_unicode, pol.collapse_internal_whitespace))
         if want("convert_null_tokens") and string and "null_tokens_detected" in mine:
             zero = pol.zero_string_as_null and (roles or {}).get(name) in pol.zero_string_roles
             pred = X.null_token(x, pol, include_nulls=False, zero_is_null=zero)
@@ -133,7 +137,7 @@ def compile_fixes(df: DataFrame, issues: list[dict], policy: Policy | None = Non
         if want("global_email_mask") and global_mask and string:
             step("global_email_mask", "pii_global_scan", X.mask_if_email(x))
         exprs[name] = x
-    return FixPlan(exprs, dropped, steps, layers)
+    return FixPlan(exprs, dropped, steps, layers, min(4, pol.example_limit))
 
 
 def layered(df: DataFrame, plan: FixPlan) -> DataFrame:
@@ -176,7 +180,7 @@ LOG = ("run_id string, dataset_id string, entity_name string, step int, column_n
 
 def _log_row(plan: FixPlan, m: dict, i: int, entity: str, run_id: str, dataset_id: str) -> tuple:
     s, n = plan.steps[i], int(m[f"s{i}_n"] or 0)
-    pairs = list(dict.fromkeys((e["b"], e["a"]) for e in (m[f"s{i}_e{k}"] for k in (0, 2, 3, 1)) if e is not None and e["b"] is not None))
+    pairs = list(dict.fromkeys((e["b"], e["a"]) for e in (m[f"s{i}_e{k}"] for k in (0, 2, 3, 1)) if e is not None and e["b"] is not None))[: plan.examples]
     return (run_id, dataset_id, entity, i, s.column, f"fix_{s.action}", s.action, s.issue_type, s.owner, 1.0,
             n if s.affected is None else int(s.affected), n, s.before_type, s.after_type,
             "|".join(b for b, _ in pairs), "|".join(a for _, a in pairs))

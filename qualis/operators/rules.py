@@ -31,6 +31,7 @@ class RowRule:
     predicate: Column          # true -> the row violates the rule
     column: str | None = None
     nulls_value: bool = False  # enforce mode sets the column to NULL
+    quarantine: bool = False   # the row leaves the clean rows
 
 
 def percent_value(c: str, dt) -> Column:
@@ -39,34 +40,44 @@ def percent_value(c: str, dt) -> Column:
     return F.col(c).cast("double")
 
 
+def _rule(flag: str, predicate: Column, column: str, action: str) -> RowRule:
+    return RowRule(flag, predicate, column, action == "set_null_and_flag", action == "quarantine_row")
+
+
 def row_rules(p: Profiler, custom: list[dict] | None = None, outliers: bool = True) -> list[RowRule]:
-    """X1-X5 (+X14 custom rules) compiled from the profile; metadata is per column."""
+    """X1-X5 and X14 compiled from the profile and the policy; metadata is per column.
+
+    ``custom`` rules stand in for the policy's own; a rule whose column the table doesn't have is left out."""
     pol = p.policy
     roles = {r["column_name"]: r["role"] for r in p.roles().collect()}
     types = {f.name: f.dataType for f in p.fields}
     rules: list[RowRule] = []
     for c, role in roles.items():
         if role in pol.required_roles:
-            rules.append(RowRule(f"missing_required:{c}", F.col(c).isNull(), c))
+            rules.append(_rule(f"missing_required:{c}", F.col(c).isNull(), c, pol.required_roles[role][0]))
     pats = {r["column_name"]: r["is_percentage"] for r in p.patterns().collect()}
     import re
     lo, hi = pol.percent_range
     for c, dt in types.items():
-        if (re.search(pol.percent_name_regex, c) and (N.is_numeric(dt) or pats.get(c))) or pats.get(c):
+        if pol.ranges_enabled and ((re.search(pol.percent_name_regex, c) and (N.is_numeric(dt) or pats.get(c))) or pats.get(c)):
             v = percent_value(c, dt)
-            rules.append(RowRule(f"range:{c}", F.coalesce((v < lo) | (v > hi), F.lit(False)), c, nulls_value=True))
+            rules.append(_rule(f"range:{c}", F.coalesce((v < lo) | (v > hi), F.lit(False)), c, pol.percent_action))
+    if pol.ranges_enabled:
+        for c, role in roles.items():
+            if role in pol.non_negative_roles and N.is_numeric(types[c]):
+                rules.append(_rule(f"negative:{c}", F.coalesce(F.col(c) < pol.non_negative_min, F.lit(False)), c, pol.non_negative_action))
     measures = [c for c, r in roles.items() if r == "measure" and N.is_numeric(types[c])]
-    for c in measures:
-        rules.append(RowRule(f"negative:{c}", F.coalesce(F.col(c) < 0, F.lit(False)), c))
-    if outliers and measures:
+    if outliers and measures and pol.outliers_enabled:
         bounds = {r["column_name"]: (r["lower_bound"], r["upper_bound"]) for r in p.outliers().collect()}
         for c in measures:
             b = bounds.get(c)
             if b and b[0] is not None:
                 v = F.col(c).cast("double")
-                rules.append(RowRule(f"outlier:{c}", F.coalesce((v < b[0]) | (v > b[1]), F.lit(False)), c))
-    for r in custom or []:
-        rules.append(RowRule(f"rule:{r['id']}", F.coalesce(business_violation(r), F.lit(False)), r["column"]))
+                rules.append(_rule(f"outlier:{c}", F.coalesce((v < b[0]) | (v > b[1]), F.lit(False)), c, pol.outlier_action))
+    present = {c.lower() for c in types}
+    for r in pol.custom_rules if custom is None else custom:
+        if r["column"].lower() in present:
+            rules.append(RowRule(f"rule:{r['id']}", F.coalesce(business_violation(r), F.lit(False)), r["column"]))
     return rules
 
 
@@ -92,7 +103,10 @@ def apply_flags(df: DataFrame, rules: list[RowRule], mode: str = "enforce", flag
     """One projection adding the flag array; enforce mode nulls range failures."""
     flags = F.filter(F.array(*[F.when(r.predicate, F.lit(r.flag)) for r in rules]), lambda x: x.isNotNull()) \
         if rules else F.array().cast("array<string>")
-    fixes = {r.column: r.predicate for r in rules if r.nulls_value and mode == "enforce"}
+    fixes: dict[str, Column] = {}
+    for r in rules:
+        if r.nulls_value and mode == "enforce":
+            fixes[r.column] = fixes[r.column] | r.predicate if r.column in fixes else r.predicate
     cols = []
     for c in df.columns:
         if c in fixes:
@@ -102,11 +116,15 @@ def apply_flags(df: DataFrame, rules: list[RowRule], mode: str = "enforce", flag
     return df.select(*cols, flags.alias(flags_column))
 
 
+def quarantine_reason(rules: list[RowRule]) -> Column:
+    """The flags that send a row to quarantine, comma-joined; empty for rows that stay."""
+    why = [F.when(r.predicate, F.lit(r.flag)) for r in rules if r.quarantine]
+    return F.concat_ws(",", *why) if why else F.lit("")
+
+
 def split_quarantine(df: DataFrame, rules: list[RowRule]) -> tuple[DataFrame, DataFrame]:
-    """Rows missing a required field go to quarantine with their reasons."""
-    req = [r for r in rules if r.flag.startswith("missing_required:")]
-    reason = F.concat_ws(",", *[F.when(r.predicate, F.lit(r.flag)) for r in req]) if req else F.lit("")
-    tagged = df.withColumn("_quarantine_reason", reason)
+    """Rows that break a rule whose action is quarantine (a missing required field) leave with their reasons."""
+    tagged = df.withColumn("_quarantine_reason", quarantine_reason(rules))
     return (tagged.where(F.col("_quarantine_reason") == "").drop("_quarantine_reason"),
             tagged.where(F.col("_quarantine_reason") != ""))
 
@@ -132,6 +150,8 @@ def canonical_mapping(p: Profiler, columns: list[str] | None = None) -> DataFram
     pol = p.policy
     cols = columns if columns is not None else [f.name for f in p.string_fields]
     f = p.frequencies_of(cols)
+    if not pol.canonicalize_enabled:
+        f = f.where(F.lit(False))
     n = f.groupBy("column_name").agg(F.sum("count").alias("_n"))  # a row a column
     f = f.join(n, "column_name").withColumn("_norm", F.lower(X.py_strip(F.col("value")))).withColumn("_len", F.length("_norm"))
     rare = F.col("count") < F.col("_n") * pol.low_frequency_threshold
@@ -187,7 +207,7 @@ def rare_values(p: Profiler, column: str) -> DataFrame:
                                                                        F.lit(1).alias("_k"))
     f = p.frequencies_of([column]).withColumn("_k", F.lit(1))
     return (f.join(F.broadcast(n), "_k")  # one row
-             .where(F.col("count") / F.col("_n") < p.policy.low_frequency_threshold)
+             .where(F.lit(p.policy.collapse_rare_enabled) & (F.col("count") / F.col("_n") < p.policy.low_frequency_threshold))
              .select("value", F.lit(p.policy.other_token).alias("to")))
 
 
@@ -216,15 +236,18 @@ def safe_cast_rates(p: Profiler) -> DataFrame:
     nn = F.col("non_null_count")
     rate = {k: F.round(F.col(f"{k}_count") / F.nullif(nn, F.lit(0)), 4) for k in ("integer", "decimal", "boolean", "date", "datetime")}
     thr = p.policy.parse_success_min
-    target = (F.when(nn == 0, F.lit(None)).when(rate["integer"] == 1, "integer").when(rate["decimal"] == 1, "decimal")
-              .when(rate["boolean"] == 1, "boolean").when(rate["date"] >= thr, "date")
-              .when(rate["datetime"] >= thr, "datetime").otherwise(F.lit(None)))
+    target = F.when(nn == 0, F.lit(None).cast("string"))
+    for kind, least in (("integer", 1), ("decimal", 1), ("boolean", 1), ("date", thr), ("datetime", thr)):
+        if kind in p.policy.cast_targets:
+            target = target.when(rate[kind] >= least, kind)
     return s.select("entity_name", "column_name", "ordinal_position", *[rate[k].alias(f"{k}_rate") for k in rate],
                     target.alias("cast_to"))
 
 
 def cast_targets(p: Profiler) -> dict[str, str]:
-    """The text columns that are safe to cast, and to what (one row a column reaches the driver)."""
+    """The text columns that the policy lets cast safely, and to what (one row a column reaches the driver)."""
+    if not p.policy.allow_safe_casts:
+        return {}
     return {r.column_name: r.cast_to for r in safe_cast_rates(p).collect() if r.cast_to}
 
 
@@ -266,6 +289,16 @@ def cast_rejects(cast: DataFrame, keys: list[str], rejects_column: str = "_rejec
     return cast.select(*[F.col(f"`{k}`") for k in keys], F.explode(rejects_column).alias("_r")).select(*[F.col(f"`{k}`") for k in keys], "_r.*")
 
 
+def split_failed_casts(cast: DataFrame, roles: dict[str, str], policy: Policy, flags_column: str = "_dq_flags") -> tuple[DataFrame, DataFrame]:
+    """X10 ``on_cast_failure``: the rows of :func:`apply_casts` that stay, and those that go.
+
+    ``set_null_and_flag`` keeps all of them; ``reject_row`` rejects rows with a failed cast in a critical column (by its role)."""
+    bad = [f"cast_failed:{c}" for c, role in roles.items() if policy.criticality(role) == "critical"]
+    goes = F.arrays_overlap(F.col(flags_column), F.array(*map(F.lit, bad))) if bad and policy.on_cast_failure == "reject_row" else F.lit(False)
+    goes = F.coalesce(goes, F.lit(False))
+    return cast.where(~goes), cast.where(goes)
+
+
 def metric_descriptors(df: DataFrame, p: Profiler, keys: list[str]) -> DataFrame:
     """Split formatted text measures into a number and a descriptor column."""
     pats = {r["column_name"]: r for r in p.patterns().collect()}
@@ -322,19 +355,26 @@ def ai_readiness(p: Profiler, issues: DataFrame, grain_confidence: float) -> Dat
                       F.round(score, 4).alias("ai_readiness_score"))
 
 
-def dataset_decision(p: Profiler, issues: DataFrame, grain_review: bool, policy: Policy | None = None) -> DataFrame:
-    """Reject on a PII violation, ask a human on unresolved grain or time axis, else proceed."""
+def dataset_decision(p: Profiler, issues: DataFrame, grain_review: bool, policy: Policy | None = None, grain_keys: list[str] | None = None) -> DataFrame:
+    """The policy's decision on a data set and what it rests on; the strictest one wins.
+
+    Personal data that is neither masked nor allowed, and a grain that can't be determined (no shape hint, no keys), are
+    what the policy may reject for; an uncertain grain, and several or no time columns, are for a human unless the policy says otherwise."""
     pol = policy or p.policy
     found = p.pii().where("contains_pii").groupBy("entity_name").agg(F.count(F.lit(1)).alias("_pii"))
     j = p.record_shape().join(found, "entity_name", "left")
     unmasked = pol.enforcement_mode == "monitor_only" or not pol.mask_enabled()
     violation = (F.coalesce(F.col("_pii"), F.lit(0)) > 0) & F.lit(unmasked)
     ntime = F.when(F.col("time_candidates") == "", 0).otherwise(F.size(F.split("time_candidates", ",")))
-    time_issue = ntime != 1
-    grain_issue = F.lit(bool(grain_review)) | ((F.col("wide_or_long_hint") == "unknown") & F.lit(bool(grain_review)))
-    decision = F.when(violation, "reject").when(grain_issue | time_issue, "human_required").otherwise("proceed")
-    reasons = F.concat_ws(",", F.when(violation, "pii_policy_violation"), F.when(grain_issue, "unresolved_grain"),
-                          F.when(ntime > 1, "multiple_time_candidates"), F.when(ntime == 0, "no_time_candidates"))
+    unknown = (F.col("wide_or_long_hint") == "unknown") & F.lit(grain_keys is not None and not grain_keys)
+    found_out = [(violation, "pii_policy_violation", pol.pii_violation_decision),
+                 (unknown, "unresolved_grain", pol.unresolved_grain_decision),
+                 (F.lit(bool(grain_review)) & ~unknown, "unresolved_grain", pol.grain_review_decision),
+                 (ntime > 1, "multiple_time_candidates", pol.many_time_decision),
+                 (ntime == 0, "no_time_candidates", pol.no_time_decision)]
+    met = lambda d: F.array_contains(F.array(F.lit(""), *[F.when(c, F.lit(x)).otherwise(F.lit("")) for c, _, x in found_out]), d)
+    decision = F.when(met("reject"), "reject").when(met("human_required"), "human_required").otherwise("proceed")
+    reasons = F.concat_ws(",", *[F.when(c, why) for c, why, x in found_out if x != "proceed"])
     return j.select("entity_name", decision.alias("decision"), reasons.alias("reasons"),
                     ntime.cast("int").alias("time_candidate_count"))
 
@@ -346,7 +386,7 @@ def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda v: unicodedata.normalize("NFC", v) if isinstance(v, str) else v)
 
 
-def clean_text(c: str | Column, normalize_unicode: bool = False) -> Column:
-    """Collapse inner whitespace; optional NFC normalisation."""
-    x = X.collapse_whitespace(c)
-    return nfc(x) if normalize_unicode else x
+def clean_text(c: str | Column, normalize_unicode: bool = False, collapse: bool = True) -> Column:
+    """Collapse inner whitespace; optional NFC normalisation, for which only values beyond ASCII go through Arrow."""
+    x = X.collapse_whitespace(c) if collapse else X.col_of(c)
+    return F.coalesce(nfc(F.when(x.rlike(r"[^\x00-\x7F]"), x)), x) if normalize_unicode else x

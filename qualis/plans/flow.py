@@ -27,15 +27,13 @@ def _read_back(spark: SparkSession, out_dir: str, name: str, run_id: str, fmt: s
     return SK.read_artifact(spark, out_dir, name, run_id, fmt=fmt).drop("run_id")
 
 
-FLAGS, REASON = "_dq_flags", "_quarantine_reason"
+REASON = "_quarantine_reason"
 
 
-def _tagged(df: DataFrame, rules: list, mode: str) -> DataFrame:
-    """Rows with their flags and, where a required value is missing, the reason for quarantine."""
-    required = [r for r in rules if r.flag.startswith("missing_required:")]
-    reason = F.concat_ws(",", *[F.when(r.predicate, F.lit(r.flag)) for r in required]) if required else F.lit("")
-    keep = "enforce" if mode != "monitor_only" else mode
-    return RU.apply_flags(df.withColumn(REASON, reason), rules, keep, FLAGS)
+def _tagged(df: DataFrame, rules: list, policy: Policy) -> DataFrame:
+    """Rows with their flags and, where a rule sends them there, the reason for quarantine."""
+    reason = RU.quarantine_reason(rules) if policy.quarantine_enabled else F.lit("")
+    return RU.apply_flags(df.withColumn(REASON, reason), rules, policy.enforcement_mode, policy.flags_column)
 
 
 def run_entities(spark: SparkSession, entities: Mapping[str, DataFrame], out_dir: str, run_id: str | None = None,
@@ -43,7 +41,8 @@ def run_entities(spark: SparkSession, entities: Mapping[str, DataFrame], out_dir
     """Run every stage for each entity; returns one small summary dict per entity.
 
     Fixed rows get their quality flags (the policy's custom rules among them) and are published as ``clean`` and
-    ``quarantine``, which add up to the input. The wide table is checked as written (``validation``); it holds the quarantined
+    ``quarantine`` (or the policy's name for it), which add up to the input; a switched-off quarantine stays empty. The
+    policy's reports are written beside them. The wide table is checked as written (``validation``); it holds the quarantined
     rows too, flagged there, unless ``hold_back``. ``load_tables`` also loads it as a table if no check fails that
     rejects the plan."""
     run_id = run_id or SK.new_run_id()
@@ -63,23 +62,31 @@ def run_entities(spark: SparkSession, entities: Mapping[str, DataFrame], out_dir
         rows, seen = R.measured(src, fixes)
         SK.save_remediated(rows, out_dir, run_id, entity)
         log = R.measured_log(spark, fixes, seen, entity, run_id)
-        SK.write_artifact(log, out_dir, "remediation_log", run_id, entity=entity)
+        SK.write_artifact(log.select(*p.policy.log_fields) if p.policy.log_fields else log, out_dir, "remediation_log", run_id, entity=entity)
         fixed = _read_back(spark, out_dir, f"remediated/{entity}", run_id).select(*[F.col(f"`{c}`") for c in fixes.exprs])
-        summary = R.remediation_summary(src, fixed, log, found, p.policy, seen.get["rows"])
-        SK.save_summary(summary, out_dir, run_id, fmt="parquet", entity=entity)
+        if "remediation_summary" in p.policy.reports:
+            summary = R.remediation_summary(src, fixed, log, found, p.policy, seen.get["rows"])
+            SK.save_summary(summary, out_dir, run_id, fmt="parquet", entity=entity)
+        if "column_quality_ledger" in p.policy.reports:
+            SK.write_artifact(RU.column_ledger(p, found), out_dir, "column_quality_ledger", run_id, entity=entity)
 
         after = Profiler(fixed, entity, p.policy)
-        rules = RU.row_rules(after, custom=p.policy.custom_rules)
-        SK.write_artifact(_tagged(fixed, rules, p.policy.enforcement_mode), out_dir, f"flagged/{entity}", run_id, source=True, entity=entity)
+        rules = RU.row_rules(after)
+        SK.write_artifact(_tagged(fixed, rules, p.policy), out_dir, f"flagged/{entity}", run_id, source=True, entity=entity)
         flagged = _read_back(spark, out_dir, f"flagged/{entity}", run_id)  # read by both sinks, computed once
         clean = flagged.where(F.col(REASON) == "").drop(REASON)
         SK.write_artifact(clean, out_dir, f"clean/{entity}", run_id, source=True, entity=entity)
-        SK.write_artifact(flagged.where(F.col(REASON) != ""), out_dir, f"quarantine/{entity}", run_id, source=True, entity=entity)
+        held = flagged.where(F.col(REASON) != "")
+        SK.write_artifact(held if p.policy.quarantine_reason else held.drop(REASON), out_dir, f"{p.policy.quarantine_target}/{entity}", run_id, source=True, entity=entity)
         after.release()
         if hold_back:
-            fixed = _read_back(spark, out_dir, f"clean/{entity}", run_id).drop(FLAGS)
+            fixed = _read_back(spark, out_dir, f"clean/{entity}", run_id).drop(p.policy.flags_column)
 
         plan = W.build_plan(fixed, entity)
+        if "ai_readiness_score" in p.policy.reports:
+            SK.write_artifact(RU.ai_readiness(p, found, plan.grain.confidence), out_dir, "ai_readiness_score", run_id, entity=entity)
+        decided = RU.dataset_decision(p, found, plan.grain.human_review, grain_keys=plan.keys)
+        SK.write_artifact(decided, out_dir, "dataset_decision", run_id, entity=entity)
         SK.save_plan(W.plan_frame(spark, plan), out_dir, run_id, fmt="parquet", entity=entity)
         wide = W.materialise(fixed, plan, {"_run_id": run_id, "_source_name": entity})
         SK.write_artifact(wide, out_dir, f"wide/{plan.table_name}", run_id,

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import copy
 from dataclasses import dataclass, field
-from typing import Any
 
 # ---------------------------------------------------------------------------
 # These must equal the reference policy for identical results.
@@ -56,6 +55,8 @@ CANONICALIZE_CONFIDENCE = 0.90
 OTHER_TOKEN = "OTHER"
 READINESS_WEIGHTS = {"ambiguity": 0.40, "validity": 0.25, "consistency": 0.20, "completeness": 0.15}
 FLAGS_COLUMN = "_dq_flags"
+CAST_TARGETS = ["integer", "decimal", "boolean", "date", "datetime"]
+REPORTS = ["remediation_summary", "column_quality_ledger", "ai_readiness_score"]
 
 # Wide-table spec fixed values.
 TIME_NAME_REGEX = "(?i)date|time|month|week|year|period|as_of|snapshot"
@@ -87,22 +88,51 @@ class Policy:
     fill_rules: list[dict] = field(default_factory=lambda: copy.deepcopy(FILL_RULES))
     casing_rules: list[dict] = field(default_factory=lambda: copy.deepcopy(CASING_RULES))
     casing_default: str = CASING_DEFAULT
-    collapse_internal_whitespace: bool = True
+    collapse_internal_whitespace: bool = False  # text cleanup joins the fix chain where a policy file asks for it
+    normalize_unicode: bool = False
     parse_success_min: float = PARSE_SUCCESS_MIN
     role_criticality: dict[str, str] = field(default_factory=lambda: dict(ROLE_CRITICALITY))
     required_roles: dict[str, tuple[str, str]] = field(default_factory=lambda: dict(REQUIRED_ROLES))
     pii_enabled: bool = True
     pii_classification: str = "internal"
     pii_mask_methods: dict[str, str] = field(default_factory=lambda: dict(PII_MASK_METHODS))
+    pii_actions: dict[str, str] = field(default_factory=lambda: dict(PII_ACTION_BY_CLASSIFICATION))
+    pii_violation_decision: str = "reject"
+    ranges_enabled: bool = True
     percent_range: tuple[float, float] = PERCENT_RANGE
     percent_name_regex: str = PERCENT_NAME_REGEX
+    percent_action: str = "set_null_and_flag"
+    percent_owner: str = "programmatic"
+    non_negative_roles: list[str] = field(default_factory=lambda: ["measure"])
+    non_negative_min: float = 0.0
+    non_negative_action: str = "flag_only"
+    non_negative_owner: str = "human"
+    outliers_enabled: bool = True
     iqr_multiplier: float = IQR_MULTIPLIER
+    outlier_action: str = "flag_only"
+    outlier_owner: str = "human"
+    canonicalize_enabled: bool = True
+    collapse_rare_enabled: bool = True
     dominance_threshold: float = DOMINANCE_THRESHOLD
     low_frequency_threshold: float = LOW_FREQUENCY_THRESHOLD
     max_edit_distance_ratio: float = MAX_EDIT_DISTANCE_RATIO
     canonicalize_confidence: float = CANONICALIZE_CONFIDENCE
     other_token: str = OTHER_TOKEN
     readiness_weights: dict[str, float] = field(default_factory=lambda: dict(READINESS_WEIGHTS))
+    allow_safe_casts: bool = True
+    cast_targets: list[str] = field(default_factory=lambda: list(CAST_TARGETS))
+    on_cast_failure: str = "set_null_and_flag"
+    unresolved_grain_decision: str = "reject"
+    grain_review_decision: str = "human_required"
+    many_time_decision: str = "human_required"
+    no_time_decision: str = "human_required"
+    reports: list[str] = field(default_factory=lambda: list(REPORTS))
+    example_limit: int = 4
+    log_fields: list[str] | None = None  # None: all
+    flags_column: str = FLAGS_COLUMN
+    quarantine_enabled: bool = True
+    quarantine_target: str = "quarantine"
+    quarantine_reason: bool = True
     enforcement_mode: str = "enforce"
     custom_rules: list[dict] = field(default_factory=list)
     version: str = POLICY_VERSION
@@ -111,52 +141,14 @@ class Policy:
         return self.role_criticality.get(role, "low")
 
     def mask_enabled(self) -> bool:
-        action = PII_ACTION_BY_CLASSIFICATION.get(self.pii_classification, "mask")
+        action = self.pii_actions.get(self.pii_classification, "mask")
         return self.pii_enabled and action in ("mask", "drop_or_mask")
 
 
 def load_policy(path: str | None = None) -> Policy:
-    """Read a YAML policy with the reference layout; missing keys keep defaults."""
+    """The policy of a YAML file; see :mod:`qualis.policy_file`. Without a path, the built-in one."""
     if path is None:
         return Policy()
-    try:
-        import yaml  # optional
-    except ImportError as exc:  # pragma: no cover
-        raise RuntimeError("pyyaml is needed to read a policy file") from exc
-    with open(path, encoding="utf-8") as fh:
-        doc: dict[str, Any] = yaml.safe_load(fh) or {}
-    nh = doc.get("null_handling", {})
-    pol = Policy()
-    pol.trim_whitespace = nh.get("trim_whitespace", pol.trim_whitespace)
-    pol.whitespace_tokens = list(nh.get("whitespace_tokens", pol.whitespace_tokens))
-    pol.null_tokens = [t.lower() for t in nh.get("null_tokens_case_insensitive", pol.null_tokens)]
-    pol.null_token_regexes = list(nh.get("null_token_regexes", pol.null_token_regexes))
-    pol.preserve_phrases = list(nh.get("preserve_phrases", pol.preserve_phrases))
-    zs = nh.get("treat_zero_string_as_null", {})
-    pol.zero_string_as_null = bool(zs.get("enabled", False))
-    pol.zero_string_roles = list(zs.get("applies_to_roles", pol.zero_string_roles))
-    if "fill_missing" in nh:
-        pol.fill_rules = [
-            {"column_name_regex": r["match"]["column_name_regex"], "value": r.get("value"),
-             "action": r.get("action", "fill_missing")}
-            for r in nh["fill_missing"] if "column_name_regex" in r.get("match", {})
-        ]
-    casing = doc.get("normalization", {}).get("casing", {})
-    if "rules" in casing:
-        pol.casing_rules = [dict(r.get("match", {}), casing=r.get("action", {}).get("casing")) for r in casing["rules"]]
-    pol.casing_default = casing.get("default", pol.casing_default)
-    roles = doc.get("classification", {}).get("column_roles", {})
-    if roles:
-        pol.role_criticality = {k: v.get("criticality", "low") for k, v in roles.items()}
-    thr = doc.get("type_coercion", {}).get("parse_thresholds", {})
-    pol.parse_success_min = thr.get("date_time_parse_success_rate_min", pol.parse_success_min)
-    req = doc.get("constraints", {}).get("required_fields")
-    if req is not None:
-        pol.required_roles = {r["role"]: (r.get("failure_action", "flag_only"), r.get("owner", "human"))
-                              for r in req if r.get("required")}
-    pii = doc.get("pii_handling", {})
-    pol.pii_enabled = pii.get("enabled", True)
-    pol.pii_mask_methods = dict(pii.get("masking", {}).get("methods", pol.pii_mask_methods))
-    pol.version = doc.get("policy_spec_version", pol.version)
-    pol.enforcement_mode = doc.get("scoping", {}).get("default_enforcement_mode", pol.enforcement_mode)
-    return pol
+    from .policy_file import read_policy
+
+    return read_policy(path)
