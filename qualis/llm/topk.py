@@ -5,9 +5,9 @@ forward index of ``BLOCK``-vector blocks with every term's (dimension's) largest
 a query, a block's bound is the sum over terms of the most that term can add. Blocks are taken in falling order of
 their bounds and scored through the forward index until the bound falls below the query's k-th best score so far.
 
-Queries travel in batches. Segments are dealt to ``groups`` groups; every batch meets every segment of a group, its
-thresholds going from one segment to the next, and hands on ``k`` results a query. So what is shuffled to the final
-merge is ``k * groups`` rows a query, however many candidates there are.
+Queries travel in batches. Segments are dealt to groups, a number that grows with them; every batch meets every segment of
+a group, its thresholds going from one segment to the next, and hands on ``k + 1`` results a query row. One of these is
+the query itself, if it is among them: rows with its id and score can't be told apart in a result, so any one of them leaves.
 """
 
 from __future__ import annotations
@@ -17,13 +17,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from qualis.llm.common import stored
 
 SCALE, K, EVERY = 64, 20, 20
-BLOCK, SEGMENT, BATCH, GROUPS = 128, 4_096, 512, 12
+BLOCK, SEGMENT, BATCH = 128, 4_096, 512
+GROUPS, PER_GROUP = 12, 64  # at least as many groups, and at most about as many segments in each
 RUNS = 4  # full runs that a packing task is meant to make
 HELD = 32  # query batches whose thresholds a task keeps at once
 NONE = np.iinfo(np.int64).min
@@ -42,9 +44,10 @@ def usable(vector: Column) -> Column:
 
 def packed(rows: DataFrame, size: int, label: str) -> DataFrame:
     """``n, dims, ids, matrix`` (little-endian 64-bit integers): runs of ``size`` rows of ``vec_id, v`` in the
-    order of ids; only vectors of one length share a run."""
+    order of ids; only vectors of one length share a run. ``place`` tells rows apart."""
     parts = -(-rows.count() // (RUNS * size)) or 1
-    dealt = rows.select(F.size("v").alias("dims"), "vec_id", "v").repartitionByRange(parts, "dims", "vec_id").sortWithinPartitions("dims", "vec_id")
+    order = ["dims", "vec_id", "place"]  # the place parts rows that share an id
+    dealt = rows.select(F.size("v").alias("dims"), "vec_id", "v", "place").repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dims, ids, flat, at = 0, np.zeros(0, np.int64), np.zeros(0, np.int64), 0
@@ -73,7 +76,7 @@ def packed(rows: DataFrame, size: int, label: str) -> DataFrame:
 
 
 class Best:
-    """The k best of every query of a batch so far: by score, then smaller id."""
+    """The k best of every query of a batch so far: by score, then smaller id. Candidates that share an id count each."""
 
     def __init__(self, ids: np.ndarray, k: int):
         self.queries, self.k = ids, k
@@ -90,9 +93,13 @@ class Best:
         take = order[first[:, None] + np.arange(k)]
         self.ids[touched], self.scores[touched] = every[take], score[take]
 
-    def rows(self) -> pa.RecordBatch:
+    def rows(self, batch: int, q: np.ndarray) -> pa.RecordBatch:
+        """All results: the query row (``batch``, ``place``), its id, the candidate's, the score, and whether it may be the query."""
         at, place = np.nonzero(self.scores > NONE)
-        return pa.RecordBatch.from_arrays([pa.array(self.queries[at]), pa.array(self.ids[at, place]), pa.array(self.scores[at, place])], names=["query_id", "vec_id", "score"])
+        ids, scores = self.ids[at, place], self.scores[at, place]
+        own = (ids == self.queries[at]) & (scores == (q * q).sum(axis=1)[at])
+        columns = [np.full(len(at), batch, np.int64), at.astype(np.int64), self.queries[at], ids, scores, own]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["batch", "place", "query_id", "vec_id", "score", "own"])
 
 
 def search(best: Best, q: np.ndarray, ids: np.ndarray, c: np.ndarray, block: int = BLOCK) -> int:
@@ -115,50 +122,69 @@ def search(best: Best, q: np.ndarray, ids: np.ndarray, c: np.ndarray, block: int
             scored += len(rows)
             span = slice(starts[b], starts[b] + block)
             scores = (q[rows] @ c[span].T).astype(np.int64)
-            good = (scores >= best.scores[rows, -1][:, None]) & (best.queries[rows][:, None] != ids[span][None, :])
-            i, j = np.nonzero(good)
+            i, j = np.nonzero(scores >= best.scores[rows, -1][:, None])
             found.append((rows[i], ids[span][j], scores[i, j]))
         if found and sum(len(f[0]) for f in found):
             best.add(*(np.concatenate(x) for x in zip(*found, strict=True)))
     return scored
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int = K, groups: int = GROUPS, batch: int = BATCH, segment: int = SEGMENT) -> DataFrame:
-    """``query_id, rank, vec_id, score``: for every query the ``k`` vectors (all, if fewer) of its own length with the
-    highest inner product, ties to the smaller id, rows with the query's own id left out.
+def usable_rows(df: DataFrame, label: str) -> DataFrame:
+    """``vec_id, v`` of the rows that take part, and ``place``, a hash of the row's place in its Parquet file: the same on
+    a retry. Other frames are stored first."""
+    rows = df.where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
+    columns = [F.col("vec_id").cast("bigint").alias("vec_id"), quantised(F.col("embedding")).alias("v")]
+    place = F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("place")
+    try:
+        return rows.select(*columns, place)
+    except AnalysisException:  # not read from Parquet
+        return stored(rows.select(*columns), label).select("vec_id", "v", place)
 
-    Both frames have ``vec_id`` and ``embedding``. Null ids, and vectors that are null or hold null or non-finite
-    components, take no part. Rows repeated whole count once; ids shared by different vectors keep each of them.
-    Scores must fit in 64 bits. Empty tables give no rows; other columns are not read.
-    """
 
-    def clean(df: DataFrame) -> DataFrame:
-        return df.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("bigint").alias("vec_id"), quantised(F.col("embedding")).alias("v")).distinct()
+def top_k(queries: DataFrame, vectors: DataFrame, k: int = K, groups: int | None = None, batch: int = BATCH, segment: int = SEGMENT) -> DataFrame:
+    """``query_id, rank, vec_id, score``: for every row of ``queries`` the ``k`` rows of ``vectors`` (all, if fewer) of its
+    own length with the highest inner product, ties to the smaller id, without the query row itself.
 
-    q = packed(clean(queries), batch, "topk-queries")
-    c = packed(clean(vectors), segment, "topk-segments")
+    ``queries`` are rows of ``vectors``; both have ``vec_id`` and ``embedding``. Null ids, and vectors that are null or hold
+    null or non-finite components, take no part. Rows count each, also where they share an id or are repeated whole: each such
+    query row has results of its own, and the others are candidates of it. Scores must fit in 64 bits. Empty tables give no
+    rows; other columns are not read. ``groups``: into how many the segments are dealt, by default in proportion to them.
+    """
+    q = packed(usable_rows(queries, "topk-query-rows"), batch, "topk-queries")
+    c = packed(usable_rows(vectors, "topk-rows"), segment, "topk-segments")
+    groups = groups or max(GROUPS, -(-c.count() // PER_GROUP))
     asked = q.select(F.col("n").alias("batch"), "dims", F.col("ids").alias("q_ids"), F.col("matrix").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
     held = c.select("dims", F.pmod(F.xxhash64("n"), F.lit(groups)).cast("int").alias("g"), "n", "ids", "matrix")
     met = asked.join(held, ["dims", "g"])  # every batch meets every segment, as the query set is given
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_: dict[tuple[int, int], Best] = {}
+        open_: dict[tuple[int, int], tuple[Best, np.ndarray]] = {}
+
+        def done(key: tuple[int, int]) -> pa.RecordBatch:
+            own, asked_ = open_.pop(key)
+            return own.rows(key[0], asked_)
+
         for whole in batches:
             for i in range(whole.num_rows):
                 dims, g, n, q_ids, qm, ids, m = (whole.column(x)[i].as_buffer() if x in (3, 4, 5, 6) else whole.column(x)[i].as_py() for x in range(7))
                 key = (n, g)
                 if key not in open_:
                     if len(open_) >= HELD:
-                        yield open_.pop(next(iter(open_))).rows()
-                    open_[key] = Best(np.frombuffer(q_ids, np.int64), k)
-                own = open_[key]
-                search(own, np.frombuffer(qm, np.int64).reshape(len(own.queries), dims), ids := np.frombuffer(ids, np.int64), np.frombuffer(m, np.int64).reshape(len(ids), dims))
-        for own in open_.values():
-            yield own.rows()
-
-    near = met.select("dims", "g", "batch", "q_ids", "q", "ids", "matrix").mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                        yield done(next(iter(open_)))
+                    mine = np.frombuffer(q_ids, np.int64).copy()
+                    open_[key] = Best(mine, k + 1), np.frombuffer(qm, np.int64).reshape(len(mine), dims).copy()
+                own, weights = open_[key]
+                search(own, weights, ids := np.frombuffer(ids, np.int64), np.frombuffer(m, np.int64).reshape(len(ids), dims))
+        while open_:
+            yield done(next(iter(open_)))
+
+    near = met.select("dims", "g", "batch", "q_ids", "q", "ids", "matrix").mapInArrow(run, "batch bigint, place bigint, query_id bigint, vec_id bigint, score bigint, own boolean")
+    query = Window.partitionBy("batch", "place")
+    best = near.withColumn("r", F.row_number().over(query.orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= k + 1)
+    best = best.withColumn("self", F.min(F.when(F.col("own"), F.col("r"))).over(query))
+    rank = F.col("r") - F.when(F.col("self") < F.col("r"), 1).otherwise(0)
+    others = best.where(F.col("self").isNull() | (F.col("r") != F.col("self")))
+    return others.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 
 
 def digest(vectors: DataFrame) -> DataFrame:
@@ -168,13 +194,13 @@ def digest(vectors: DataFrame) -> DataFrame:
 
 #: DuckDB SQL for the digest.
 ORACLE = f"""
-WITH v AS (
-  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS e
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(coalesce(list_sum(list_transform(generate_series(1, len(q.e)), lambda i: q.e[i] * c.e[i])), 0) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % {EVERY} = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+  SELECT q.n, q.vec_id AS query_id, c.vec_id, CAST(coalesce(list_sum(list_transform(generate_series(1, len(q.e)), lambda i: q.e[i] * c.e[i])), 0) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % {EVERY} = 0 AND q.n <> c.n AND len(q.e) = len(c.e)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {K}
 """

@@ -2,6 +2,7 @@ import math
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -46,11 +47,10 @@ def vectors(spark, rows):
 
 def best(rows, k, every):
     ok = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
-    ok = [x for n, x in enumerate(ok) if x not in ok[:n]]
     out = []
-    for i, q in ok:
+    for n, (i, q) in enumerate(ok):
         if i % every == 0:
-            scored = sorted((-sum(a * b for a, b in zip(q, c, strict=True)), j) for j, c in ok if j != i and len(c) == len(q))
+            scored = sorted((-sum(a * b for a, b in zip(q, c, strict=True)), j) for m, (j, c) in enumerate(ok) if m != n and len(c) == len(q))
             out += [(i, r, j, -s) for r, (s, j) in enumerate(scored[:k], 1)]
     return sorted(out)
 
@@ -65,6 +65,25 @@ def test_top_k_with_ties_repeats_and_bad_vectors(spark):
     assert sorted(tuple(r) for r in got.collect()) == best(rows, 7, 20)
 
 
+@pytest.mark.parametrize("groups", [None, 2])
+@pytest.mark.parametrize("parquet", [False, True])
+def test_rows_that_share_an_id_count_each(spark, tmp_path, groups, parquet):
+    rng = np.random.default_rng(4)
+    rows = [(i, (rng.normal(size=4).round(1)).tolist()) for i in range(60)]
+    rows += [(20, [0.5] * 4), (20, [3.0] * 4), (20, [3.0] * 4), (20, [3.001] * 4), (7, [3.0] * 4)]  # 3.001 quantises like 3
+    rows += [(40, [2.0] * 4)] * 30 + [(0, [1.0] * 4)] * 3 + [(41, [2.0] * 4)] * 9
+    df = vectors(spark, rows)
+    if parquet:
+        df.write.parquet(str(tmp_path / "v"))
+        df = spark.read.parquet(str(tmp_path / "v"))
+    got = topk.top_k(df.where("vec_id % 20 = 0"), df, k=6, groups=groups, batch=4, segment=16)
+    assert sorted(tuple(r) for r in got.collect()) == best(rows, 6, 20)
+    if parquet and groups:
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/v/*.parquet')")
+        assert cases.bag(con.execute(topk.ORACLE).fetchall()) == cases.bag(topk.digest(df).select("query_id", "rank", "vec_id", "score").collect())
+
+
 def test_top_k_of_few_and_none(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.0, 1.0])]
     assert sorted(tuple(r) for r in topk.digest(vectors(spark, rows)).collect()) == best(rows, 20, 20)
