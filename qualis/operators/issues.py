@@ -59,12 +59,16 @@ def free_text_pii(p: Profiler) -> DataFrame:
 
 def policy_decisions(p: Profiler) -> DataFrame:
     """What the policy decides per column -- criticality, whether the field is
-    required (with the failure action and owner), the casing rule, and the masking
-    method of the first personal-data type detected."""
+    required (with the failure action and owner), the casing rule, the masking
+    method of the first personal-data type detected, and what happens to values out of range (the percentage rule first)."""
     pol = p.policy
     r = p.roles().select("entity_name", "column_name", "ordinal_position", "role", "criticality")
     j = r.join(p.pii().select("column_name", "pii_types"), "column_name", "left")
-    role = F.col("role")
+    j = j.join(p.patterns().select("column_name", "is_percentage"), "column_name", "left")
+    role, numbers = F.col("role"), [f.name for f in p.fields if N.is_numeric(f.dataType)]
+    number = F.col("column_name").isin(numbers) if numbers else F.lit(False)
+    percent = F.lit(pol.ranges_enabled) & (F.coalesce(F.col("is_percentage"), F.lit(False)) | (number & F.col("column_name").rlike(pol.percent_name_regex)))
+    floor = F.lit(pol.ranges_enabled) & number & (role.isin(pol.non_negative_roles) if pol.non_negative_roles else F.lit(False))
     req = list(pol.required_roles)
     act = F.create_map(*[F.lit(x) for k, (a, _) in pol.required_roles.items() for x in (k, a)])
     own = F.create_map(*[F.lit(x) for k, (_, o) in pol.required_roles.items() for x in (k, o)])
@@ -74,7 +78,9 @@ def policy_decisions(p: Profiler) -> DataFrame:
     return j.select("entity_name", "column_name", "ordinal_position", "role", "criticality", required.alias("required"),
                     F.when(required, act[role]).alias("failure_action"), F.when(required, own[role]).alias("failure_owner"),
                     casing_rule(pol, role, F.col("column_name")).alias("casing"), kind.alias("pii_type"),
-                    F.when(kind.isNotNull(), F.coalesce(methods[kind], F.lit("hash"))).alias("mask_method"))
+                    F.when(kind.isNotNull(), F.coalesce(methods[kind], F.lit("hash"))).alias("mask_method"),
+                    F.when(percent, pol.percent_action).when(floor, pol.non_negative_action).alias("range_action"),
+                    F.when(percent, pol.percent_owner).when(floor, pol.non_negative_owner).alias("range_owner"))
 
 
 def column_facts(p: Profiler) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from qualis.operators import issues as I
 from qualis.operators import remediate as R
 from qualis.operators import rules as RU
 from qualis.operators.profile import Profiler
@@ -103,6 +104,16 @@ def test_rules_follow_the_file(spark, policy):
     assert "range:share" not in plain and "rule:orders_1" not in plain
 
 
+def test_range_failures_name_action_and_owner(spark, policy):
+    def decided(pol):
+        p = Profiler(orders(spark), "orders", pol, role_overrides={"order_id": "identifier", "amount": "measure", "share": "measure"})
+        return {r.column_name: (r.range_action, r.range_owner) for r in I.policy_decisions(p).collect()}
+    none = (None, None)
+    assert decided(policy) == {"order_id": none, "amount": ("set_null_and_flag", "human"), "share": ("quarantine_row", "human"), "status": none, "note": none}
+    assert decided(Policy())["amount"] == ("flag_only", "human")
+    assert set(decided(compile_policy({"range_validations": {"enable": False}})).values()) == {none}
+
+
 def test_casts_follow_the_file(spark, policy):
     df = spark.createDataFrame([("1", "1.5"), ("2", "2.5")], "k string, x string")
     assert RU.cast_targets(Profiler(df, "t", policy)) == {"k": "integer"}
