@@ -22,12 +22,13 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+import weakref
 from itertools import chain
 
 import regex
 from pyspark.sql import DataFrame
 
-from qualis.llm.common import per_text
+from qualis.llm.common import in_worker, per_text
 
 MEMO = 400_000  # entries kept of words already encoded, in each Python worker
 PREFIX = 12  # up to this length, the state after a prefix is remembered across words
@@ -81,14 +82,15 @@ class Automaton:
         self.rank, self.left, self.right = [NO_RANK] * n, [NO_RANK] * n, [NO_RANK] * n
         self.pair: dict[tuple[int, int], int] = {}
         self.live = {i for t, i in self.ids.items() if len(t.removesuffix(self.end)) == 1}
-        self.arcs: dict[tuple[int, int], bool] = {}
         for k, rule in enumerate(model["merges"]):
             self._gadget(k, *(rule.split(" ") if isinstance(rule, str) else rule))
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.find = regex.compile(WORDS).findall
+        me = weakref.proxy(self)  # no cycle: what is remembered goes as soon as the automaton does
+        self.arcs: dict[tuple[int, int], bool] = {}
         self.prefixes: dict[str, tuple[int, int]] = {}
-        self.words: Memo = Memo(self._word)
-        self.pieces: Memo = Memo(self._piece)
+        self.words: Memo = Memo(lambda word: me._word(word))
+        self.pieces: Memo = Memo(lambda piece: me._piece(piece))
 
     def _gadget(self, k: int, a: str, b: str) -> None:
         i, j, c = self.ids[a], self.ids[b], self.ids[a + b]
@@ -189,14 +191,9 @@ class Automaton:
         return b"".join([x for x, _ in got]), " ".join([y for x, y in got if x])
 
 
-_CACHE: dict[str, Automaton] = {}
-
-
 def automaton(path: str) -> Automaton:
-    """The automaton of a file, compiled once in each Python worker."""
-    if path not in _CACHE:
-        _CACHE[path] = Automaton(path)
-    return _CACHE[path]
+    """The automaton of a file, compiled once in each Python worker and kept while its tasks use it."""
+    return in_worker(f"automaton {path}", lambda: Automaton(path))
 
 
 def encode_decode(docs: DataFrame, vocabulary: str, keep: list[str] | None = None) -> DataFrame:

@@ -1,12 +1,14 @@
 import hashlib
 import random
+import weakref
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from qualis.llm import bpe, tokenfile
+from qualis.llm import bpe, common, tokenfile
 from qualis.llm.common import scratch_path
 
 from . import cases
@@ -105,3 +107,11 @@ def test_blocks_are_planes():
     assert len(blocks) == -(-70_000 // tokenfile.BLOCK) and all(len(p) == 16 for p in planes)
     assert b"".join(tokenfile.unpack(b, p) for b, p in zip(blocks, planes, strict=True)) == ids
     assert sum(map(len, blocks)) < len(ids) / 4
+
+
+def test_a_worker_lets_go_of_the_automaton_when_other_work_begins():
+    common.begun(lambda: bpe.automaton(PATH))
+    held = weakref.ref(bpe.automaton(PATH))
+    assert common.begun(lambda: bpe.automaton(PATH)) is held()  # the next task of the same stage
+    common.begun(lambda: len)
+    assert held() is None
