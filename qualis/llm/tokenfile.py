@@ -20,23 +20,27 @@ from __future__ import annotations
 import os
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from string import ascii_letters
 from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from qualis.llm.bpe import ODD_SPACE, SPACE, byte_symbols
+from qualis.llm.bpe import ODD_SPACE, byte_symbols
 from qualis.llm.common import scratch_path, sliced
 
 BLOCK, CHUNK, WIDTH, LEVEL, END = 1 << 14, 1 << 18, 4, 3, 2
 MEMO = 500_000
 SIGNS = ".,;:!?%&$#*)"
+#: White space as Unicode has it.
+SPACES = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 CHUNKS = "part int, chunk int, place bigint, n_ids bigint, doc_ids array<bigint>, lengths array<bigint>, blocks array<binary>, planes array<binary>"
 CHUNK_SCHEMA = pa.schema([
@@ -61,7 +65,7 @@ class Encoder:
         self.model = self.tokenizer.model
         self.symbols = byte_symbols()
         self.words: dict[str, bytes] = {}
-        self.signs: dict[str, bytes] = {"": b""}
+        self.signs: dict[str, bytes] = {}
         self.memo: dict[str, bytes] = {}
 
     def whole(self, pieces: list[str]) -> list[bytes]:
@@ -80,7 +84,15 @@ class Encoder:
             ids = self.words[low] = array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
         return ids
 
-    def learn(self, pieces: set[str]) -> None:
+    def learn_words(self, words: list[str]) -> None:
+        """Words of small ASCII letters."""
+        for w in words:
+            self.words[w] = array("I", [t.id for t in self.model.tokenize(w)]).tobytes()
+
+    def learn_signs(self, signs: list[str]) -> None:
+        self.signs.update(zip(signs, self.whole(signs), strict=True))
+
+    def learn_others(self, pieces: list[str]) -> None:
         hard = []
         for p in pieces:
             word = p.rstrip(SIGNS)
@@ -91,21 +103,43 @@ class Encoder:
             sign = p[len(word) :]
             if sign not in self.signs:
                 if len(self.signs) >= MEMO:
-                    self.signs = {"": b""}
-                self.signs[sign] = self.whole([sign])[0]
+                    self.signs.clear()
+                self.learn_signs([sign])
             self.memo[p] = ids + self.signs[sign]
         for at in range(0, len(hard), 10_000):
             part = hard[at : at + 10_000]
             self.memo.update(zip(part, self.whole(part), strict=True))
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        pieces = [SPACE.split(t) if ODD_SPACE.search(t) else t.split() for t in (x or "" for x in texts)]
-        new = {p for ps in pieces for p in ps if p not in self.memo}
-        if len(self.memo) + len(new) > MEMO:
-            self.memo = {}
-            new = {p for ps in pieces for p in ps}
-        self.learn(new)
-        return [b"".join(map(self.memo.__getitem__, ps)) for ps in pieces]
+    def ids(self, pieces: pa.Array) -> pa.Array:
+        """Ids of pieces: of ASCII letters by word and signs, of all others by piece."""
+        words = pc.ascii_rtrim(pieces, SIGNS)
+        easy = pc.ascii_is_alpha(words)
+        lows = looked_up(pc.if_else(easy, pc.ascii_lower(words), ""), self.words, self.learn_words)
+        signs = looked_up(pc.if_else(easy, pc.ascii_ltrim(pieces, ascii_letters), ""), self.signs, self.learn_signs)
+        others = looked_up(pc.if_else(easy, "", pieces), self.memo, self.learn_others)
+        return pc.binary_join_element_wise(lows, signs, others, pa.scalar(b"", pa.large_binary()))
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text (null: empty). Each distinct piece of the batch is looked up once."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.any(pc.match_substring_regex(texts, ODD_SPACE.pattern)).as_py()  # Arrow parts words there, the library doesn't
+        parted = pc.split_pattern_regex(texts, SPACES) if odd else pc.utf8_split_whitespace(texts)
+        coded = parted.flatten().dictionary_encode()
+        ids = self.ids(coded.dictionary).take(coded.indices)
+        ends = np.cumsum([0, *pc.list_value_length(parted).to_pylist()])
+        return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), ids), pa.scalar(b"", pa.large_binary())).to_pylist()
+
+
+def looked_up(keys: pa.Array, known: dict[str, bytes], learn: Callable[[list[str]], None]) -> pa.Array:
+    """The values of ``known`` for all keys, learned where missing; it starts anew when full."""
+    coded = keys.dictionary_encode()
+    distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    new = [k for k in distinct if k not in known]
+    if len(known) + len(new) > MEMO:
+        known.clear()
+        new = distinct
+    learn(new)
+    return pa.array([known[k] for k in distinct], pa.large_binary()).take(coded.indices)
 
 
 _CACHE: dict[str, Encoder] = {}
@@ -153,7 +187,7 @@ def write(docs: DataFrame, vocabulary: str, path: str, end: int | None = END, pa
         ids, keys, lengths, size = [], [], [], 0
         for whole in batches:
             for b in sliced(whole):
-                for key, got in zip(b.column(0).to_pylist(), tok.encode(b.column(1).to_pylist()), strict=True):
+                for key, got in zip(b.column(0).to_pylist(), tok.encode(b.column(1)), strict=True):
                     ids.append(got + tail)
                     keys.append(key)
                     lengths.append(len(ids[-1]) // 4)

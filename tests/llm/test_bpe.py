@@ -115,3 +115,19 @@ def test_a_worker_lets_go_of_the_automaton_when_other_work_begins():
     assert common.begun(lambda: bpe.automaton(PATH)) is held()  # the next task of the same stage
     common.begun(lambda: len)
     assert held() is None
+
+
+def test_token_file_encoder_by_column():
+    """All kinds of white space and letters, nulls, slices, memos that fill up: the ids of the library."""
+    rng, library = random.Random(3), Tokenizer.from_file(PATH)
+    library.no_padding()
+    library.no_truncation()
+    signs = [*map(chr, range(0x80)), *"\x85\xa0\u1680\u200a\u2028\u3000\u200bΣσςİßéÅ中½\u0301\U0001f600"]
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 80))) for _ in range(300)] + [None, "", "Hello, WORLD!! it's", "(end)."]
+    want = [np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    for most in (3, 500_000):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(tokenfile, "MEMO", most)
+            encoder = tokenfile.Encoder(PATH)
+            assert encoder.encode(pa.array(texts).slice(2)) == want[2:] == encoder.encode(pa.array(texts).slice(2))
+            assert not encoder.memo.keys() & {"Hello,", "WORLD!!"} and encoder.encode(pa.array([], pa.string())) == []
