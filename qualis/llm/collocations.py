@@ -29,7 +29,7 @@ LONGEST, LEAST, INSIDE, TOP = 3, 10, 50, 2000
 #: Bits of the bitmap between passes, and the share of all words (one in so many) from which on a prefix is split.
 FILTER_BITS, HOT = 1 << 27, 1 << 12
 #: Words a task numbers before it starts anew, bytes and words of text taken at once, and rows in a batch of a run.
-NUMBERED, BYTES, CHUNK, ROWS = 400_000, 2 << 20, 1 << 18, 1 << 16
+NUMBERED, BYTES, CHUNK, ROWS = 400_000, 8 << 20, 1 << 18, 1 << 16
 #: What ends a piece, and what separates words in it.
 ENDS, GAPS = b".,;:!?\n\x0b\x0c\r", b"\t"
 #: A byte that UTF-8 doesn't have stands for the end of a piece.
@@ -38,9 +38,11 @@ TABLE = bytes.maketrans(ENDS + GAPS, END * len(ENDS) + b" ")
 RUN = "lang string, prefix bigint, phrase string, n bigint"
 
 
-def tokens(texts: list[bytes]) -> list[bytes]:
+def tokens(texts: list[bytes]) -> pa.Array:
     """Lower-cased (A-Z) words of UTF-8 texts, and ``END`` between pieces and texts."""
-    return END.join(texts).lower().translate(TABLE).replace(END, b" " + END + b" ").split()
+    joined = END.join(texts).lower().translate(TABLE).replace(END, b" " + END + b" ")
+    parted = pc.split_pattern(pa.array([joined], pa.large_binary()), b" ").flatten()
+    return parted.filter(pc.greater(pc.binary_length(parted), 0))
 
 
 def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -74,10 +76,10 @@ class Task:
         at = (hashes & np.uint64(8 * len(self.bits) - 1)).astype(np.int64)
         return (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
-    def numbered(self, words: list[bytes]) -> np.ndarray:
-        coded = pa.array(words, pa.large_binary()).dictionary_encode()
+    def numbered(self, words: pa.Array) -> np.ndarray:
+        coded = words.dictionary_encode()
         known, ids = len(self.ids), self.ids
-        local = np.array([ids.setdefault(w, len(ids)) for w in coded.dictionary.to_pylist()], np.int64)
+        local = np.array([ids.setdefault(w, len(ids)) for w in coded.dictionary.to_numpy(zero_copy_only=False).tolist()], np.int64)
         if len(ids) > known:
             new = list(ids)[known:]
             self.hashes = np.concatenate([self.hashes, np.array([xxhash.xxh64_intdigest(w) for w in new], np.uint64)])

@@ -109,3 +109,11 @@ def test_a_full_container_bursts_and_a_frequent_first_word_gets_a_subtree():
         leaves += [] if node.children else [node]
     assert len(trie) == 100 and max(len(x) for x in leaves) <= 8
     assert max(x.depth for x in leaves) > 21 // hattrie.DIGIT_BITS  # past the first word's digits
+
+
+def test_tokens_are_a_column_without_empty_words():
+    got = collocations.tokens([b"A,  b\t\xc3\x89", b"", b" c\r\n"])
+    assert got.to_pylist() == [b"a", b"\xff", b"b", "É".encode(), b"\xff", b"\xff", b"c", b"\xff", b"\xff"]
+    assert len(collocations.tokens([b""])) == 0
+    task = collocations.Task(1, None, [], 10, 4)
+    assert task.numbered(got).tolist() == [1, 0, 2, 3, 0, 0, 4, 0, 0]
